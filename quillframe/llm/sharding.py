@@ -7,20 +7,23 @@ source in proportion.
 
 Ranks are counted without a sort of a whole source in one task: rows fall into buckets of the hash (or of
 the fractional rank) of about ``bucket_rows`` rows, whatever their source's share, bucket counts are summed,
-and rows are numbered within their bucket.  A null source is a source; a null text has no bytes; rows that
+and rows are numbered within their bucket.  By default a bucket has as many rows as there are buckets, so
+that both the numbering and the one task that sums the counts stay small.  A null source is a source; a null text has no bytes; rows that
 repeat are rows of their own.  Equal texts are not kept together: a large group would break the law.  An
 empty table gives an empty result.  Only id, text and source are looked at.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import materialise, small_side
 
 FIXED_BYTES = 8
-BUCKET_ROWS = 20_000
+LEAST_BUCKET_ROWS = 1_000
 
 
 def _before(counts: DataFrame, per: list[str], bucket: str) -> DataFrame:
@@ -29,7 +32,7 @@ def _before(counts: DataFrame, per: list[str], bucket: str) -> DataFrame:
     return counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
 
 
-def interleave_shards(docs: DataFrame, shards: int = 24, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def interleave_shards(docs: DataFrame, shards: int = 24, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int | None = None) -> DataFrame:
     """Every row's place: id_col, size, text_crc32, source, shard, slot."""
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -41,6 +44,7 @@ def interleave_shards(docs: DataFrame, shards: int = 24, seed: int = 17, id_col:
     )
     sources = materialise(docs.select(F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src")).groupBy("no_source", "src").agg(F.count(F.lit(1)).alias("of")), "shard-sources")
     n_sources, total = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("of"), F.lit(0))).first()
+    bucket_rows = bucket_rows or max(LEAST_BUCKET_ROWS, math.isqrt(total))
     # The bucket of a hash: its upper 31 bits, scaled to the buckets of its source.
     buckets = F.ceil(F.col("of") / bucket_rows)
     upper = F.shiftright("h", 33) + F.lit(1 << 30)
