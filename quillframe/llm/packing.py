@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,7 +37,10 @@ LEAST_BUCKET_ROWS = 2_000
 CARRY = 64
 FAN = 16
 #: Entries a worker keeps of its table from words to ids.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 1_200_000
+#: Byte-level vocabularies write bytes that don't print as the characters from 256.
+_PRINTING = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTING)}
 _SPLIT = re.compile(r"[^ \t-\r]+")
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -56,6 +60,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",", "!", "?")}
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -67,21 +72,22 @@ class WordTokenizer:
                 yield b"".join(map(find, ws))
 
     def _learn(self, new: set[str]) -> None:
-        """A mark behind nothing but letters is a token of its own, and lower case has the same ids (but for the
-        sigma, whose small form depends on its place), so such words need no call of the tokenizer."""
-        known, parts, cores = self.known, {}, set()
+        """Words of letters go straight to the merges, behind what the tokenizer would do to them: lower case (but for
+        the sigma, whose small form depends on its place) and bytes as symbols.  A mark behind the letters
+        is a token of its own.  All other words take the tokenizer's whole way."""
+        known, merge, other = self.known, self.tokenizer.model.tokenize, []
         for w in new:
-            core, mark = (w[:-1], w[-1]) if w[-1] in ",.!?" and w[:-1].isalpha() else (w, "")
-            if core.isalpha() and "\u03a3" not in core:
-                core = core.lower()
-            parts[w] = core, mark
-            cores |= {core, mark}
-        fresh = [c for c in cores if c and c not in known]
-        for c, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[c] = array("I", e.ids).tobytes()
-        known[""] = b""
-        for w, (core, mark) in parts.items():
-            known[w] = known[core] + known[mark]
+            core, mark = (w[:-1], w[-1]) if w[-1] in ".,!?" else (w, "")
+            if not core.isalpha() or "\u03a3" in core or not (low := core.lower()).isalpha() or not unicodedata.is_normalized("NFC", core):
+                other.append(w)
+                continue
+            ids = known.get(low)
+            if ids is None:
+                symbols = low if low.isascii() else low.encode().decode("latin-1").translate(_SYMBOLS)
+                known[low] = ids = array("I", [t.id for t in merge(symbols)]).tobytes()
+            known[w] = ids + self.marks[mark]
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
 
     def forget(self) -> None:
         if len(self.known) > WORDS_KEPT:
