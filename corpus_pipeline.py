@@ -1,11 +1,30 @@
-"""From raw documents to packed sequences: the stages, and all of them in a row."""
+"""From raw documents to packed sequences: the stages, and all of them in a row.
+
+Each stage works on all rows that its predecessor kept.  Decisions come back to the rows by a hash of id and text (or of
+what was judged), not by id alone, so that neither null nor repeated ids mix up documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillframe.llm.common import materialise
+from quillframe.llm.common import materialise, small_side
 from quillframe.llm.exact_dedup import drop_exact_duplicates
+from quillframe.llm.mixing import mix
+from quillframe.llm.near_dedup import drop_near_duplicates
+from quillframe.llm.packing import best_fit_pack
+from quillframe.llm.quality import judge
+
+
+def _key(*columns: str) -> Column:
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a base rule or lie outside their language's perplexity band go."""
+    told = judge(docs.select(_key("doc_id", "lang", "text").alias("_key"), "lang", "text"), id_col="_key")
+    gone = materialise(told.where("not kept").select("_key").distinct(), "rejected")
+    return docs.withColumn("_key", _key("doc_id", "lang", "text")).join(small_side(gone, gone.count(), 24), "_key", "left_anti").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +32,34 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates (five words, 0.8) stays."""
+    return drop_near_duplicates(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document stands as often as the mix takes it."""
+    mixed = mix(docs.select(_key("doc_id", "text").alias("_key"), "source", "text"), id_col="_key")
+    # Rows of one key are equal in id and text; they share what was drawn for all of them.
+    copies = materialise(mixed.groupBy("_key").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_all > 0"), "mix-copies")
+    taken = docs.withColumn("_key", _key("doc_id", "text")).join(small_side(copies, copies.count(), 40), "_key")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_all") / F.col("_rows"))))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return best_fit_pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("exact dedup", exact_stage),
+    ("MinHash near-dedup", near_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
 
+#: SQL can express neither the language model nor the draws; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
