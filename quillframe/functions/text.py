@@ -73,7 +73,7 @@ def sentences(text: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Distinct n-grams, joined by one space."""
+    """Distinct n-grams, joined by one space; ``words`` should be a plain column, as it is read for each n-gram."""
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
 
