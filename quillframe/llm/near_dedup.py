@@ -12,10 +12,12 @@ nothing.  Documents are linked if 100 * intersection >= percent * union.
    has members, however large, and is never gathered in one task.
 3. A pair goes on if the sketches' agreement, less that expected from chance collisions, is within four
    standard errors of the threshold, and if the set sizes allow a link.  Then the full sets are compared.
-4. Links found join classes into components.  Where a bucket still holds several, each member outside the pivot's
-   component is compared with the bucket's members of other components: by sketch first, the rest by full sets.
+4. Links found join classes into components.  Buckets that still hold several are drawn together into clusters, and in
+   each every member outside the cluster's largest component is compared by full sets with all members of other
+   components, through an index of the cluster's shingles.  Large clusters are dealt out in blocks of
+   ``PROBES`` by ``INDEXED`` shingles, and a task only reports links that join what it hadn't joined.
 
-Every pair that shares a band is thus confirmed, ruled out by its sketch, or already joined by other links; a pair
+Every pair that shares a band is thus compared, ruled out by its sketch, or already joined by other links; a pair
 at 0.85 shares none of the 32 bands with a chance below 1e-10, at 0.8 below 1e-7.
 
 A null text is empty.  Rows of one id are one document; rows without id are linked with nothing and stay.  An
@@ -36,8 +38,8 @@ from quillframe.llm.common import materialise, small_side
 REGISTERS, ROWS, BANDS = 128, 4, 32
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 WORDS, PERCENT = 5, 80
-#: Members of a bucket compared at a time in step 4.
-BLOCK = 512
+#: Shingles of a block's compared and indexed members in step 4.
+PROBES, INDEXED = 250_000, 2_000_000
 
 _U = np.uint64
 _random = np.random.default_rng(20240229)
@@ -171,15 +173,8 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(sketched, "id long, n long, s1 long, s2 long, regs binary")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """The links among candidate pairs (a, b): by sketches, then by full sets, which are made for these documents only."""
-
-    def by_sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                agree = (_registers(batch["regs_a"]) == _registers(batch["regs_b"])).mean(1)
-                batch = batch[may_link(agree, batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), percent)]
-            yield batch[["a", "b"]]
+def _sets(ids: DataFrame, docs: DataFrame, words: int, name: str) -> DataFrame:
+    """id, hashes: the full sets of these documents only."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
@@ -189,17 +184,30 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
                 out += [s.tobytes() for s in shingler.sets(texts[at : at + 32])]
             yield pd.DataFrame({"id": batch["id"], "hashes": out})
 
+    ids = materialise(ids.distinct(), f"near-ids-{name}")
+    return materialise(docs.join(small_side(ids, ids.count(), 24), "id", "left_semi").mapInPandas(made, "id long, hashes binary"), f"near-sets-{name}")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links among candidate pairs (a, b): by sketches, then by full sets."""
+
+    def by_sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                agree = (_registers(batch["regs_a"]) == _registers(batch["regs_b"])).mean(1)
+                batch = batch[may_link(agree, batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), percent)]
+            yield batch[["a", "b"]]
+
     def by_set(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch["set_a"], batch["set_b"], strict=True)]
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
     side = lambda s: classes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
-    likely = materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(by_sketch, "a long, b long"), f"near-likely-{name}")
-    ids = materialise(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"near-ids-{name}")
-    sets = materialise(docs.join(small_side(ids, ids.count(), 24), "id", "left_semi").mapInPandas(made, "id long, hashes binary"), f"near-sets-{name}")
+    likely = materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(by_sketch, "a long, b long"), "near-likely")
+    sets = _sets(likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))), docs, words, "pairs")
     full = lambda s: sets.select(F.col("id").alias(s), F.col("hashes").alias(f"set_{s}"))
-    return materialise(likely.join(full("a"), "a").join(full("b"), "b").mapInPandas(by_set, "a long, b long"), f"near-links-{name}")
+    return materialise(likely.join(full("a"), "a").join(full("b"), "b").mapInPandas(by_set, "a long, b long"), "near-links")
 
 
 def components(links: DataFrame, name: str = "near") -> DataFrame:
@@ -223,27 +231,60 @@ def components(links: DataFrame, name: str = "near") -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def _rest_pairs(unsettled: DataFrame, percent: int) -> DataFrame:
-    """Step 4, for bucket members (bkey, id, root, pivot_root, n, regs) of buckets with several roots: pairs to confirm."""
+def _block_links(percent: int):
+    """Links between a block's probes and its indexed members, as far as they join different components."""
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("id", kind="stable", ignore_index=True)
+        index, probes = block[~block["probe"]], block[block["probe"]]
+        ids, roots, n = index["id"].to_numpy(), index["root"].tolist(), index["n"].to_numpy()
+        hashes = np.frombuffer(b"".join(index["hashes"]), np.uint64)
+        owners = np.repeat(np.arange(len(index)), n)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owners = hashes[order], owners[order]
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
 
-    def compare(bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.sort_values("id", ignore_index=True)
-        regs, n = _registers(bucket["regs"]), bucket["n"].to_numpy()
-        root, ids = bucket["root"].to_numpy(), bucket["id"].to_numpy()
-        outside = root != bucket["pivot_root"].to_numpy()
         found = []
-        for at in np.flatnonzero(outside):
-            # Two members outside are compared once.
-            others = np.flatnonzero((root != root[at]) & (~outside | (ids > ids[at])))
-            for start in range(0, len(others), BLOCK):
-                block = others[start : start + BLOCK]
-                agree = (regs[block] == regs[at]).mean(1)
-                block = block[may_link(agree, n[block], np.full(len(block), n[at]), percent)]
-                found += [(ids[at], ids[x]) for x in block]
+        for id_, root, size, raw in zip(probes["id"], probes["root"], probes["n"], probes["hashes"], strict=True):
+            own = np.frombuffer(raw, np.uint64)
+            lo, hi = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            many = hi - lo
+            at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            shared = np.bincount(owners[at], minlength=len(index))
+            for x in np.flatnonzero(100 * shared >= percent * (size + n - shared)):
+                a, b = top(root), top(roots[x])
+                if a != b:
+                    above[max(a, b)] = min(a, b)
+                    found.append((id_, ids[x]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    pairs = unsettled.groupBy("bkey").applyInPandas(compare, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return compare
+
+
+def _rest_links(wide: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Step 4, for the members (bkey, id, pivot, root, pivot_root, n) of buckets of three and more; None if all are joined."""
+    apart = wide.where("root <> pivot_root").select("bkey").distinct()
+    open_ = materialise(wide.join(apart, "bkey", "left_semi"), "near-open")
+    if open_.isEmpty():
+        return None
+    clusters = materialise(components(open_.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "near-cluster"), "near-clusters")
+    nodes = materialise(open_.select("id", "root", "n").distinct().join(clusters.select("id", F.col("root").alias("cluster")), "id"), "near-nodes")
+    counts = nodes.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("members"))
+    largest = counts.groupBy("cluster").agg(F.max(F.struct("members", (-F.col("root")).alias("first"))).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    nodes = nodes.join(largest.select("cluster", (-F.col("top.first")).alias("main")), "cluster").withColumn("outside", F.col("root") != F.col("main"))
+    blocks = nodes.groupBy("cluster").agg(F.ceil(F.sum("n") / INDEXED).alias("of_index"), F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / PROBES).alias("of_probes"))
+    nodes = materialise(nodes.join(blocks, "cluster").join(_sets(nodes.select("id"), docs, words, "clusters"), "id"), "near-cluster-sets")
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["cluster", "id", "root", "n", "hashes"]
+    index = nodes.select(*columns, F.lit(False).alias("probe"), spread("of_index").alias("i"), each("of_probes").alias("p"))
+    probes = nodes.where("outside").select(*columns, F.lit(True).alias("probe"), each("of_index").alias("i"), spread("of_probes").alias("p"))
+    return materialise(index.unionByName(probes).groupBy("cluster", "i", "p").applyInPandas(_block_links(percent), "a long, b long"), "near-more-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -262,19 +303,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = materialise(ranked.groupBy("bkey").agg(F.max("rank").alias("top")).select("bkey", F.col("top.pivot").alias("pivot")), "near-pivots")
     starred = materialise(members.join(pivots, "bkey"), "near-starred")
     pairs = starred.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    links = _confirmed(pairs, classes, rows, words, percent, "1")
+    links = _confirmed(pairs, classes, rows, words, percent)
     roots = materialise(components(links, "near-1"), "near-roots-1")
     # Buckets of three and more whose members are still apart; those of two were compared.
     wide = starred.where("size > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     pivot_roots = roots.select(F.col("id").alias("pivot"), F.col("root").alias("pivot_root"))
-    wide = materialise(wide.join(pivot_roots, "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot")), "near-wide")
-    apart = wide.where("root <> pivot_root").groupBy("bkey").agg(F.count(F.lit(1)).alias("outside"))
-    # A bucket's set of members tells it; equal buckets are compared once.
-    alike = wide.join(apart, "bkey", "left_semi").groupBy("bkey").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("all"), F.count(F.lit(1)).alias("n")).groupBy("all", "n").agg(F.min("bkey").alias("bkey"))
-    alike = materialise(alike.select("bkey"), "near-apart")
-    if not alike.isEmpty():
-        unsettled = wide.select("bkey", "id", "root", "pivot_root").where("id <> pivot").join(small_side(alike, alike.count(), 16), "bkey", "left_semi").join(classes.select("id", "n", "regs"), "id")
-        more = _confirmed(_rest_pairs(unsettled, percent), classes, rows, words, percent, "2")
+    wide = wide.join(pivot_roots, "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot"))
+    more = _rest_links(materialise(wide.join(classes.select("id", "n"), "id"), "near-wide"), rows, words, percent)
+    if more is not None:
         roots = materialise(components(links.unionAll(more), "near-2"), "near-roots-2")
     placed = told.join(classes.select("n", "s1", "s2", F.col("id").alias("rep")), ["n", "s1", "s2"], "left")
     placed = placed.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
