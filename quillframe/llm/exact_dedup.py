@@ -60,14 +60,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """``docs`` without the rows whose text a row with a smaller id has; all columns stay as they are.
 
-    Repeats of one id with one text are one document: the first by all its columns' hash stays."""
+    Repeats of one id with one text are one document, of which one row stays."""
     groups = duplicate_groups(docs, id_col, text_col, prefix_chars)
     names = docs.columns
-    tag = "_" + "_".join(names)[:40]  # longer than any name it could clash with would have to be equal to
-    row, digest = f"{tag}_row", f"{tag}_digest"
-    hashed = docs.withColumn(digest, F.sha2(normalised(F.col(text_col)), 256))
-    small = small_side(groups.select(F.col("digest").alias(digest), F.col("keep_id").alias(row)), groups.count(), 96)
-    joined = hashed.join(small, digest, "left").withColumn(f"{tag}_single", F.col(row).isNull())
-    # A group that has no id but null keeps null ids: they are its only members.
-    single, many = joined.where(F.col(f"{tag}_single")), joined.where(~F.col(f"{tag}_single") & F.col(id_col).eqNullSafe(F.col(row)))
-    return single.select(*names).unionAll(many.dropDuplicates([digest]).select(*names))
+    # Columns of our own behind a prefix that no column of the table has.
+    tag = "_x" * (1 + max([0, *map(len, names)]))
+    groups = groups.select(F.col("digest").alias(f"{tag}digest"), F.col("keep_id").alias(f"{tag}keep"), F.lit(True).alias(f"{tag}group"))
+    # The last pass reads and writes whole rows anyway, so it finds a row's group by its digest.
+    joined = docs.withColumn(f"{tag}digest", F.sha2(normalised(F.col(text_col)), 256)).join(small_side(groups, groups.count(), 96), f"{tag}digest", "left")
+    alone = F.col(f"{tag}group").isNull()
+    keepers = joined.where(~alone & F.col(id_col).eqNullSafe(F.col(f"{tag}keep")))
+    return joined.where(alone).select(*names).unionAll(keepers.dropDuplicates([f"{tag}digest"]).select(*names))

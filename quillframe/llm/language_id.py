@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.llm.common import materialise, small_side
+
 ALPHABET = 60
 SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_SYMBOLS = 300, 4_000, 60_000
 SEGMENT = 512
@@ -110,10 +112,12 @@ class CrossParser:
         for lang in self.langs:
             learned = self.alphabet.symbols([samples[lang]])[0][:TRAIN_SYMBOLS]
             step = suffix_automaton(learned.tolist(), self.alphabet.width)
-            again = np.maximum(step[0], 0) * self.width | _FLAG
-            table = np.empty((len(step), self.width), np.int32)
-            table[:, :-1] = np.where(step >= 0, step * self.width, again)
-            table[:, -1] = np.arange(len(step)) * self.width
+            # One more state, in which a phrase begins with any symbol; a symbol the sample hasn't leads back to it.
+            ended = len(step)
+            again = np.where(step[0] >= 0, step[0], ended) * self.width | _FLAG
+            table = np.empty((len(step) + 1, self.width), np.int32)
+            table[:, :-1] = np.vstack([np.where(step >= 0, step * self.width, again), again])
+            table[:, -1] = np.arange(len(step) + 1) * self.width
             self.tables.append(table.ravel())
             self.bits.append(np.log2(max(len(learned), 2)))
 
@@ -128,7 +132,8 @@ class CrossParser:
         out = np.zeros((len(sizes), len(self.langs)), np.int64)
         some = pieces > 0
         for k, table in enumerate(self.tables):
-            at, ends = np.zeros(columns.shape[1], np.int32), np.ones(columns.shape[1], np.int32)
+            at = np.full(columns.shape[1], len(table) - self.width, np.int32)
+            ends = np.zeros(columns.shape[1], np.int32)
             for column in columns:
                 np.add(at, column, out=at)
                 table.take(at, out=at, mode="clip")
@@ -158,9 +163,10 @@ def held_out(id_: Column) -> Column:
 def train(labelled: DataFrame) -> CrossParser:
     """From (id, lang, text) rows with a language: a bounded sample of each."""
     rows = labelled.where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    taken = rows.join(counts, "lang").where(h * F.col("n") < F.lit(float(SAMPLE_DOCS)) * (1 << 40))
+    # Without a shuffle by language, as a language may have most rows.
+    taken = rows.join(small_side(counts, counts.count(), 64), "lang").where(h * F.col("n") < F.lit(float(SAMPLE_DOCS)) * (1 << 40))
     samples: dict[str, list] = {}
     for r in taken.select("lang", h.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).toLocalIterator():
         samples.setdefault(r.lang, []).append((r.h, r.text))
