@@ -69,7 +69,7 @@ def acronyms(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])[ \n]+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])[ \n]+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -88,7 +88,7 @@ def overlap_coefficient(a: Column, b: Column) -> Column:
 
 def section(body: Column, heading: str) -> Column:
     """Text below an H2 heading, up to the next H1 or H2."""
-    return F.trim(F.regexp_extract(body, rf"(?ims)^##[ \t]+{heading}[ \t]*$(.*?)(?=^##?[ \t]|\z)", 1))
+    return F.regexp_replace(F.regexp_extract(body, rf"(?ims)^##[ \t]+{heading}[ \t]*$(.*?)(?=^##?[ \t]|\z)", 1), r"\A\s+|\s+\z", "")
 
 
 def strip_markdown(text: Column) -> Column:

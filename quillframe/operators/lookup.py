@@ -56,7 +56,7 @@ def collision_kind(new_id: Column, old_id: Column, preprint_prefixes: list[str])
 def clean_keywords(words: Column, denied: list[str], longest: int = 50, most: int = 10, least: int = 5) -> Column:
     """Trimmed, no longer than ``longest``, without commas or denied words, first of equal-but-case, at most
     ``most``; null if fewer than ``least`` remain."""
-    fit = F.filter(F.transform(words, F.trim), lambda w: (F.length(w) > 0) & (F.length(w) <= longest) & ~w.contains(",") & ~F.lower(w).isin(*denied))
+    fit = F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: (F.length(w) > 0) & (F.length(w) <= longest) & ~w.contains(",") & ~F.lower(w).isin(*denied))
     first = F.aggregate(fit, F.array().cast("array<string>"), lambda acc, w: F.when(F.exists(acc, lambda x: F.lower(x) == F.lower(w)), acc).otherwise(F.array_append(acc, w)))
     return F.when(F.size(first) >= least, F.slice(first, 1, most))
 
