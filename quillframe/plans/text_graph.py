@@ -287,7 +287,7 @@ ORACLES = {
     "q_negation_parity": f"WITH {_PAIRS.format('WHERE c.role = ' + chr(39) + 'user' + chr(39))} SELECT conv_id, turn, len(list_intersect({TOKEN_SQL.format('claim')}, {list(T.NEGATIONS)})) > 0 AND len(list_intersect({TOKEN_SQL.format('evidence')}, {list(T.NEGATIONS)})) = 0 AS mismatch FROM pr",
     "q_overlap_verdict": f"WITH {_VERDICTS} SELECT * FROM ver",
     "q_weighted_recall": f"""WITH {_VERDICTS}, s AS (SELECT lang, CASE verdict WHEN 'match' THEN 1.0::DOUBLE WHEN 'partial' THEN 0.5 ELSE 0 END AS s, (3 - item_id % 3)::DOUBLE AS w FROM ver)
-        SELECT coalesce(lang, '(all)') AS axis, count(*) AS n, round(sum(s * w) / sum(w), 6) AS recall FROM s GROUP BY ROLLUP (lang)""",
+        SELECT coalesce(lang, '(all)') AS axis, count(*) AS n, round(sum(s * w) / sum(w), 6) AS recall FROM s GROUP BY ROLLUP (lang) HAVING count(*) > 0""",
     "q_slug": f"WITH p AS (SELECT DISTINCT p_name, p_brand, {_SLUG.format(chr(112) + '_brand || chr(32) || p_name')} AS slug FROM part) SELECT p_name, p_brand, slug, {_KEY('slug')} AS canonical FROM p",
     "q_top_lines": """
         WITH l AS (SELECT DISTINCT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents), g AS (SELECT line, count(*) AS n, count(DISTINCT source) AS breadth FROM l WHERE length(line) >= 20 GROUP BY 1 HAVING n >= 2),
