@@ -34,7 +34,7 @@ from quillframe.llm.common import materialise
 SEQUENCE = 4096
 END_ID = 1
 LEAST_BUCKET_ROWS = 2_000
-CARRY = 64
+CARRY = 4
 FAN = 16
 #: Entries a worker keeps of its table from words to ids.
 WORDS_KEPT = 1_200_000
