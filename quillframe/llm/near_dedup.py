@@ -14,8 +14,8 @@ nothing.  Documents are linked if 100 * intersection >= percent * union.
    standard errors of the threshold, and if the set sizes allow a link.  Then the full sets are compared.
 4. Links found join classes into components.  Buckets that still hold several are drawn together into clusters, and in
    each every member outside the cluster's largest component is compared by full sets with all members of other
-   components, through an index of the cluster's shingles.  Large clusters are dealt out in blocks of
-   ``PROBES`` by ``INDEXED`` shingles, and a task only reports links that join what it hadn't joined.
+   components, through an index of the cluster's shingles.  Large clusters are dealt out in blocks of bounded
+   size, and a task only reports links that join what it hadn't joined.
 
 Every pair that shares a band is thus compared, ruled out by its sketch, or already joined by other links; a pair
 at 0.85 shares none of the 32 bands with a chance below 1e-10, at 0.8 below 1e-7.
@@ -38,8 +38,8 @@ from quillframe.llm.common import materialise, small_side
 REGISTERS, ROWS, BANDS = 128, 4, 32
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 WORDS, PERCENT = 5, 80
-#: Shingles of a block's compared and indexed members in step 4.
-PROBES, INDEXED = 250_000, 2_000_000
+#: Shingles of the members on either side of a block in step 4: a 64th of all, within these bounds.
+LEAST_BLOCK, MOST_BLOCK = 20_000, 400_000
 
 _U = np.uint64
 _random = np.random.default_rng(20240229)
@@ -277,7 +277,8 @@ def _rest_links(wide: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     counts = nodes.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("members"))
     largest = counts.groupBy("cluster").agg(F.max(F.struct("members", (-F.col("root")).alias("first"))).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1")
     nodes = nodes.join(largest.select("cluster", (-F.col("top.first")).alias("main")), "cluster").withColumn("outside", F.col("root") != F.col("main"))
-    blocks = nodes.groupBy("cluster").agg(F.ceil(F.sum("n") / INDEXED).alias("of_index"), F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / PROBES).alias("of_probes"))
+    block = min(MOST_BLOCK, max(LEAST_BLOCK, (nodes.agg(F.sum("n")).first()[0] or 0) // 64))
+    blocks = nodes.groupBy("cluster").agg(F.ceil(F.sum("n") / block).alias("of_index"), F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / block).alias("of_probes"))
     nodes = materialise(nodes.join(blocks, "cluster").join(_sets(nodes.select("id"), docs, words, "clusters"), "id"), "near-cluster-sets")
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

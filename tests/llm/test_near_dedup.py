@@ -55,8 +55,8 @@ def test_matches_brute_force(spark):
 
 
 def test_cluster_blocks_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(N, "PROBES", 2_000)
-    monkeypatch.setattr(N, "INDEXED", 5_000)
+    monkeypatch.setattr(N, "LEAST_BLOCK", 2_000)
+    monkeypatch.setattr(N, "MOST_BLOCK", 3_000)
     docs = list(enumerate(made(5, 80, (2, 14))))
     df = spark.createDataFrame([(i, t, "en") for i, t in docs], SCHEMA)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(df, words=3, percent=85).collect()}
