@@ -25,12 +25,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Deletes this application's scratch tables, but for names that begin with one of ``keep``.
+
+    For a caller who has written the results elsewhere: frames that still read a scratch table fail afterwards."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(folder):
+        for status in files.listStatus(folder):
+            if not (keep and status.getPath().getName().startswith(keep)):
+                files.delete(status.getPath(), True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
     Lineage is cut and the rows survive the loss of any executor."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
