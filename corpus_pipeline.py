@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import materialise, small_side
+from quillframe.llm.common import drop_scratch, materialise, small_side
 from quillframe.llm.exact_dedup import drop_exact_duplicates
 from quillframe.llm.mixing import mix
 from quillframe.llm.near_dedup import drop_near_duplicates
@@ -64,7 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; a stage's own scratch tables go once its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        drop_scratch(spark, keep=("stage-",))
     return STAGES[-1][1](spark, docs, sf_dir)
