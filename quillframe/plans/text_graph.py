@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import text as T
-from quillframe.operators import aggregates, concepts, grading, graph, joins, ranking, vectors
-from quillframe.plans.retrieval import _CHUNKED, _NEAR, _V, _COS, THRESHOLD, TOKEN_SQL, _neighbours, _vectors
+from quillframe.functions import values
+from quillframe.operators import aggregates, concepts, fulltext, grading, graph, joins, ranking, vectors
+from quillframe.plans.retrieval import _BM25, _CHUNKED, _NEAR, _V, _COS, THRESHOLD, TOKEN_SQL, _neighbours, _vectors
 from quillframe.sources.tables import table
 
 
@@ -237,8 +238,48 @@ def cluster_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover.select("cluster", (-F.col("t.p")).alias("page"), share.alias("coverage"), F.when(share >= 0.7, "covered").when(share >= 0.3, "extend").otherwise("new").alias("verdict"))
 
 
+def more_like_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language filter comes after the best 2k, so some queries have fewer than k rows."""
+    d = table(spark, sf_dir, "documents")
+    scores = fulltext.bm25(d, fulltext.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), "doc_id", F.col("text"))
+    return fulltext.top_then_filter(scores, ["qid"], "doc_id", 3, d.where("lang <> 'en'").select("doc_id"))
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = fulltext.postings(table(spark, sf_dir, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn")), "key", {"text": F.col("text"), "role": F.col("role")})
+    return index.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.max("dl").cast("long").alias("longest"))
+
+
+def count_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")).alias("before"), F.count_if(F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")).alias("after"))
+    return e.select("user_id", "before", "after", values.count_drift(F.col("after"), F.col("before")).alias("drift"))
+
+
+def stale_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose latest order is older than one from their nation, by more than 30 days, with the count of such nations' peers."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
+    c = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
+    newest = c.groupBy("c_nationkey").agg(F.max("last").alias("newest"))
+    return c.join(newest, "c_nationkey").where(F.datediff("newest", "last") > 30).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("stale"), F.max(F.datediff("newest", "last")).alias("worst_days"))
+
+
+def first_last_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.sentences(F.col("text")).alias("s"))
+    return b.select("item_id", F.size("s").cast("long").alias("sentences"), F.array_join(values.first_and_last(F.col("s"), 2, 1), " | ").alias("taken"))
+
+
+def weakest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return ranking.ranked(li, ["l_suppkey"], [F.col("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], "place", 3)
+
+
+def claim_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", _lines("text", 40).alias("line"))
+    return d.select("doc_id", values.claim_slug(F.col("line")).alias("slug")).groupBy("slug").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
 QUERIES = {f"q_{f.__name__}": f for f in (
-    claims_by_doc, exact_dup_groups, chunks, term_candidates, keyword_fold, jaccard_pairs, numeric_tokens, numeric_unmatched, negation_parity, extractiveness, overlap_verdict,
+    more_like_then_filter, postings, count_drift, stale_links, first_last_sentences, weakest, claim_slugs, claims_by_doc, exact_dup_groups, chunks, term_candidates, keyword_fold, jaccard_pairs, numeric_tokens, numeric_unmatched, negation_parity, extractiveness, overlap_verdict,
     weighted_recall, slug, top_lines, mode_source, mention_counts, link_graph, broken_links, missing_backlinks, orphans, degree_flow, top_degrees, density, multi_signal_edges, components,
     split_candidates, louvain, edge_reconcile, shared_hubs, cluster_coverage)}
 
@@ -265,6 +306,17 @@ def _component_sql(edges: str) -> str:
 
 
 ORACLES = {
+    "q_more_like_then_filter": f"""WITH {_BM25}, t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM scored),
+        f AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM t WHERE r <= 6 AND doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'en')) SELECT * FROM f WHERE rank <= 3""",
+    "q_postings": f"""WITH x AS (SELECT conv_id * 1000 + turn AS key, 'text' AS field, {TOKEN_SQL.format('text')} AS ts FROM conversations UNION ALL SELECT conv_id * 1000 + turn, 'role', {TOKEN_SQL.format('role')} FROM conversations),
+        t AS (SELECT field, key, len(ts) AS dl, unnest(ts) AS term FROM x) SELECT field, term, count(DISTINCT key) AS df, count(*) AS tf, max(dl) AS longest FROM t GROUP BY 1, 2""",
+    "q_count_drift": """WITH c AS (SELECT user_id, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS before, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS after FROM events GROUP BY 1)
+        SELECT user_id, before, after, abs(after - before) >= greatest(5, floor(before * 0.2::DOUBLE)) AS drift FROM c""",
+    "q_stale_links": """WITH c AS (SELECT c_nationkey, c_custkey, max(o_orderdate) AS last FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2), n AS (SELECT *, max(last) OVER (PARTITION BY c_nationkey) AS newest FROM c)
+        SELECT c_nationkey, count(*) AS stale, max(date_diff('day', last, newest))::INTEGER AS worst_days FROM n WHERE date_diff('day', last, newest) > 30 GROUP BY 1""",
+    "q_first_last_sentences": r"""WITH s AS (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM benchmark)
+        SELECT item_id, len(s) AS sentences, array_to_string(list_concat(s[1:2], CASE WHEN len(s) > 2 THEN s[-1:] ELSE [] END), ' | ') AS taken FROM s""",
+    "q_weakest": "SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, place FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS place FROM lineitem) WHERE place <= 3",
     "q_claims_by_doc": "SELECT doc_id, i - 1 AS position, claim, contains(claim, '|') AS is_table FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS claim, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE length(claim) >= 10",
     "q_exact_dup_groups": "SELECT md5(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING n > 1",
     "q_chunks": f"WITH {_CHUNKED} SELECT doc_id, c AS chunk_id, md5(chunk) AS hash, n_words FROM chunked",

@@ -53,4 +53,4 @@ def test_query(spark, duck, name):
 
 
 def test_only_iterative_queries_lack_sql():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"q_louvain", "q_extractiveness"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"q_louvain", "q_extractiveness", "q_claim_slugs"}
