@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank", depth: int | None = None) -> DataFrame:
     """Ranks from 1 within a group.  With a depth Spark keeps only the best of each task before the shuffle."""
-    out = rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    out = rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
     return out if depth is None else out.where(F.col(name) <= depth)
 
 

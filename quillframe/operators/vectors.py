@@ -71,7 +71,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, same_group: str = "any
         return pd.DataFrame({"qid": left["qid"].to_numpy()[i], "id": ids[at], "grp": grp[at], "cos": found[i, r]})
 
     near = q.select("qid", "vec", "grp", "q", "i", "j").unionByName(v.select("qid", "vec", "grp", "q", "i", "j")).groupBy("i", "j").applyInPandas(best, "qid long, id long, grp long, cos double")
-    r = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "id"))
+    r = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "id")).cast("long")
     return near.withColumn("rank", r).where(F.col("rank") <= k)
 
 

@@ -170,12 +170,12 @@ ORACLES = {
         n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS rank FROM c) SELECT qid, id, greatest(0, least(1, cos)) AS cos, rank FROM n WHERE rank <= 5""",
     "q_sim_join_cross_label": f"WITH {_V} SELECT a.id AS a, b.id AS b, {_COS} AS cos FROM v a JOIN v b ON a.id < b.id AND a.grp <> b.grp WHERE {_COS} >= {THRESHOLD}",
     "q_best_overlap_per_label": f"""WITH {_V}, c AS (SELECT b.grp AS label, a.id AS new_id, b.id AS old_id, {_COS} AS cos FROM v a JOIN v b ON a.grp = 0 AND b.grp <> 0 WHERE {_COS} >= 0.25),
-        r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cos DESC, new_id, old_id) AS k FROM c) SELECT label, new_id, old_id, cos FROM r WHERE k = 1 ORDER BY cos DESC, label LIMIT 10""",
+        r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cos DESC, new_id, old_id) AS k FROM c) SELECT label::BIGINT AS label, new_id, old_id, cos FROM r WHERE k = 1 ORDER BY cos DESC, label LIMIT 10""",
     "q_reciprocal_top1": f"""WITH {_V}, c AS (SELECT a.id, a.grp AS page, b.grp AS best, row_number() OVER (PARTITION BY a.id ORDER BY {_COS} DESC, b.id) AS k FROM v a JOIN v b ON a.grp <> b.grp),
         z AS (SELECT grp AS page, count(*) AS n FROM v GROUP BY 1), s AS (SELECT c.page, best, count(*) / any_value(n) AS share FROM c JOIN z USING (page) WHERE k = 1 AND n >= 8 GROUP BY 1, 2)
-        SELECT x.page AS a, x.best AS b, round(least(x.share, y.share), 6) AS score FROM s x JOIN s y ON x.page = y.best AND x.best = y.page WHERE x.page < x.best AND least(x.share, y.share) >= 0.10""",
+        SELECT x.page::BIGINT AS a, x.best::BIGINT AS b, round(least(x.share, y.share), 6) AS score FROM s x JOIN s y ON x.page = y.best AND x.best = y.page WHERE x.page < x.best AND least(x.share, y.share) >= 0.10""",
     "q_cluster_representatives": f"""WITH {_V}, m AS (SELECT grp, d, avg(e[d]) AS x FROM v, range(1, 65) r(d) GROUP BY 1, 2), u AS (SELECT grp, list(x / z ORDER BY d) AS c FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY grp)) AS z FROM m) GROUP BY 1),
-        n AS (SELECT v.grp, id, round(list_inner_product(e, c), 6) AS cos FROM v JOIN u USING (grp)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cos DESC, id) AS rank FROM n) WHERE rank <= 8""",
+        n AS (SELECT v.grp::BIGINT AS grp, id, round(list_inner_product(e, c), 6) AS cos FROM v JOIN u USING (grp)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cos DESC, id) AS rank FROM n) WHERE rank <= 8""",
     "q_knn_vote": f"""WITH {_NEAR}, k AS (SELECT qid, grp, count(*) AS votes, min(rank) AS f FROM n WHERE rank <= 5 GROUP BY 1, 2), r AS (SELECT *, sum(votes) OVER (PARTITION BY qid) AS t, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, f) AS r FROM k)
         SELECT qid, grp::BIGINT AS category, round(votes / t, 6) AS confidence, votes >= 3 AS strong FROM r WHERE r = 1""",
     "q_loo_confusion": f"""WITH {_NEAR}, k AS (SELECT qid, qgrp, grp, count(*) AS votes, min(rank) AS f FROM n WHERE rank <= 5 GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, f) AS r FROM k)
