@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +17,9 @@ from pyspark.sql import functions as F
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Texts that a Python worker gets at a time.
+TEXT_ROWS = 1_000
+
 #: A side of a join is broadcast only if rows * width is known to stay below this.
 BROADCAST_LIMIT = 32 * 1024 * 1024
 
@@ -51,6 +59,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, actions send Python at most so many rows at a time; for wide rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+_kept: dict[str, Any] = {}
+
+
+def kept_in_worker(key: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one thing at a time, so that the caches of operators that follow each
+    other don't add up."""
+    if _kept.get("key") != key:
+        _kept.clear()
+        _kept.update(key=key, value=make())
+    return _kept["value"]
+
+
+def give_back() -> None:
+    """Returns memory that Python and Arrow no longer use to the system; workers stay idle beside JVM stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def small_side(df: DataFrame, rows: int, width: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows of ``width`` bytes fit the limit, else as it is,
     so that Spark joins it by sort and merge, splitting skewed partitions."""

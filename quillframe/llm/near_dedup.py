@@ -33,11 +33,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import materialise, small_side
+from quillframe.llm.common import TEXT_ROWS, arrow_batches, give_back, kept_in_worker, materialise, small_side
 
 REGISTERS, ROWS, BANDS = 128, 4, 32
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 WORDS, PERCENT = 5, 80
+#: Rows with whole sets that a Python worker gets at a time.
+WIDE_ROWS = 200
 #: Shingles of the members on either side of a block in step 4: a 64th of all, within these bounds.
 LEAST_BLOCK, MOST_BLOCK = 20_000, 400_000
 
@@ -160,7 +162,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """id, n, s1, s2 (which tell equal sets), regs of every row of ``docs`` (id, text)."""
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(words)
+        shingler = kept_in_worker(f"shingler {words}", lambda: Shingler(words))
         for batch in batches:
             texts, out = batch["text"].tolist(), []
             for at in range(0, len(texts), 32):
@@ -169,6 +171,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     out.append((len(s), *np.array(sums).view(np.int64).tolist(), sketch(s).astype("<u2").tobytes() if len(s) else b""))
             told = pd.DataFrame(out, columns=["n", "s1", "s2", "regs"])
             yield pd.concat([batch[["id"]].reset_index(drop=True).astype({"id": "Int64"}), told], axis=1)
+        give_back()
 
     return docs.mapInPandas(sketched, "id long, n long, s1 long, s2 long, regs binary")
 
@@ -177,15 +180,17 @@ def _sets(ids: DataFrame, docs: DataFrame, words: int, name: str) -> DataFrame:
     """id, hashes: the full sets of these documents only."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(words)
+        shingler = kept_in_worker(f"shingler {words}", lambda: Shingler(words))
         for batch in batches:
             texts, out = batch["text"].tolist(), []
             for at in range(0, len(texts), 32):
                 out += [s.tobytes() for s in shingler.sets(texts[at : at + 32])]
             yield pd.DataFrame({"id": batch["id"], "hashes": out})
+        give_back()
 
     ids = materialise(ids.distinct(), f"near-ids-{name}")
-    return materialise(docs.join(small_side(ids, ids.count(), 24), "id", "left_semi").mapInPandas(made, "id long, hashes binary"), f"near-sets-{name}")
+    with arrow_batches(docs.sparkSession, WIDE_ROWS):
+        return materialise(docs.join(small_side(ids, ids.count(), 24), "id", "left_semi").mapInPandas(made, "id long, hashes binary"), f"near-sets-{name}")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -207,7 +212,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
     likely = materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(by_sketch, "a long, b long"), "near-likely")
     sets = _sets(likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))), docs, words, "pairs")
     full = lambda s: sets.select(F.col("id").alias(s), F.col("hashes").alias(f"set_{s}"))
-    return materialise(likely.join(full("a"), "a").join(full("b"), "b").mapInPandas(by_set, "a long, b long"), "near-links")
+    with arrow_batches(docs.sparkSession, WIDE_ROWS):
+        return materialise(likely.join(full("a"), "a").join(full("b"), "b").mapInPandas(by_set, "a long, b long"), "near-links")
 
 
 def components(links: DataFrame, name: str = "near") -> DataFrame:
@@ -291,7 +297,8 @@ def _rest_links(wide: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Every row's component: id_col, n_shingles, component_id, kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    told = materialise(sketches(rows, words), "near-sketches")
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        told = materialise(sketches(rows, words), "near-sketches")
     named = told.where("n > 0 and id is not null")
     classes = materialise(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.first("regs").alias("regs")), "near-classes")
     width = 2 * ROWS

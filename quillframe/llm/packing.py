@@ -22,14 +22,13 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import materialise
+from quillframe.llm.common import TEXT_ROWS, arrow_batches, give_back, kept_in_worker, materialise
 
 SEQUENCE = 4096
 END_ID = 1
@@ -37,7 +36,7 @@ LEAST_BUCKET_ROWS = 2_000
 CARRY = 4
 FAN = 16
 #: Entries a worker keeps of its table from words to ids.
-WORDS_KEPT = 1_200_000
+WORDS_KEPT = 500_000
 #: Byte-level vocabularies write bytes that don't print as the characters from 256.
 _PRINTING = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTING)}
@@ -94,11 +93,10 @@ class WordTokenizer:
             self.known.clear()
 
 
-@lru_cache(maxsize=1)
 def word_tokenizer(path: str) -> WordTokenizer:
     """One a Python worker, kept from task to task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordTokenizer(path)
+    return kept_in_worker(path, lambda: WordTokenizer(path))
 
 
 def cut(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -114,6 +112,7 @@ def cut(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 ids += end
                 rows += [(doc, k, k * sequence, min(step, len(ids) - k * step) // 4, zlib.crc32(ids[k * step : (k + 1) * step])) for k in range(-(-len(ids) // step))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(pieces, _PIECE)
 
@@ -180,4 +179,6 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, carry: int = CARRY, fan: i
 
 def best_fit_pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Every piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialise(cut(docs, vocabulary or vocabulary_path(), id_col, text_col, sequence, end_id), "pack-pieces"), sequence)
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        pieces = materialise(cut(docs, vocabulary or vocabulary_path(), id_col, text_col, sequence, end_id), "pack-pieces")
+    return pack(pieces, sequence)
