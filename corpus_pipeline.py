@@ -20,11 +20,17 @@ def _key(*columns: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
 
 
+def _unused(docs: DataFrame) -> str:
+    """A name that no column has."""
+    return "_k" * (1 + max(map(len, docs.columns), default=0))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a base rule or lie outside their language's perplexity band go."""
-    told = judge(docs.select(_key("doc_id", "lang", "text").alias("_key"), "lang", "text"), id_col="_key")
-    gone = materialise(told.where("not kept").select("_key").distinct(), "rejected")
-    return docs.withColumn("_key", _key("doc_id", "lang", "text")).join(small_side(gone, gone.count(), 24), "_key", "left_anti").select(*docs.columns)
+    key = _unused(docs)
+    told = judge(docs.select(_key("doc_id", "lang", "text").alias(key), "lang", "text"), id_col=key)
+    gone = materialise(told.where("not kept").select(key).distinct(), "rejected")
+    return docs.withColumn(key, _key("doc_id", "lang", "text")).join(small_side(gone, gone.count(), 24), key, "left_anti").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +45,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stands as often as the mix takes it."""
-    mixed = mix(docs.select(_key("doc_id", "text").alias("_key"), "source", "text"), id_col="_key")
+    key = _unused(docs)
+    mixed = mix(docs.select(_key("doc_id", "text").alias(key), "source", "text"), id_col=key)
     # Rows of one key are equal in id and text; they share what was drawn for all of them.
-    copies = materialise(mixed.groupBy("_key").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_all > 0"), "mix-copies")
-    taken = docs.withColumn("_key", _key("doc_id", "text")).join(small_side(copies, copies.count(), 40), "_key")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_all") / F.col("_rows"))))).select(*docs.columns)
+    share = F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int")
+    copies = materialise(mixed.groupBy(key).agg(F.sequence(F.lit(1), share).alias(f"{key}_n"), share.alias("n")).where("n > 0").drop("n"), "mix-copies")
+    taken = docs.withColumn(key, _key("doc_id", "text")).join(small_side(copies, copies.count(), 64), key)
+    return taken.withColumn(f"{key}_c", F.explode(f"{key}_n")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
