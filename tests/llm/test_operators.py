@@ -253,6 +253,18 @@ def test_quality_rejects_noise_and_keeps_prose(spark):
     assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in noisy)
 
 
+def test_quality_bands_reject_on_both_sides(spark):
+    rng = random.Random(9)
+    clean = [(i, prose(rng, 150), "en") for i in range(200)]
+    barred = [(1000 + i, "\n".join(" | ".join(x.split()) for x in prose(rng, 150).split("\n")), "en") for i in range(12)]
+    ends = [w for w in WORDS if w.endswith("les")]  # the commonest end only: what it says is foreseen too well
+    dull = [(2000 + i, " ".join(rng.choice(ends) for _ in range(150)), "en") for i in range(4)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(clean + barred + dull, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i, *_ in clean) and not any(got[i].base_failed for i, *_ in barred + dull)
+    assert all(got[i].log_ppl > got[i].upper for i, *_ in barred)
+    assert all(got[i].log_ppl < got[i].lower for i, *_ in dull)
+
+
 def test_cut_off_keeps_probabilities_proper(spark, docs):
     grams, weights = quality.kneser_ney(quality.count_grams(docs.select("lang", "text")), 3, 150)
     p, w = {(r.lang, r.g): r.logp for r in grams.collect()}, {(r.lang, r.g): r.log_weight for r in weights.collect()}
