@@ -15,9 +15,10 @@ that pass the plain rules, read from exact counts of values rounded to ``STEP``.
 at which the bands take less than 1 % of the documents that ``labels`` calls good (quality 1) and that pass the plain
 rules; measured at sf 0.1.
 
-Size: the distinct character n-grams of a language's words saturate, but noise may add to them without end.  So
-``max_grams`` bounds what is stored and broadcast: beyond it, the rarest n-grams of each order above the first lose
-their own entry, and their mass goes to the shorter context, as always with cut-off models.  All counts still enter.
+Size: every n-gram keeps its entry.  The sorted hashes are cut by their leading bits into parts of about ``PART_ROWS``
+n-grams; the driver gathers and broadcasts a part at a time, and look-ups go part by part to workers that hold
+``PARTS_KEPT`` parts at most and load others when asked.  ``max_grams``, if given, drops the rarest n-grams of each order
+above the first, whose mass goes to the shorter context, as always with cut-off models.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  A null or empty text has no words, fails the base rules and has no perplexity.  Repeated
 rows count as often as they stand there.  An empty table gives an empty result.
@@ -34,6 +35,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,9 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WIDTH = 3.0
 STEP = 0.001
-MAX_GRAMS = 4_000_000
+#: N-grams of the model that the driver and a broadcast hold at a time, and the parts a worker keeps loaded.
+PART_ROWS = 1_000_000
+PARTS_KEPT = 12
 #: Words a task counts, and words a worker keeps the scores of, before it starts anew.
 WORDS_COUNTED = 150_000
 WORDS_SCORED = 250_000
@@ -138,7 +142,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return told.groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> tuple[DataFrame, DataFrame]:
+def kneser_ney(counts: DataFrame, order: int = ORDER, max_grams: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, g, logp) and (lang, g, log_weight): interpolated probabilities of n-grams, and what a context leaves to
     the next shorter one."""
     with arrow_batches(counts.sparkSession, TEXT_ROWS):
@@ -158,7 +162,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         rule = [F.coalesce(F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")), F.lit(0.5 * i)) for i in (1, 2, 3)]
         d = d.select("lang", *[F.greatest(F.lit(0.05), F.least(r, F.lit(i - 0.05))).alias(f"d{i}") for i, r in enumerate(rule, 1)])
-        least = _cut_off(a, max_grams // order) if k > 1 else 1
+        least = _cut_off(a, max_grams // order) if max_grams and k > 1 else 1
         # Joined without a shuffle by language, as a language may hold most n-grams.
         a = a.join(small_side(d, n_langs, 64), "lang")
         context = Window.partitionBy("lang", F.substring("g", 1, k - 1))
@@ -218,11 +222,11 @@ def _key(h: np.ndarray, k: int, salt: np.uint64) -> np.ndarray:
     return _mixed(h * salt + np.uint64(k))
 
 
-class SortedModel:
-    """Sorted hashes of n-grams and contexts, with their log probabilities and weights."""
+class SortedPart:
+    """Sorted hashes of n-grams and contexts that share ``lead`` leading bits, with their log probabilities and weights."""
 
-    def __init__(self, grams: pd.DataFrame, contexts: pd.DataFrame, order: int):
-        self.order = order
+    def __init__(self, grams: pd.DataFrame, contexts: pd.DataFrame, lead: int):
+        self.lead = lead
         self.keys, self.logp = self._sorted(grams)
         self.contexts, self.weights = self._sorted(contexts)
 
@@ -235,19 +239,19 @@ class SortedModel:
         order = np.argsort(keys)
         return keys[order], table["value"].to_numpy(np.float32)[order]
 
-    def _find(self, name: str, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each hash is there, and its value or 0.  Where hashes of the same leading bits begin is kept, so a
-        search takes a step or two."""
+    def find(self, name: str, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is there, and its value or 0.  Where hashes of the same bits behind the leading ones begin is
+        kept, so a search takes a step or two."""
         keys, values = (self.keys, self.logp) if name == "grams" else (self.contexts, self.weights)
         if not len(keys):
             return np.zeros(len(asked), bool), np.zeros(len(asked))
-        bits = max(4, int(len(keys)).bit_length() + 1)
+        lead, bits = np.uint64(self.lead), max(4, int(len(keys)).bit_length() + 1)
         begins = self.__dict__.get("_" + name)
         if begins is None:
-            begins = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+            begins = np.searchsorted(keys << lead, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
             self.__dict__["_" + name] = begins
         last = len(keys) - 1
-        at = np.minimum(begins[(asked >> np.uint64(64 - bits)).astype(np.int64)], last)
+        at = np.minimum(begins[(asked << lead >> np.uint64(64 - bits)).astype(np.int64)], last)
         below = np.flatnonzero(keys[at] < asked)
         while len(below):
             at[below] += 1
@@ -257,6 +261,34 @@ class SortedModel:
         hit = keys[at] == asked
         return hit, np.where(hit, values[at], 0.0)
 
+
+class SortedModel:
+    """The whole model: a broadcast for each of the 2 ** ``lead`` parts, of which a worker keeps ``kept`` loaded."""
+
+    def __init__(self, parts: list[Broadcast], order: int, lead: int, kept: int):
+        self.parts, self.order, self.lead, self.kept = parts, order, lead, kept
+
+    def _loaded(self) -> list[int]:
+        """As the broadcasts themselves know it: they outlive a task in its worker."""
+        return [p for p, part in enumerate(self.parts) if "_value" in vars(part)]
+
+    def _part(self, p: int) -> SortedPart:
+        loaded = self._loaded()
+        if p not in loaded and len(loaded) >= self.kept:
+            vars(self.parts[loaded[-1]]).pop("_value")
+        return self.parts[p].value
+
+    def _find(self, name: str, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.lead:
+            return self._part(0).find(name, asked)
+        hit, values = np.zeros(len(asked), bool), np.zeros(len(asked))
+        which = (asked >> np.uint64(64 - self.lead)).astype(np.int64)
+        loaded = self._loaded()
+        for p in sorted(np.unique(which).tolist(), key=lambda p: p not in loaded):
+            at = np.flatnonzero(which == p)
+            hit[at], values[at] = self._part(p).find(name, asked[at])
+        return hit, values
+
     def score(self, words: list[str], lang: str) -> np.ndarray:
         """The log probability of each word with its end."""
         salt = _lang_salt(lang)
@@ -284,7 +316,9 @@ class SortedModel:
 
 
 def stored(probabilities: DataFrame, weights: DataFrame, order: int = ORDER) -> SortedModel:
-    """Hashes are taken by the executors; what comes to the driver is bounded by ``max_grams`` and their contexts."""
+    """Hashes are taken by the executors; one part at a time comes to the driver.  Contexts are no more than n-grams."""
+    spark = probabilities.sparkSession
+    lead = max(0, (probabilities.count() - 1) // PART_ROWS).bit_length()
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -296,8 +330,18 @@ def stored(probabilities: DataFrame, weights: DataFrame, order: int = ORDER) ->
                 keys[rows] = _key(h, int(k), _lang_salt(lang))
             yield pd.DataFrame({"key": keys.view(np.int64), "value": batch["value"].to_numpy(np.float32)})
 
-    take = lambda df, c: df.select("lang", "g", F.col(c).alias("value")).mapInPandas(hashed, "key long, value float").toArrow().to_pandas()
-    return SortedModel(take(probabilities, "logp"), take(weights, "log_weight"), order)
+    def keyed(df: DataFrame, c: str) -> DataFrame:
+        keys = df.select("lang", "g", F.col(c).alias("value")).mapInPandas(hashed, "key long, value float")
+        # In the order of hashes, so that reading a part skips the row groups of others.
+        return materialise(keys.repartitionByRange(1 << lead, "key").sortWithinPartitions("key"), "lm-keys") if lead else keys
+
+    tables, parts = (keyed(probabilities, "logp"), keyed(weights, "log_weight")), []
+    for p in range(1 << lead):
+        least = p << 64 - lead
+        least -= least >> 63 << 64  # as a signed number
+        of = F.col("key").between(least, least + (1 << 64 - lead) - 1) if lead else F.lit(True)
+        parts.append(spark.sparkContext.broadcast(SortedPart(*[t.where(of).toArrow().to_pandas() for t in tables], lead)))
+    return SortedModel(parts, order, lead, PARTS_KEPT)
 
 
 # ---- scores, bands and verdicts
@@ -305,7 +349,7 @@ def stored(probabilities: DataFrame, weights: DataFrame, order: int = ORDER) ->
 
 def score(docs: DataFrame, model: SortedModel, id_col: str = "doc_id") -> DataFrame:
     """id, lang, the plain counts and log_ppl of every document."""
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    name = uuid.uuid4().hex
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = kept_in_worker(name, lambda: defaultdict(dict))
@@ -322,7 +366,7 @@ def score(docs: DataFrame, model: SortedModel, id_col: str = "doc_id") -> DataFr
                 for lang, ws in new.items():
                     fresh = list(ws.difference(known[lang]))
                     if fresh:
-                        known[lang].update(zip(fresh, shared.value.score(fresh, lang).tolist(), strict=True))
+                        known[lang].update(zip(fresh, model.score(fresh, lang).tolist(), strict=True))
                 for text, lang, ws in zip(texts[at : at + 64], langs[at : at + 64], words, strict=True):
                     counts = base_counts(text or "", ws)
                     out.append((*counts, -sum(map(known[lang].__getitem__, ws)) / (counts[0] + counts[1]) if ws else None))
@@ -345,7 +389,7 @@ def bands(scores: DataFrame, width: float = WIDTH) -> DataFrame:
     return q.select("lang", (F.col("q1") - width * spread).alias("lower"), (F.col("q3") + width * spread).alias("upper"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, width: float = WIDTH, max_grams: int = MAX_GRAMS) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, width: float = WIDTH, max_grams: int | None = None) -> DataFrame:
     """Every document's counts and verdict: id_col, lang, n_words .. n_repeat_words, log_ppl, base_failed, lower, upper, kept."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     model = stored(*kneser_ney(count_grams(rows, order), order, max_grams), order)

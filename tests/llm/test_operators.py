@@ -279,6 +279,26 @@ def test_cut_off_keeps_probabilities_proper(spark, docs):
         assert 0.9 < sum(prob(h, c) for c in letters) <= 1.0 + 1e-6
 
 
+def test_quality_model_is_whole_in_parts(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "PART_ROWS", 500)
+    monkeypatch.setattr(quality, "PARTS_KEPT", 2)
+    grams, weights = quality.kneser_ney(quality.count_grams(docs.select("lang", "text")))
+    model = quality.stored(grams, weights)
+    parts = [p.value for p in model.parts]
+    assert len(parts) > 2 and all(len(p.keys) for p in parts)
+    assert sum(len(p.keys) for p in parts) == grams.count() and sum(len(p.contexts) for p in parts) == weights.count()
+    words = Counter(w for _, t, lang, *_ in corpus() if lang == "en" for w in words_of(t) if quality._regular(w))
+    plain, asked = PlainModel(words, quality.ORDER), [*sorted(words)[:300], "a#b", "\u4e2d"]
+    for part in model.parts:
+        vars(part).pop("_value", None)
+    assert np.allclose(model.score(asked, "en"), [plain.score(w) for w in asked], atol=1e-3)
+    assert len(model._loaded()) == 2
+    rows = quality.judge(docs).select("doc_id", "log_ppl").collect()
+    monkeypatch.undo()
+    whole = Counter((r.doc_id, r.log_ppl and round(r.log_ppl, 6)) for r in quality.judge(docs).collect())
+    assert Counter((r.doc_id, r.log_ppl and round(r.log_ppl, 6)) for r in rows) == whole
+
+
 # ---- 5 packing
 
 
