@@ -36,6 +36,12 @@ def knn_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(v.where("id % 50 = 7"), v.where("grp in (1, 3, 5) and id % 10 <> 3"), 5, positive=False).select("qid", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "cos")), 6).alias("cos"), "rank")
 
 
+def knn_text_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeds of q_knn_seed as queries, all rows of the filtered groups searched."""
+    v = _vectors(spark, sf_dir)
+    return vectors.top_k(v.where("id % 50 = 0"), v.where("grp in (1, 3, 5)"), 5, positive=False).select("qid", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "cos")), 6).alias("cos"), "rank")
+
+
 def sim_join_cross_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.similar_pairs(_vectors(spark, sf_dir), THRESHOLD)
 
@@ -96,14 +102,23 @@ def bm25_more_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.top(scores, ["qid"], "doc_id", 5)
 
 
-def bm25_local_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks ranked inside their own source, with that source's statistics."""
+def _local_chunks(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     parts = ranking.chunks(d, "doc_id", "text").join(d.select("doc_id", "source"), "doc_id").withColumn("key", F.col("doc_id") * 10_000 + F.col("chunk_id"))
-    terms = fulltext.query_terms(table(spark, sf_dir, "benchmark").where("item_id < 3"), "item_id", "text")
+    terms = fulltext.query_terms(items, "item_id", "text")
     return fulltext.top(fulltext.bm25(parts, terms, "key", F.col("chunk"), "source"), ["qid", "source"], "key", 3)
 
 
+def bm25_local_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks ranked inside their own source, with that source's statistics, for the three items of its SQL."""
+    return _local_chunks(spark, sf_dir, table(spark, sf_dir, "benchmark").where("item_id < 3"))
+
+
+def bm25_local_chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all benchmark items."""
+    return _local_chunks(spark, sf_dir, table(spark, sf_dir, "benchmark"))
+
+
 def like_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = fulltext.token_count_score(table(spark, sf_dir, "documents"), _queries(spark, sf_dir), "doc_id", F.col("text"))
     return fulltext.top(scores, ["qid"], "doc_id", 10)
@@ -135,8 +150,8 @@ def ranking_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f"q_{f.__name__}": f for f in (
-    knn_seed, knn_text_filter, sim_join_cross_label, best_overlap_per_label, reciprocal_top1, cluster_representatives, knn_vote, loo_confusion, adaptive_select,
-    bm25_topk, bm25_more_like, bm25_local_chunks, like_token_count, rrf_hybrid, rank_metrics, ranking_overlap)}
+    knn_seed, knn_text_filter, knn_text_filter_all, sim_join_cross_label, best_overlap_per_label, reciprocal_top1, cluster_representatives, knn_vote, loo_confusion, adaptive_select,
+    bm25_topk, bm25_more_like, bm25_local_chunks, bm25_local_chunks_all, like_token_count, rrf_hybrid, rank_metrics, ranking_overlap)}
 
 
 def _bm25(docs: str, terms: str, key: str, local: str | None = None) -> str:
@@ -196,3 +211,6 @@ ORACLES = {
     "q_ranking_overlap": f"""WITH {_TWO}, f AS (SELECT coalesce(x.qid, y.qid) AS qid, x.doc_id AS a, y.doc_id AS b FROM (FROM r1 WHERE rank <= 10) x FULL JOIN (FROM r2 WHERE rank <= 10) y ON x.qid = y.qid AND x.doc_id = y.doc_id)
         SELECT qid, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS stayed, count(*) FILTER (a IS NULL) AS entered, count(*) FILTER (b IS NULL) AS left_out FROM f GROUP BY 1""",
 }
+# Nothing but the subsets of queries and rows is left out.
+ORACLES["q_bm25_local_chunks_all"] = ORACLES["q_bm25_local_chunks"].replace(" WHERE item_id < 3", "")
+ORACLES["q_knn_text_filter_all"] = ORACLES["q_knn_text_filter"].replace("a.id % 50 = 7", "a.id % 50 = 0").replace(" AND b.id % 10 <> 3", "")

@@ -54,3 +54,12 @@ def test_query(spark, duck, name):
 
 def test_only_iterative_queries_lack_sql():
     assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"q_louvain", "q_extractiveness", "q_claim_slugs"}
+
+
+def test_whole_queries_take_every_item_and_row(spark, duck):
+    ids = lambda sql: {r[0] for r in duck.sql(sql).fetchall()}
+    chunks = catalogue.QUERIES["q_bm25_local_chunks_all"](spark, FOLDER).toPandas()
+    assert set(chunks["qid"]) == ids("SELECT item_id FROM benchmark")
+    near = catalogue.QUERIES["q_knn_text_filter_all"](spark, FOLDER).toPandas()
+    assert set(near["qid"]) == ids("SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0")
+    assert (near["id"] % 10 == 3).any()
