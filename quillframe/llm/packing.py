@@ -33,8 +33,8 @@ from quillframe.llm.common import TEXT_ROWS, arrow_batches, give_back, kept_in_w
 SEQUENCE = 4096
 END_ID = 1
 LEAST_BUCKET_ROWS = 2_000
-CARRY = 4
-FAN = 16
+CARRY = 64
+FAN = 4
 #: Entries a worker keeps of its table from words to ids.
 WORDS_KEPT = 800_000
 #: Byte-level vocabularies write bytes that don't print as the characters from 256.

@@ -341,6 +341,16 @@ def test_packing_levels(spark, monkeypatch):
     assert len(used) <= 1.06 * sum(lengths) / 1000 + 1
 
 
+def test_packing_many_buckets_leaves_little_open(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LEAST_BUCKET_ROWS", 200)
+    rng = random.Random(5)
+    lengths = [min(4096, int(rng.lognormvariate(6.3, 1)) + 1) for _ in range(6000)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing._PIECE)
+    used = packing.pack(pieces).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert sum(r.n for r in used) == sum(lengths) and max(r.n for r in used) <= 4096
+    assert len(used) <= 1.002 * -(-sum(lengths) // 4096)
+
+
 def test_sum_of_squares_takes_the_least_sum():
     rng = random.Random(2)
     lengths = np.array([rng.randint(1, 30) for _ in range(200)])
