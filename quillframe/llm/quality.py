@@ -1,140 +1,244 @@
 """Quality rules: plain counts, and the perplexity of a modified Kneser-Ney n-gram model.
 
-The model predicts the characters of a word, its end included, from up to ``ORDER - 1`` characters before them,
-the word's start included; it is counted from all texts, a model a language (a null language is one, too).
-Only regular words are counted: without ``#*$%&|<>`` and without capitals behind the first character, or single
-characters but these, so that noise in the corpus doesn't teach the model to expect noise.
-Tasks count whole words first and send each n-gram once with its count; Spark sums the counts, derives the
+The model predicts the characters of a text from up to ``ORDER - 1`` before them, across word boundaries: every run of
+white space, the end of a text included, is one space, and a text begins behind ``ORDER - 1`` start marks.  There is a model a
+language; a null language is one, too, and the same as the empty one.  It learns from all documents that pass the plain
+rules and hold at most one symbol of ``#*$%&|<>`` in ten words, so that noise doesn't teach it to expect noise; of those every
+word counts.  Tasks sort packed n-grams and send each once with its count; Spark sums the counts, derives the
 continuation counts of lower orders, the three discounts of each order from its counts of counts, and the interpolated
 probabilities.  The result is kept as arrays of sorted 64-bit hashes.
 
-A document's log perplexity is its words' negative log probability over their characters and ends.  A
+A document's log perplexity is the mean negative log probability of its symbols, words and the spaces behind them.  A
 language's band lies ``WIDTH`` times the distance of its quartiles outside them; documents above are strange to
 their language, those below repeat its commonest parts.  The quartiles are those of all documents
 that pass the plain rules, read from exact counts of values rounded to ``STEP``.  ``WIDTH`` is the least whole number
-at which the bands take less than 1 % of the documents that ``labels`` calls good (quality 1) and that pass the plain
-rules; measured at sf 0.1.
+at which the bands take less than 0.2 % of the documents that ``labels`` calls good (quality 1) and that pass the plain
+rules; measured at sf 0.1.  A language without a document to learn from has log perplexity 0 everywhere, which its band holds.
 
 Size: every n-gram keeps its entry.  The sorted hashes are cut by their leading bits into parts of about ``PART_ROWS``
 n-grams; the driver gathers and broadcasts a part at a time, and look-ups go part by part to workers that hold
-``PARTS_KEPT`` parts at most and load others when asked.  ``max_grams``, if given, drops the rarest n-grams of each order
-above the first, whose mass goes to the shorter context, as always with cut-off models.
+``PARTS_KEPT`` parts at most and load others when asked.  A worker's memory grows with its longest text, by about 80 bytes a
+character.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  A null or empty text has no words, fails the base rules and has no perplexity.  Repeated
-rows count as often as they stand there.  An empty table gives an empty result.
+rows count as often as they stand there; ids, null or not, are only carried along.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import TEXT_ROWS, arrow_batches, give_back, kept_in_worker, materialise, small_side
+from quillframe.llm.common import TEXT_ROWS, arrow_batches, give_back, materialise, small_side
 
 ORDER = 5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-WIDTH = 3.0
+#: Documents with more symbols than this share of their words don't train the model.
+MAX_SYMBOL_SHARE = 0.1
+WIDTH = 4.0
 STEP = 0.001
 #: N-grams of the model that the driver and a broadcast hold at a time, and the parts a worker keeps loaded.
 PART_ROWS = 1_000_000
 PARTS_KEPT = 12
-#: Words a task counts, and words a worker keeps the scores of, before it starts anew.
-WORDS_COUNTED = 150_000
-WORDS_SCORED = 250_000
-START, END = "\x02", "\x03"
-_WORDS = re.compile(r"[^ \t-\r]+").findall
-_IRREGULAR = re.compile(r"[#*$%&|<>]")
+#: Characters of a language that a task reads at once, symbols it packs at once, and n-grams it sums up before it sends them.
+READ_CHARS, PACKED, HELD = 1 << 19, 1 << 20, 1_000_000
+START = "\x02"
+#: Packed n-grams give a character so many bits: its number in order of appearance in the task.
+BITS = 12
 _SPACES, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
+_U = np.uint64
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-# ---- plain counts
+# ---- texts as arrays, and plain counts
 
 
-def repeated_words(words: list[str]) -> int:
-    """Words that stand in a 3-word window found twice or more."""
-    if len(words) < 4:
-        return 0
-    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-    windows = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ (h[1:-1] << np.uint64(21) | h[1:-1] >> np.uint64(43))) * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
-    order = np.argsort(windows, kind="stable")
-    same = windows[order[1:]] == windows[order[:-1]]
-    if not same.any():
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
+    return x ^ (x >> _U(29))
+
+
+_ODD = _U(0x9E3779B97F4A7C15)
+_INVERSE = _U(pow(int(_ODD), -1, 1 << 64))
+_IS_SYMBOL = np.isin(np.arange(128), [ord(c) for c in _SYMBOLS])
+_powers_of: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    known = _powers_of.get(int(base))
+    if known is None or len(known) < n:
+        known = _powers_of[int(base)] = np.cumprod(np.concatenate([np.ones(1, _U), np.full(max(n, READ_CHARS), base, _U)]), dtype=_U)
+    return known[:n]
+
+
+class Texts:
+    """Whole texts as one array of code points: ``pad`` start marks before each, and one space behind each word.
+
+    ``codes``, ``event`` (False for the marks), ``sizes`` (symbols a text, marks included) and ``counts`` (a row of BASE each)."""
+
+    def __init__(self, texts: list[str | None], pad: int = ORDER - 1):
+        texts = [t or "" for t in texts]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + pad + 1
+        codes = np.frombuffer("".join([START * pad + t + " " for t in texts]).encode("utf-32-le", "surrogatepass"), "<u4")
+        first = np.cumsum(lengths) - lengths
+        marks = (first[:, None] + np.arange(pad)).ravel()
+        space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        char = ~space
+        char[marks] = False
+        after = np.zeros_like(char)
+        after[1:] = char[:-1]
+        end = space & after
+        event = char | end
+        keep = event.copy()
+        keep[marks] = True
+        self.codes = np.where(space, np.uint32(32), codes)[keep]
+        self.event = event[keep]
+        per_text = lambda mask: np.add.reduceat(mask, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+        self.sizes = per_text(keep)
+        n_words = per_text(end)
+        symbols = _IS_SYMBOL[np.minimum(codes, 127)]
+        repeated = self._repeated(codes, np.flatnonzero(char & ~after), np.flatnonzero(end), n_words)
+        self.counts = np.stack([n_words, per_text(char), per_text(symbols), np.fromiter(map(dup_lines, texts), np.int64, len(texts)), repeated], 1)
+
+    @staticmethod
+    def _repeated(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        """Words that stand in a 3-word window found twice or more in their text."""
+        if len(starts) < 4:
+            return np.zeros(len(n_words), np.int64)
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mixed(codes.astype(_U) + _ODD) * _powers(_ODD, len(codes)), dtype=_U)])
+        h = _mixed((sums[ends] - sums[starts]) * _powers(_INVERSE, len(codes))[starts] + (ends - starts).astype(_U))
+        text = np.repeat(np.arange(len(n_words), dtype=_U), n_words)
+        windows = _mixed((h[:-2] * _ODD + h[1:-1]) * _ODD + h[2:] + text[2:] * _U(0xC2B2AE3D27D4EB4F))
+        windows = np.where(text[2:] == text[:-2], windows, np.arange(len(windows), dtype=_U))  # apart from all others
+        ordered = np.sort(windows)
+        often = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        inside = np.zeros(len(h), bool)
+        if len(often):
+            at = np.flatnonzero(pd.Index(often).get_indexer(windows) >= 0)
+            at = at[text[at + 2] == text[at]]
+            for k in range(3):
+                inside[at + k] = True
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(inside)])[np.concatenate([np.zeros(1, np.int64), np.cumsum(n_words)])]
+        return np.diff(upto)
+
+
+def dup_lines(text: str) -> int:
+    """Lines with a word that equal an earlier line."""
+    if "\n" not in text:
         return 0
-    at = np.concatenate([order[1:][same], order[:-1][same]])
-    inside = np.zeros(len(words), bool)
-    for k in range(3):
-        inside[at + k] = True
-    return int(inside.sum())
+    lines = [x for x in text.split("\n") if x.strip(_SPACES)]
+    return len(lines) - len(set(lines))
 
 
-def base_counts(text: str, words: list[str]) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    lines = [x for x in text.split("\n") if x.strip(_SPACES)]
-    return len(words), len(text) - sum(map(text.count, _SPACES)), sum(map(text.count, _SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
+def base_failed(counts: np.ndarray) -> np.ndarray:
+    return (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
 
 
-def base_failed(n_words: int, n_repeat_words: int) -> bool:
-    return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words
+def teaches(counts: np.ndarray) -> np.ndarray:
+    """Which texts the model learns from."""
+    return ~base_failed(counts) & (counts[:, 2] <= MAX_SYMBOL_SHARE * counts[:, 0])
 
 
-# ---- counts and estimation
+class Packer:
+    """N-grams as numbers, BITS bits a character; a span of places with too many characters is halved until it fits."""
+
+    def __init__(self, order: int = ORDER):
+        if order * BITS > 63:
+            raise ValueError("n-grams of this order don't fit a number")
+        self.order, self.number, self.known = order, np.zeros(0x110000, np.uint16), [0]
 
+    def room(self, codes: np.ndarray) -> bool:
+        """Numbers new characters, unless there are too many."""
+        number = self.number[codes]
+        new = np.unique(codes[number == 0])
+        if len(self.known) + len(new) > 1 << BITS:
+            return False
+        self.number[new] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known += new.tolist()
+        return True
 
-def word_grams(word: str, order: int = ORDER) -> list[str]:
-    """The n-gram that ends at each character of a word and at its end: as long as possible, up to ``order``."""
-    s = START + word + END
-    return [s[max(0, i - order + 1) : i + 1] for i in range(1, len(s))]
+    def forget(self) -> None:
+        self.number[:], self.known = 0, [0]
 
+    def keys(self, codes: np.ndarray) -> np.ndarray:
+        """The n-gram that ends at each place from ``order - 1`` on."""
+        ids, n = self.number[codes].astype(_U), len(codes) - self.order + 1
+        out = ids[self.order - 1 :].copy()
+        for k in range(1, self.order):
+            out |= ids[self.order - 1 - k :][:n] << _U(BITS * k)
+        return out
 
-def _regular(word: str) -> bool:
-    return len(word) == 1 and word not in _SYMBOLS or word.isalpha() and word[1:].islower() or word[1:] == word[1:].lower() and not _IRREGULAR.search(word)
+    def characters(self, keys: np.ndarray) -> np.ndarray:
+        """[n-gram, place]: the code points."""
+        known = np.array(self.known, np.uint32)
+        return np.stack([known[(keys >> _U(BITS * k) & _U((1 << BITS) - 1)).astype(np.int64)] for k in range(self.order - 1, -1, -1)], 1)
 
 
-def summed_grams(words: dict[str, int], order: int = ORDER) -> tuple[list[str], np.ndarray]:
-    """The n-grams of counted words, each once, with their counts; ``word_grams`` for all words at once."""
-    joined = "".join([START + w + END for w in words])
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.flatnonzero(place > 0)
-    size = np.minimum(place[at] + 1, order)
-    keys = np.zeros(len(at), np.uint64)
-    for k, h in enumerate(gram_hashes(codes, order)):
-        keys[size == k] = h[at[size == k]]
-    _, first, which = np.unique(_mixed(keys + size.astype(np.uint64)), return_index=True, return_inverse=True)
-    n = np.bincount(which, np.repeat(np.fromiter(words.values(), np.int64, len(words)), lengths)[at]).astype(np.int64)
-    return [joined[i - k + 1 : i + 1] for i, k in zip(at[first].tolist(), size[first].tolist(), strict=True)], n
+# ---- counts and estimation
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")  # of two sorted runs: one merge
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([np.ones(1, bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first)
 
 
 def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, g, n over all words of ``docs`` (lang, text)."""
+    """lang, g, n: the n-grams of ``order`` characters of all documents (lang, text) to learn from."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: dict[str, Counter] = defaultdict(Counter)
+        packer, held = Packer(order), {}
+        waiting: dict[str, list[str | None]] = defaultdict(list)
+        sizes: dict[str, int] = defaultdict(int)
 
         def told() -> Iterator[pd.DataFrame]:
-            for lang, counted in words.items():
-                grams, n = summed_grams({w: c for w, c in counted.items() if _regular(w)}, order)
-                yield pd.DataFrame({"lang": lang, "g": grams, "n": n})
-            words.clear()
+            for lang, (keys, n) in held.items():
+                joined = packer.characters(keys).astype("<u4").tobytes().decode("utf-32-le", "replace")
+                yield pd.DataFrame({"lang": lang, "g": [joined[i : i + order] for i in range(0, len(joined), order)], "n": n})
+            held.clear()
+
+        def read(lang: str) -> Iterator[pd.DataFrame]:
+            texts = Texts(waiting.pop(lang), order - 1)
+            sizes[lang] = 0
+            kept = np.repeat(teaches(texts.counts), texts.sizes)
+            codes, counted = texts.codes[kept], texts.event[kept]
+            at = order - 1
+            while at < len(codes):
+                to = min(len(codes), at + PACKED)
+                while not packer.room(codes[at - order + 1 : to]):
+                    if len(packer.known) > 1:
+                        yield from told()
+                        packer.forget()
+                    else:
+                        to = at + max(1, (to - at) // 2)
+                keys = np.sort(packer.keys(codes[at - order + 1 : to])[counted[at:to]])
+                if len(keys):
+                    first = np.flatnonzero(np.concatenate([np.ones(1, bool), keys[1:] != keys[:-1]]))
+                    new = keys[first], np.diff(first, append=len(keys))
+                    held[lang] = _summed(*map(np.concatenate, zip(held[lang], new, strict=True))) if lang in held else new
+                    if sum(len(k) for k, _ in held.values()) > HELD:
+                        yield from told()
+                at = to
 
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                words[lang].update(_WORDS(text or ""))
-                if sum(map(len, words.values())) > WORDS_COUNTED:
-                    yield from told()
+                waiting[lang].append(text)
+                sizes[lang] += len(text or "")
+                if sizes[lang] > READ_CHARS:
+                    yield from read(lang)
+        for lang in list(waiting):
+            yield from read(lang)
         yield from told()
         give_back()
 
@@ -142,84 +246,52 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return told.groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER, max_grams: int | None = None) -> tuple[DataFrame, DataFrame]:
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     """(lang, g, logp) and (lang, g, log_weight): interpolated probabilities of n-grams, and what a context leaves to
-    the next shorter one."""
+    the next shorter one.  The n-gram "" stands for an unseen character, once the context "" has left it its share."""
     with arrow_batches(counts.sparkSession, TEXT_ROWS):
         counts = materialise(counts, "lm-counts")
-    counts = counts.withColumn("k", F.length("g"))
-    adjusted = {order: counts.where(F.col("k") == order).select("lang", "g", F.col("n").alias("a"))}
-    for k in range(order - 1, 0, -1):
-        # How many characters stand before it; after a word's start nothing can, so the count itself is taken.
-        before = adjusted[k + 1].groupBy("lang", F.expr("substring(g, 2)").alias("g")).agg(F.count(F.lit(1)).alias("a"))
-        adjusted[k] = materialise(before.unionByName(counts.where(F.col("k") == k).select("lang", "g", F.col("n").alias("a"))), f"lm-adjusted-{k}")
-    probabilities, weights = {}, []
-    n_langs = adjusted[1].select("lang").distinct().count()
-    for k in range(1, order + 1):
-        a = adjusted[k]
-        n = [F.count(F.when(F.col("a") == i, 1)).alias(f"n{i}") for i in range(1, 5)]
-        d = a.groupBy("lang").agg(*n)
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        rule = [F.coalesce(F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")), F.lit(0.5 * i)) for i in (1, 2, 3)]
-        d = d.select("lang", *[F.greatest(F.lit(0.05), F.least(r, F.lit(i - 0.05))).alias(f"d{i}") for i, r in enumerate(rule, 1)])
-        least = _cut_off(a, max_grams // order) if max_grams and k > 1 else 1
-        # Joined without a shuffle by language, as a language may hold most n-grams.
-        a = a.join(small_side(d, n_langs, 64), "lang")
-        context = Window.partitionBy("lang", F.substring("g", 1, k - 1))
-        discounted = F.col("a") - F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = F.when(F.col("a") >= least, discounted)
-        a = a.select("lang", "g", (own / F.sum("a").over(context)).alias("own"), F.substring("g", 1, k - 1).alias("ctx"), F.count(F.lit(1)).over(Window.partitionBy("lang")).alias("types") if k == 1 else F.lit(0).alias("types"))
-        a = a.withColumn("weight", F.greatest(F.lit(1e-9), 1 - F.coalesce(F.sum("own").over(Window.partitionBy("lang", "ctx")), F.lit(0.0))))
-        weights.append(a.groupBy("lang", F.col("ctx").alias("g")).agg(F.first("weight").alias("weight")))
-        if k == 1:
-            p = a.where("own is not null").select("lang", "g", (F.col("own") + F.col("weight") / (F.col("types") + 1)).alias("p"))
-            weights.append(a.groupBy("lang").agg((F.lit(1.0) / (F.first("types") + 1)).alias("weight")).select("lang", F.lit(END + START).alias("g"), "weight"))
-        else:
-            # A shorter n-gram without an entry would get its own back-off; its longer ones are rarer, so they are cut, too.
-            lower = probabilities[k - 1].select("lang", F.col("g").alias("suffix"), F.col("p").alias("shorter"))
-            a = a.where("own is not null").withColumn("suffix", F.expr("substring(g, 2)")).join(lower, ["lang", "suffix"], "inner")
-            p = a.select("lang", "g", (F.col("own") + F.col("weight") * F.col("shorter")).alias("p"))
-        probabilities[k] = materialise(p, f"lm-p-{k}")
-    every = lambda parts: reduce(DataFrame.unionByName, parts)
-    return every(list(probabilities.values())).select("lang", "g", F.log("p").alias("logp")), every(weights).select("lang", "g", F.log("weight").alias("log_weight"))
-
-
-def _cut_off(adjusted: DataFrame, most: int) -> int:
-    """The least count with at most ``most`` n-grams of that count or more."""
-    by_count = adjusted.groupBy(F.least("a", F.lit(1_000_000)).alias("a")).agg(F.count(F.lit(1)).alias("n"))
-    over = by_count.withColumn("up", F.sum("n").over(Window.orderBy(F.desc("a"))))
-    found = over.where(F.col("up") <= most).agg(F.min("a")).first()[0]
-    return found if found is not None else 1
+    # A shorter n-gram counts the characters that stand before it: its extensions among all suffixes.
+    suffixes = counts.select("lang", F.explode(F.array(*[F.substring("g", order + 1 - k, k) for k in range(2, order + 1)])).alias("s")).distinct()
+    shorter = suffixes.groupBy("lang", F.expr("substring(s, 2)").alias("g")).agg(F.count(F.lit(1)).alias("a"))
+    a = materialise(shorter.unionByName(counts.withColumnRenamed("n", "a")).withColumn("k", F.length("g")), "lm-adjusted")
+    n = [F.count(F.when(F.col("a") == i, 1)).alias(f"n{i}") for i in range(1, 5)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    rule = [F.coalesce(F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")), F.lit(0.5 * i)) for i in (1, 2, 3)]
+    d = a.groupBy("lang", "k").agg(*n, F.count(F.lit(1)).alias("types"))
+    d = materialise(d.select("lang", "k", "types", *[F.greatest(F.lit(0.05), F.least(r, F.lit(i - 0.05))).alias(f"d{i}") for i, r in enumerate(rule, 1)]), "lm-discounts")
+    # Joined without a shuffle by language, as a language may hold most n-grams; a context has no more n-grams than characters follow it.
+    a = a.join(small_side(d, d.count(), 80), ["lang", "k"]).withColumn("ctx", F.expr("substring(g, 1, k - 1)"))
+    context = Window.partitionBy("lang", "ctx")
+    discounted = F.col("a") - F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
+    a = a.withColumn("own", discounted / F.sum("a").over(context))
+    a = a.withColumn("weight", F.greatest(F.lit(1e-9), 1 - F.sum("own").over(context)))
+    a = materialise(a.select("lang", "g", "k", "types", "ctx", "own", "weight"), "lm-own")
+    probabilities = {1: a.where("k = 1").select("lang", "g", (F.col("own") + F.col("weight") / (F.col("types") + 1)).alias("p"))}
+    for k in range(2, order + 1):
+        lower = probabilities[k - 1].select("lang", F.col("g").alias("suffix"), F.col("p").alias("shorter"))
+        p = a.where(F.col("k") == k).withColumn("suffix", F.expr("substring(g, 2)")).join(lower, ["lang", "suffix"])
+        probabilities[k] = materialise(p.select("lang", "g", (F.col("own") + F.col("weight") * F.col("shorter")).alias("p")), f"lm-p-{k}")
+    unseen = d.where("k = 1").select("lang", F.lit("").alias("g"), (F.lit(1.0) / (F.col("types") + 1)).alias("p"))
+    grams = reduce(DataFrame.unionByName, [unseen, *probabilities.values()])
+    weights = a.groupBy("lang", F.col("ctx").alias("g")).agg(F.first("weight").alias("weight"))
+    return grams.select("lang", "g", F.log("p").alias("logp")), weights.select("lang", "g", F.log("weight").alias("log_weight"))
 
 
 # ---- the stored model
 
-_MULTIPLIER, _MIX = np.uint64(0x100000001B3), np.uint64(0xFF51AFD7ED558CCD)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _MIX
-    return x ^ (x >> np.uint64(29))
-
 
 def _lang_salt(lang: str) -> np.uint64:
-    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")) | 1)
+    return _U(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")) | 1)
 
 
-def gram_hashes(codes: np.ndarray, order: int) -> Iterator[np.ndarray]:
-    """For k from 0 to ``order``: the hash of the k characters that end at each place."""
-    one = _mixed(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    h = np.full(len(codes), 7, np.uint64)
-    yield h
-    for _ in range(order):
-        last = np.empty_like(h)
-        last[:1], last[1:] = 7, h[:-1]
-        h = last * _MULTIPLIER + one
-        yield h
-
-
-def _key(h: np.ndarray, k: int, salt: np.uint64) -> np.ndarray:
-    return _mixed(h * salt + np.uint64(k))
+def gram_hashes(characters: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """One hash a row of code points."""
+    one = _mixed(characters.astype(_U) + _ODD)
+    h = np.full(len(characters), 7, _U)
+    for k in range(characters.shape[1]):
+        h = h * _U(0x100000001B3) + one[:, k]
+    return _mixed(h * salt + _U(characters.shape[1]))
 
 
 class SortedPart:
@@ -289,30 +361,19 @@ class SortedModel:
             hit[at], values[at] = self._part(p).find(name, asked[at])
         return hit, values
 
-    def score(self, words: list[str], lang: str) -> np.ndarray:
-        """The log probability of each word with its end."""
-        salt = _lang_salt(lang)
-        joined = "".join([START + w + END for w in words])
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-        starts = np.cumsum(lengths) - lengths
-        place = np.arange(len(codes)) - np.repeat(starts, lengths)  # within the word
-        h = list(gram_hashes(codes, self.order))
-        total = np.zeros(len(codes))
-        left = np.flatnonzero(place > 0)
-        for k in range(self.order, 0, -1):
-            asked = left[place[left] >= k - 1]
-            if not len(asked):
-                continue
-            hit, logp = self._find("grams", _key(h[k][asked], k, salt))
-            total[asked] += logp
-            missed = asked[~hit]
-            before = h[k - 1][missed - 1] if k > 1 else h[0][missed]
-            total[missed] += self._find("contexts", _key(before, k - 1, salt))[1]
-            left = np.concatenate([left[place[left] < k - 1], missed])
-        unseen = list(gram_hashes(np.array([ord(END), ord(START)], np.uint32), 2))[2][1:]
-        total[left] += self._find("contexts", _key(unseen, 2, salt))[1][0]
-        return np.add.reduceat(total, starts) if len(words) else np.zeros(0)
+    def logp(self, characters: np.ndarray, lang: str) -> np.ndarray:
+        """The log probability of each row's last character behind the others."""
+        salt, total, left = _lang_salt(lang), np.zeros(len(characters)), np.arange(len(characters))
+        for k in range(self.order, -1, -1):
+            if not len(left):
+                break
+            rows = characters[left, self.order - k :]
+            hit, logp = self._find("grams", gram_hashes(rows, salt))
+            total[left] += logp
+            left = left[~hit]
+            if k:
+                total[left] += self._find("contexts", gram_hashes(rows[~hit, :-1], salt))[1]
+        return total
 
 
 def stored(probabilities: DataFrame, weights: DataFrame, order: int = ORDER) -> SortedModel:
@@ -323,11 +384,10 @@ def stored(probabilities: DataFrame, weights: DataFrame, order: int = ORDER) ->
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lengths = batch["g"].str.len().to_numpy()
-            keys = np.zeros(len(batch), np.uint64)
+            keys = np.zeros(len(batch), _U)
             for (lang, k), rows in batch.groupby(["lang", lengths]).indices.items():
                 codes = np.frombuffer("".join(batch["g"].iloc[rows]).encode("utf-32-le", "surrogatepass"), "<u4")
-                h = list(gram_hashes(codes, int(k)))[int(k)][k - 1 :: k] if k else np.full(len(rows), 7, np.uint64)
-                keys[rows] = _key(h, int(k), _lang_salt(lang))
+                keys[rows] = gram_hashes(codes.reshape(len(rows), int(k)), _lang_salt(lang))
             yield pd.DataFrame({"key": keys.view(np.int64), "value": batch["value"].to_numpy(np.float32)})
 
     def keyed(df: DataFrame, c: str) -> DataFrame:
@@ -347,31 +407,45 @@ def stored(probabilities: DataFrame, weights: DataFrame, order: int = ORDER) ->
 # ---- scores, bands and verdicts
 
 
+def log_perplexities(texts: Texts, lang: str, model: SortedModel, packer: Packer) -> np.ndarray:
+    """Of each text; NaN without a word."""
+    codes, order = texts.codes, model.order
+    value = np.zeros(len(codes))
+    at = order - 1
+    while at < len(codes):
+        to = min(len(codes), at + PACKED)
+        while not packer.room(codes[at - order + 1 : to]):
+            if len(packer.known) > 1:
+                packer.forget()
+            else:
+                to = at + max(1, (to - at) // 2)
+        counted = np.flatnonzero(texts.event[at:to])
+        told = pa.array(packer.keys(codes[at - order + 1 : to])[counted]).dictionary_encode()
+        logp = model.logp(packer.characters(told.dictionary.to_numpy()), lang)
+        value[at + counted] = logp[told.indices.to_numpy()]
+        at = to
+    sums = np.add.reduceat(value, np.cumsum(texts.sizes) - texts.sizes)
+    events = texts.counts[:, 0] + texts.counts[:, 1]
+    return np.where(events > 0, -sums / np.maximum(events, 1), np.nan)
+
+
 def score(docs: DataFrame, model: SortedModel, id_col: str = "doc_id") -> DataFrame:
     """id, lang, the plain counts and log_ppl of every document."""
-    name = uuid.uuid4().hex
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = kept_in_worker(name, lambda: defaultdict(dict))
+        packer = Packer(model.order)
         for batch in batches:
-            out = []
-            texts, langs = batch["text"].tolist(), batch["lang"].tolist()
-            for at in range(0, len(texts), 64):
-                words = [_WORDS(t or "") for t in texts[at : at + 64]]
-                if sum(map(len, known.values())) > WORDS_SCORED:
-                    known.clear()
-                new: dict[str, set[str]] = defaultdict(set)
-                for lang, ws in zip(langs[at : at + 64], words, strict=True):
-                    new[lang].update(ws)
-                for lang, ws in new.items():
-                    fresh = list(ws.difference(known[lang]))
-                    if fresh:
-                        known[lang].update(zip(fresh, model.score(fresh, lang).tolist(), strict=True))
-                for text, lang, ws in zip(texts[at : at + 64], langs[at : at + 64], words, strict=True):
-                    counts = base_counts(text or "", ws)
-                    out.append((*counts, -sum(map(known[lang].__getitem__, ws)) / (counts[0] + counts[1]) if ws else None))
-            told = pd.DataFrame(out, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
-            yield pd.concat([batch[["id", "lang"]].reset_index(drop=True), told], axis=1).astype({"log_ppl": float})
+            counts, ppl = np.zeros((len(batch), 5), np.int64), np.zeros(len(batch))
+            lengths = batch["text"].str.len().fillna(0).to_numpy(np.int64)
+            for lang, rows in batch.groupby("lang").indices.items():
+                # At most READ_CHARS at a time, but for single texts that are longer.
+                pieces = np.cumsum(lengths[rows]) // READ_CHARS
+                for some in np.split(rows, np.flatnonzero(np.diff(pieces)) + 1):
+                    texts = Texts(batch["text"].iloc[some].tolist(), model.order - 1)
+                    counts[some], ppl[some] = texts.counts, log_perplexities(texts, lang, model, packer)
+            told = pd.DataFrame(counts, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+            told["log_ppl"] = pd.Series(ppl).astype(object).where(~np.isnan(ppl), None)
+            yield pd.concat([batch[["id", "lang"]].reset_index(drop=True), told], axis=1)
         give_back()
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
@@ -389,10 +463,10 @@ def bands(scores: DataFrame, width: float = WIDTH) -> DataFrame:
     return q.select("lang", (F.col("q1") - width * spread).alias("lower"), (F.col("q3") + width * spread).alias("upper"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, width: float = WIDTH, max_grams: int | None = None) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, width: float = WIDTH) -> DataFrame:
     """Every document's counts and verdict: id_col, lang, n_words .. n_repeat_words, log_ppl, base_failed, lower, upper, kept."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    model = stored(*kneser_ney(count_grams(rows, order), order, max_grams), order)
+    model = stored(*kneser_ney(count_grams(rows, order), order), order)
     with arrow_batches(docs.sparkSession, TEXT_ROWS):
         scores = materialise(score(rows, model), "lm-scores")
     limits = materialise(bands(scores, width), "lm-bands")
