@@ -1,46 +1,46 @@
 """Language identification by cross-parsing against suffix automata.
 
 For each language a suffix automaton holds all substrings of a sample of its labelled text.  A document is parsed
-against each into phrases, each the longest match from where the last one ended; the language that needs
-fewest phrases, each weighted with the bits that point into its sample and divided by the
-document's length, wins.  Equal costs go to the first language by code point.
+against each into phrases, each the longest match from where the last one ended; a symbol the sample hasn't is a phrase of
+its own.  The language that needs fewest phrases a symbol wins; equal costs go to the first language by code point.
+A language with a small sample matches less and so needs more phrases.
 
-Text is taken in lower case; letters outside the ``ALPHABET`` most frequent ones of the samples are one symbol, and every
-run of other characters is one gap.  Whole texts are parsed, in segments of ``SEGMENT`` symbols at which a
-phrase ends for every language alike, so that many segments step through the automata at once.
+Text is taken in lower case; all letters of the samples are symbols, letters in none of them are one more, and every run of
+other characters is one gap.  Whole texts are parsed, in segments of ``SEGMENT`` symbols (and slices of ``SLICE`` characters)
+at which a phrase ends for every language alike, so that many segments step through the automata at once and a
+worker holds no more than a few slices' arrays.
 
-Bounds: at most ``SAMPLE_DOCS`` documents a language in expectation, by a hash of their id, and ``SAMPLE_CHARS`` characters
-of each, of which ``TRAIN_SYMBOLS`` symbols are learned.  A language's automaton has fewer than twice as many states, so
-it takes at most 8 * TRAIN_SYMBOLS * (ALPHABET + 3) bytes.
+Bounds: at most ``SAMPLE_DOCS`` labelled rows a language, with their whole texts.  They are the distinct ones with
+the least hashes of id, language and text; rows of more than ``LONG_CHARS`` characters are only taken for a language that has no
+other.  An automaton has fewer than twice as many states as its sample has symbols; its table has ``HOT`` columns for
+the language's most frequent symbols, and a sorted list of the transitions by others.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text if nothing is labelled.  Rows that repeat are
-predicted each.  An empty table gives an empty result.  Labels, ids and sources never enter a prediction.
+predicted each, and learned once; a null id is an id.  An empty table gives an empty result.  Labels, ids and sources never
+enter a prediction.  Extra columns may have any name.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import materialise, small_side
 
-ALPHABET = 60
-SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_SYMBOLS = 300, 4_000, 60_000
-SEGMENT = 512
+SAMPLE_DOCS, LONG_CHARS = 30, 20_000
+HOT = 40
+SEGMENT, SLICE = 512, 1 << 21
 UNKNOWN = "und"
 GAP = 0
 _FLAG, _MASK = np.int32(1 << 30), np.int32((1 << 30) - 1)
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """[state, symbol]: the next state, -1 if none; state 0 is the start."""
-    n = 2 * max(len(symbols), 1)
-    step = np.full((n, width), -1, np.int32)
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """For each state its transitions; state 0 is the start."""
     length, link, moves = [0], [-1], [{}]
     last = 0
     for c in symbols:
@@ -66,30 +66,28 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    for state, known in enumerate(moves):
-        step[state, list(known)] = list(known.values())
-    return step[: len(length)]
+    return moves
 
 
 class Alphabet:
-    """From characters to symbols: 0 a gap, then the letters, then one for all other letters."""
+    """From characters to symbols: 0 a gap, then the letters, then one for all other letters, then padding."""
 
     def __init__(self, letters: list[str]):
         self.letters = letters
-        self.width = len(letters) + 2
+        self.other, self.padding = len(letters) + 1, len(letters) + 2
         self.table: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": None}  # rebuilt where it is used
 
-    def symbols(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All texts' symbols, their number and the number of letters in each."""
         if self.table is None:
-            self.table = np.full(0x110000, GAP, np.uint8)
-            self.table[[i for i in range(0x110000) if chr(i).isalpha()]] = self.width - 1
+            self.table = np.full(0x110000, GAP, np.int32)
+            self.table[[i for i in range(0x110000) if chr(i).isalpha()]] = self.other
             for k, c in enumerate(self.letters, 1):
                 self.table[ord(c)] = k
-        lowered = [(t or "").lower() for t in texts]
+        lowered = [t.lower() for t in texts]
         sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
         all_ = self.table[np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")]
         starts = np.cumsum(sizes) - sizes
@@ -100,43 +98,75 @@ class Alphabet:
         return all_[keep], count(keep), count(all_ != GAP)
 
 
+class Automaton:
+    """One language's transitions, as tables that also say where to go on when a phrase ends.
+
+    A row of ``hot`` has a column for each of the language's ``HOT`` most frequent symbols, one for all others, and one
+    for padding; an entry is the offset of the next row, with a flag if a phrase ended before."""
+
+    def __init__(self, learned: np.ndarray, symbols: int):
+        moves = suffix_automaton(learned.tolist())
+        often = np.argsort(-np.bincount(learned, minlength=symbols), kind="stable")[:HOT]
+        self.column = np.full(symbols, HOT, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.column[-1] = HOT + 1
+        self.width, self.ended, self.symbols = HOT + 2, len(moves), symbols
+        state = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
+        by = np.fromiter((c for m in moves for c in m), np.int64, len(state))
+        to = np.fromiter((t for m in moves for t in m.values()), np.int64, len(state))
+        hot = self.column[by] < HOT
+        table = np.full((self.ended + 1, self.width), -1, np.int64)
+        table[state[hot], self.column[by[hot]]] = to[hot] * self.width
+        # One more state, in which a phrase begins with any symbol; a symbol the sample hasn't leads back to it.
+        again = np.where(table[0] >= 0, table[0], self.ended * self.width) | _FLAG
+        table = np.where(table >= 0, table, again)
+        table[:, HOT + 1] = np.arange(self.ended + 1) * self.width
+        self.table = table.astype(np.int32).ravel()
+        keys = state[~hot] * symbols + by[~hot]
+        order = np.argsort(keys)
+        self.keys, self.to = np.append(keys[order], np.iinfo(np.int64).max), np.append(to[~hot][order], 0)
+
+    def rare(self, offset: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """What ``hot`` would say for symbols without a column."""
+        state = offset // self.width
+        key = state * self.symbols + symbol
+        at = np.searchsorted(self.keys, key)
+        first = np.searchsorted(self.keys, symbol)
+        anew = np.where(self.keys[first] == symbol, self.to[first], self.ended) * self.width | _FLAG
+        return np.where(self.keys[at] == key, self.to[at] * self.width, anew).astype(np.int32)
+
+
 class CrossParser:
-    """The automata of all languages, as tables that also say where to go on when a phrase ends."""
+    """The automata of all languages."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        frequent = Counter(c for t in samples.values() for c in t.lower() if c.isalpha()).most_common()
-        self.alphabet = Alphabet(sorted(c for c, _ in sorted(frequent, key=lambda x: (-x[1], x[0]))[:ALPHABET]))
-        self.width = self.alphabet.width + 1  # and padding
-        self.tables, self.bits = [], []
-        for lang in self.langs:
-            learned = self.alphabet.symbols([samples[lang]])[0][:TRAIN_SYMBOLS]
-            step = suffix_automaton(learned.tolist(), self.alphabet.width)
-            # One more state, in which a phrase begins with any symbol; a symbol the sample hasn't leads back to it.
-            ended = len(step)
-            again = np.where(step[0] >= 0, step[0], ended) * self.width | _FLAG
-            table = np.empty((len(step) + 1, self.width), np.int32)
-            table[:, :-1] = np.vstack([np.where(step >= 0, step * self.width, again), again])
-            table[:, -1] = np.arange(len(step) + 1) * self.width
-            self.tables.append(table.ravel())
-            self.bits.append(np.log2(max(len(learned), 2)))
+        self.alphabet = Alphabet(sorted({c for t in samples.values() for c in t.lower() if c.isalpha()}))
+        self.automata = [Automaton(self.alphabet.symbols([samples[k]])[0], self.alphabet.padding + 1) for k in self.langs]
 
     def phrases(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """[text, language]: phrases of each text."""
         pieces = -(-sizes // SEGMENT)
         first = np.cumsum(pieces) - pieces
         starts = np.cumsum(sizes) - sizes
-        grid = np.full(int(pieces.sum()) * SEGMENT, self.width - 1, np.uint8)
+        grid = np.full(int(pieces.sum()) * SEGMENT, self.alphabet.padding, np.int32)
         grid[np.arange(len(symbols)) + np.repeat(first * SEGMENT - starts, sizes)] = symbols
-        columns = np.ascontiguousarray(grid.reshape(-1, SEGMENT).T).astype(np.int32)
+        steps = np.ascontiguousarray(grid.reshape(-1, SEGMENT).T)
         out = np.zeros((len(sizes), len(self.langs)), np.int64)
         some = pieces > 0
-        for k, table in enumerate(self.tables):
-            at = np.full(columns.shape[1], len(table) - self.width, np.int32)
-            ends = np.zeros(columns.shape[1], np.int32)
-            for column in columns:
+        for k, a in enumerate(self.automata):
+            at = np.full(steps.shape[1], a.ended * a.width, np.int32)
+            ends = np.zeros(steps.shape[1], np.int32)
+            columns = a.column[steps]
+            with_rare = (columns == HOT).any(1)
+            for step, column, mixed in zip(steps, columns, with_rare.tolist(), strict=True):
+                if mixed:
+                    rare = np.flatnonzero(column == HOT)
+                    found = a.rare(at[rare], step[rare])
                 np.add(at, column, out=at)
-                table.take(at, out=at, mode="clip")
+                a.table.take(at, out=at, mode="clip")
+                if mixed:
+                    at[rare] = found
                 ends += at >> 30
                 at &= _MASK
             if some.any():
@@ -144,13 +174,21 @@ class CrossParser:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        symbols, sizes, letters = self.alphabet.symbols(texts)
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        cost = self.phrases(symbols, sizes) * np.array(self.bits) / np.maximum(sizes, 1)[:, None]
+        slices = [(i, t[k : k + SLICE]) for i, t in enumerate(texts) for k in range(0, len(t or ""), SLICE)]
+        of, n = np.array([i for i, _ in slices], np.int64), len(texts)
+        phrases, size, letters = np.zeros((n, len(self.langs)), np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        upto = np.cumsum([len(t) for _, t in slices]) // SLICE
+        for some in np.split(np.arange(len(slices)), np.flatnonzero(np.diff(upto)) + 1) if slices else []:
+            symbols, sizes, lettered = self.alphabet.symbols([slices[i][1] for i in some])
+            np.add.at(phrases, of[some], self.phrases(symbols, sizes))
+            np.add.at(size, of[some], sizes)
+            np.add.at(letters, of[some], lettered)
+        cost = phrases / np.maximum(size, 1)[:, None]
         best = cost.argmin(1)
         lowest = np.sort(cost, 1)
-        score = np.ones(len(texts)) if len(self.langs) == 1 else 1 - lowest[:, 0] / np.maximum(lowest[:, 1], 1e-12)
+        score = np.ones(n) if len(self.langs) == 1 else 1 - lowest[:, 0] / np.maximum(lowest[:, 1], 1e-12)
         known = letters > 0
         return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)], np.where(known, score, 0.0)
 
@@ -160,33 +198,28 @@ def held_out(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(labelled: DataFrame) -> CrossParser:
-    """From (id, lang, text) rows with a language: a bounded sample of each."""
-    rows = labelled.where("lang is not null and text is not null")
-    counts = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    # Without a shuffle by language, as a language may have most rows.
-    taken = rows.join(small_side(counts, counts.count(), 64), "lang").where(h * F.col("n") < F.lit(float(SAMPLE_DOCS)) * (1 << 40))
-    samples: dict[str, list] = {}
-    for r in taken.select("lang", h.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).toLocalIterator():
-        samples.setdefault(r.lang, []).append((r.h, r.text))
-    return CrossParser({lang: "\n".join(t for _, t in sorted(texts)) for lang, texts in samples.items()})
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> CrossParser:
+    """From (id, lang, text) rows with a language: a sample of at most ``sample_docs`` each."""
+    rows = labelled.where("lang is not null and text is not null").withColumn("long", F.length("text") > LONG_CHARS)
+    counts = rows.groupBy("lang").agg(F.min("long").alias("long"), F.count(F.when(~F.col("long"), 1)).alias("short"), F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts.select("lang", "long", F.when(F.col("long"), F.col("n")).otherwise(F.col("short")).alias("n")), "lang-counts")
+    h = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "lang", "text"), F.lit(1 << 40))
+    # About twice as many as wanted, without a shuffle by language, as a language may have most rows; then the least of them.
+    likely = rows.withColumn("h", h).join(small_side(counts, counts.count(), 64), ["lang", "long"]).where(F.col("h") * F.col("n") < F.lit(2.0 * sample_docs) * (1 << 40))
+    ranked = likely.dropDuplicates(["lang", "h"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    samples: dict[str, list[str]] = {}
+    for r in ranked.where(F.col("rank") <= sample_docs).orderBy("lang", "rank").select("lang", "text").toLocalIterator():
+        samples.setdefault(r.lang, []).append(r.text)
+    return CrossParser({lang: "\n".join(texts) for lang, texts in samples.items()})
 
 
-def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text", at_once: int = 4_000_000) -> DataFrame:
+def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id_col, lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, start, langs, scores, size = batch["text"].tolist(), 0, [], [], 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= at_once or i == len(texts) - 1:
-                    lang, score = shared.value.predict(texts[start : i + 1])
-                    langs += lang
-                    scores += score.tolist()
-                    start, size = i + 1, 0
+            langs, scores = shared.value.predict(batch["text"].tolist())
             yield pd.DataFrame({"id": batch["id"], "lang_pred": langs, "score": scores})
 
     kind = docs.schema[id_col].dataType.simpleString()

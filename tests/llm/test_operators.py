@@ -411,48 +411,78 @@ def test_tokens_of_odd_words(seed):
 # ---- 6 language
 
 
-def test_automaton_and_parse():
+def test_automaton():
     rng = random.Random(6)
     for _ in range(20):
         s = [rng.randrange(3) for _ in range(rng.randint(1, 40))]
-        step = language_id.suffix_automaton(s, 4)
+        moves = language_id.suffix_automaton(s)
         known = {tuple(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
         for _ in range(50):
             q, state = [rng.randrange(4) for _ in range(rng.randint(1, 6))], 0
             for c in q:
-                state = step[state, c] if state >= 0 else -1
-            assert (state >= 0) == (tuple(q) in known)
-    samples = {"x": "abc abd", "y": "bca"}
-    parser, text = language_id.CrossParser(samples), "abcabd bca zab"
-    for k, lang in enumerate(parser.langs):
-        learned = samples[lang]
-        phrases, i = 0, 0
-        while i < len(text):
-            j = i + 1
-            while j < len(text) and text[i : j + 1] in learned:
-                j += 1
-            phrases, i = phrases + 1, j
-        symbols, sizes, _ = parser.alphabet.symbols([text])
-        assert parser.phrases(symbols, sizes)[0, k] == phrases
+                state = moves[state].get(c) if state is not None else None
+            assert (state is not None) == (tuple(q) in known)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 40])
+def test_parse(monkeypatch, hot):
+    monkeypatch.setattr(language_id, "HOT", hot)
+    rng = random.Random(hot)
+    samples = {"x": "abc abd", "y": "bca", "z": "".join(rng.choice("abcd \u4e2d\u4e8c") for _ in range(300)), "w": "a"}
+    parser = language_id.CrossParser(samples)
+    for text in ("abcabd bca zab", "\u4e2da\u4e8cb \u0436", "".join(rng.choice("abcdz \u4e2d\u4e8c") for _ in range(400))):
+        text = re.sub(" +", " ", text)
+        for k, lang in enumerate(parser.langs):
+            learned, phrases, i = re.sub(" +", " ", samples[lang]), 0, 0
+            while i < len(text):
+                j = i + 1
+                while j < len(text) and text[i : j + 1] in learned:
+                    j += 1
+                phrases, i = phrases + 1, j
+            symbols, sizes, _ = parser.alphabet.symbols([text])
+            assert parser.phrases(symbols, sizes)[0, k] == phrases
 
 
 def test_language(spark, empty):
     rng = random.Random(10)
     kinds = {"aa": [w for w in WORDS if w[0] in "bdfgk"], "bb": [w + "o" for w in WORDS if w[0] in "lmnp"], "cc": [w[::-1] for w in WORDS if w[0] in "rstvz"]}
-    rows = [(i, " ".join(rng.choice(kinds[k]) for _ in range(40)), k) for i in range(300) for k in [sorted(kinds)[i % 3]]]
+    kinds["ru"] = [w.translate(str.maketrans("abdefgiklmnoprstuvz", "абдефгиклмнопрстувз")) for w in kinds["aa"]]
+    kinds["zh"] = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(2)) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(kinds[k]) for _ in range(40)), k) for i in range(500) for k in [sorted(kinds)[i % 5]]]
     rows += [(900, None, "aa"), (901, "", "aa"), (902, "123 !? 4", "bb"), (903, "bado dafo", None), (904, "x" * 200_000, None)]
+    rows += [(1, "ab", "zz")]  # a language of one word must not win
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r.doc_id: r for r in language_id.language_of(df).collect()}
-    for i, text, lang in rows:
+    got = {r.doc_id: r for r in language_id.language_of(df.where("lang <> 'zz' or lang is null").unionAll(df.where("lang = 'zz'").withColumn("doc_id", F.lit(5000).cast("long")))).collect()}
+    for i, text, lang in rows[:-1]:
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= got[i].score <= 1
-    right = [got[i].lang_pred == lang for i, _, lang in rows[:300] if got[i].held_out]
-    assert sum(right) >= 0.95 * len(right) and len(right) > 30
+    right = [got[i].lang_pred == lang for i, _, lang in rows[:500] if got[i].held_out]
+    assert sum(right) >= 0.97 * len(right) and len(right) > 50
     assert got[900].lang_pred == got[901].lang_pred == got[902].lang_pred == "und"
     assert language_id.language_of(empty).count() == 0
     unlabelled = language_id.language_of(df.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in unlabelled} == {"und"}
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language_id, "CrossParser", lambda samples: seen.update(samples))
+    rows = [(None, f"word{i} text", "en") for i in range(3000)] + [(4, "one and the same", "de")] * 500 + [(5, "y" * 30_000, "en"), (6, "z " * 20_000, "fr")]
+    language_id.train(spark.createDataFrame(rows, "id long, text string, lang string"))
+    assert len(seen["en"].split("\n")) == language_id.SAMPLE_DOCS and "yyy" not in seen["en"]
+    assert seen["de"] == "one and the same" and seen["fr"] == "z " * 20_000
+
+
+def test_language_slices_and_clashing_columns(spark, monkeypatch):
+    parser = language_id.CrossParser({"aa": "bada defu " * 50, "bb": "mono lopo " * 50})
+    long = "mono lopo lolo " * 2000
+    whole = parser.predict([long, "bada", None, long])
+    monkeypatch.setattr(language_id, "SLICE", 1000)
+    cut = parser.predict([long, "bada", None, long])
+    assert whole[0] == cut[0] == ["bb", "aa", "und", "bb"] and np.allclose(whole[1], cut[1], atol=0.05)
+    df = spark.createDataFrame([(1, "bada defu", "aa", 5, "l"), (None, "bada defu", "aa", 5, "l")], "doc_id long, text string, lang string, id int, long string")
+    assert {r.lang_pred for r in language_id.language_of(df).collect()} == {"aa"}
+
+
 # ---- 8 chat
 
 
