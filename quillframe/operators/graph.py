@@ -4,39 +4,49 @@ Components move minima along edges until nothing changes, each round written to
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.scratch import materialise
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written to and read from the shared folder, so that plans stay short and executors may be lost."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quillframe-graph-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A node with more than this share of all edges is a hub; there are fewer than 2 * HUBS of them, which bounds a broadcast.
+HUBS, ROUNDS = 256, 100
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, root): the smallest id reachable over (a, b), for every id of ``nodes``.
+def _beside(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """``edges`` (u, v) with the minimum m of u.  Hubs, few by definition, get theirs by a broadcast; so no task holds all
+    edges of a hub."""
+    hubs = least.where(F.col("n") > max(1_000, n_edges // HUBS)).select("u", F.col("m").alias("hub_m"))
+    told = edges.join(F.broadcast(hubs), "u", "left")
+    rest = told.where("hub_m is null").select("u", "v").join(least.select("u", "m"), "u")
+    return rest.unionByName(told.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
+
+
+def linked_components(links: DataFrame, name: str = "graph") -> DataFrame:
+    """(id, root): the smallest id reachable, for every id of ``links`` (a, b) but those linked with themselves only.
 
-    Each round a node takes the least root around it, and then that root's own root, so long chains halve."""
-    both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    state = cut(nodes.select("id", F.col("id").alias("root")))
-    while True:
-        near = both.join(state.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = cut(state.join(near, "id", "left").select("id", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("before")))
-        jump = step.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        state = cut(step.join(jump, "root", "left").select("id", F.least("root", F.coalesce("further", "root")).alias("root"), "before"))
-        if state.where("root <> before").isEmpty():
-            return state.select("id", "root")
+    Alternates large and small stars: neighbours above a node, then those below, move to its smallest one.  Only
+    minima are aggregated, no neighbourhood is gathered; rounds grow with the logarithm of the size, and too many are an error."""
+    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-edges")
+    told = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    for _ in range(ROUNDS):
+        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _beside(both.where("v > u"), least, 2 * told[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.unionAll(least.where("m < u").select("u", F.col("m").alias("v"))).distinct(), f"{name}-large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _beside(large, least, told[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = materialise(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-edges")
+        before, told = told, edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if told == before:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, root): the smallest id reachable over (a, b), for every id of ``nodes``."""
+    return nodes.select("id").join(linked_components(edges), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -121,7 +131,7 @@ def communities(edges: DataFrame, nodes: DataFrame, threshold: float = 0.0) -> D
 
     A move only ever goes to a neighbour's community, so each connected component is settled on its own task; only
     the total weight is global.  A component must fit one task."""
-    kept = cut(edges.where(F.col("w") > threshold))
+    kept = materialise(edges.where(F.col("w") > threshold), "graph-kept")
     m = kept.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0] or 1.0
     roots = components(kept, nodes)
 

@@ -4,7 +4,6 @@ Each transformation takes and returns a DataFrame, streaming or not, so a batch
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillframe.scratch import scratch_dir
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -61,16 +62,13 @@ def running_totals(events: DataFrame, idle_ms: int = 30 * 86_400_000, late: str
     return timed.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def scratch(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillframe-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-def run_available(stream: DataFrame, mode: str, each_batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str, each_batch: Callable[[DataFrame, int], None] | None = None, folder: str | None = None) -> DataFrame:
     """Runs what is there and stops; the result is what the last batch (complete) or all batches (append, update) gave.
 
-    Offsets and state lie in the shared folder, so a restart with the same folder goes on where it stopped."""
-    spark, folder = stream.sparkSession, scratch(stream.sparkSession)
+    Offsets, state and results lie in ``folder``; a run with the folder of an earlier one goes on where that stopped.  Without
+    one the run has a new folder in the shared scratch folder."""
+    spark = stream.sparkSession
+    folder = folder or f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         if each_batch:

@@ -1,5 +1,6 @@
 """Operators whose rules the catalogue's tables don't reach."""
 
+import datetime
 import random
 
 import pytest
@@ -252,3 +253,26 @@ def test_stream_goes_on_batch_by_batch(spark, tmp_path):
     stream = spark.readStream.schema(events.SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "events.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
     out = events.run_available(events.windowed(stream, "1 day"), "complete", lambda b, n: numbers.append(n))
     assert len(numbers) >= 3 and out.agg(F.sum("n")).first()[0] == 12
+
+
+def test_linked_components(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(60)] + [(100, 200)]
+    star = [(1000, 1001 + i) for i in range(3000)] + [(4001 + i, 4000) for i in range(1, 50)] + [(4001, 3999)]
+    links = spark.createDataFrame(chain + star, "a long, b long")
+    got = {r.id: r.root for r in graph.linked_components(links).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, **{i: 1000 for i in range(1000, 4051)}}
+    monkeypatch.setattr(graph, "ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        graph.linked_components(links)
+
+
+def test_run_available_goes_on(spark, tmp_path):
+    row = lambda i: (i, datetime.datetime(2024, 1, 1, 0, i), 1, "view", 1.0, "{}")
+    for part in (0, 1):
+        spark.createDataFrame([row(part * 2), row(part * 2 + 1)], events.SCHEMA).write.parquet(str(tmp_path / "in" / f"p{part}"))
+        (tmp_path / "log").mkdir(exist_ok=True)
+        for k, file in enumerate((tmp_path / "in" / f"p{part}").glob("*.parquet")):
+            file.rename(tmp_path / "log" / f"events-{part}-{k}.parquet")
+        out = events.run_available(events.read_events(spark, str(tmp_path / "log")).select("event_id"), "append", folder=str(tmp_path / "run"))
+        assert sorted(r.event_id for r in out.collect()) == list(range(2 * part + 2))
+    assert len(list((tmp_path / "run" / "out").glob("batch=*"))) == 2
