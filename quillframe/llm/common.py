@@ -1,10 +1,8 @@
-"""What the operators of this subpackage share: scratch tables, joins with a size check, word rules."""
+"""What the operators of this subpackage share: joins with a size check, word rules, and scratch tables from outside."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -13,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.scratch import materialise, scratch_scope
+
+__all__ = ["materialise", "scratch_scope"]
+
 #: White space and words as every operator here understands them.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,41 +26,6 @@ TEXT_ROWS = 1_000
 BROADCAST_LIMIT = 32 * 1024 * 1024
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one if unset (tests only)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="quillframe-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _own_folder(spark: SparkSession) -> str:
-    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}"
-
-
-def drop_scratch(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Deletes this application's scratch tables, but for names that begin with one of ``keep``.
-
-    For a caller who has written the results elsewhere: frames that still read a scratch table fail afterwards."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(folder):
-        for status in files.listStatus(folder):
-            if not (keep and status.getPath().getName().startswith(keep)):
-                files.delete(status.getPath(), True)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back.
-
-    Lineage is cut and the rows survive the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within it, actions send Python at most so many rows at a time; for wide rows."""

@@ -10,7 +10,7 @@ nothing.  Documents are linked if 100 * intersection >= percent * union.
 2. Bands of ``ROWS`` registers are hashed; classes that share one meet in a bucket.  The member with the most
    bucket mates becomes the bucket's pivot, and every other is paired with it only, so a bucket gives no more pairs than it
    has members, however large, and is never gathered in one task.
-3. A pair goes on if the sketches' agreement, less that expected from chance collisions, is within four
+3. A pair goes on if the sketches' agreement, less that expected from chance collisions, is within ``MARGIN``
    standard errors of the threshold, and if the set sizes allow a link.  Then the full sets are compared.
 4. Links found join classes into components.  Buckets that still hold several are drawn together into clusters, and in
    each every member outside the cluster's largest component is compared by full sets with all members of other
@@ -18,10 +18,12 @@ nothing.  Documents are linked if 100 * intersection >= percent * union.
    size, and a task only reports links that join what it hadn't joined.
 
 Every pair that shares a band is thus compared, ruled out by its sketch, or already joined by other links; a pair
-at 0.85 shares none of the 32 bands with a chance below 1e-10, at 0.8 below 1e-7.
+at 0.85 shares none of the 32 bands with a chance below 1e-10, at 0.8 below 1e-7, and is ruled out by its sketch with one below
+1e-9 in either case.
 
-A null text is empty.  Rows of one id are one document; rows without id are linked with nothing and stay.  An
-empty table gives an empty result.  Only id and text are looked at.
+A null text is empty.  Rows of one id with different sets are different documents of one name; a component is named by the
+smallest id in it, so such rows may be in several.  Rows without id are linked with nothing and stay.  Repeated rows
+share their fate.  An empty table gives an empty result.  Only id and text are looked at; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import TEXT_ROWS, arrow_batches, give_back, kept_in_worker, materialise, small_side
+from quillframe.operators.graph import linked_components
 
 REGISTERS, ROWS, BANDS = 128, 4, 32
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 WORDS, PERCENT = 5, 80
+MARGIN = 7
 #: Rows with whole sets that a Python worker gets at a time.
 WIDE_ROWS = 200
 #: Shingles of the members on either side of a block in step 4: a 64th of all, within these bounds.
@@ -144,7 +148,7 @@ def may_link(agree: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int)
     j = percent / 100
     small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     error = np.sqrt(j * (1 - j) / np.minimum(REGISTERS, np.maximum(small, 1)))
-    return (100 * small >= percent * large) & (estimate(agree, n_a, n_b) >= j - 4 * error)
+    return (100 * small >= percent * large) & (estimate(agree, n_a, n_b) >= j - MARGIN * error)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -159,7 +163,7 @@ def _registers(column: pd.Series) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """id, n, s1, s2 (which tell equal sets), regs of every row of ``docs`` (id, text)."""
+    """id, text_hash, n, s1, s2 (which tell equal sets), regs of every row of ``docs`` (id, text)."""
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = kept_in_worker(f"shingler {words}", lambda: Shingler(words))
@@ -167,30 +171,38 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             texts, out = batch["text"].tolist(), []
             for at in range(0, len(texts), 32):
                 for s in shingler.sets(texts[at : at + 32]):
-                    sums = (_mixed(s).sum(dtype=np.uint64), _mixed(s ^ _ODD).sum(dtype=np.uint64))
-                    out.append((len(s), *np.array(sums).view(np.int64).tolist(), sketch(s).astype("<u2").tobytes() if len(s) else b""))
+                    out.append((len(s), *_sums(s), sketch(s).astype("<u2").tobytes() if len(s) else b""))
             told = pd.DataFrame(out, columns=["n", "s1", "s2", "regs"])
-            yield pd.concat([batch[["id"]].reset_index(drop=True).astype({"id": "Int64"}), told], axis=1)
+            yield pd.concat([batch[["id", "text_hash"]].reset_index(drop=True).astype({"id": "Int64"}), told], axis=1)
         give_back()
 
-    return docs.mapInPandas(sketched, "id long, n long, s1 long, s2 long, regs binary")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(sketched, "id long, text_hash long, n long, s1 long, s2 long, regs binary")
 
 
-def _sets(ids: DataFrame, docs: DataFrame, words: int, name: str) -> DataFrame:
-    """id, hashes: the full sets of these documents only."""
+def _sums(hashes: np.ndarray) -> tuple[int, int]:
+    """Two sums that, with the size, tell sets apart."""
+    return tuple(np.array([_mixed(hashes).sum(dtype=np.uint64), _mixed(hashes ^ _ODD).sum(dtype=np.uint64)]).view(np.int64).tolist())
+
+
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, words: int, name: str) -> DataFrame:
+    """node, hashes: the full sets of these classes only, from the rows that bear their ids."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = kept_in_worker(f"shingler {words}", lambda: Shingler(words))
         for batch in batches:
             texts, out = batch["text"].tolist(), []
             for at in range(0, len(texts), 32):
-                out += [s.tobytes() for s in shingler.sets(texts[at : at + 32])]
-            yield pd.DataFrame({"id": batch["id"], "hashes": out})
+                out += [s for s in shingler.sets(texts[at : at + 32])]
+            meant = [len(s) == n and _sums(s) == (s1, s2) for s, n, s1, s2 in zip(out, batch["n"], batch["s1"], batch["s2"], strict=True)]
+            yield pd.DataFrame({"node": batch["node"], "hashes": [s.tobytes() for s in out]})[np.array(meant, bool)]
         give_back()
 
-    ids = materialise(ids.distinct(), f"near-ids-{name}")
+    wanted = materialise(nodes.distinct().join(classes.select("node", "id", "n", "s1", "s2"), "node"), f"near-wanted-{name}")
+    rows = wanted.count()
     with arrow_batches(docs.sparkSession, WIDE_ROWS):
-        return materialise(docs.join(small_side(ids, ids.count(), 24), "id", "left_semi").mapInPandas(made, "id long, hashes binary"), f"near-sets-{name}")
+        sets = materialise(docs.join(small_side(wanted, rows, 64), "id").select("node", "n", "s1", "s2", "text").mapInPandas(made, "node long, hashes binary"), f"near-sets-{name}")
+        # Repeats of a row give its set again.
+        return sets if sets.count() == rows else materialise(sets.dropDuplicates(["node"]), f"near-sets-{name}")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -208,42 +220,21 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
             keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch["set_a"], batch["set_b"], strict=True)]
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
-    side = lambda s: classes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
+    side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
     likely = materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(by_sketch, "a long, b long"), "near-likely")
-    sets = _sets(likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))), docs, words, "pairs")
-    full = lambda s: sets.select(F.col("id").alias(s), F.col("hashes").alias(f"set_{s}"))
+    sets = _sets(likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node"))), classes, docs, words, "pairs")
+    full = lambda s: sets.select(F.col("node").alias(s), F.col("hashes").alias(f"set_{s}"))
     with arrow_batches(docs.sparkSession, WIDE_ROWS):
         return materialise(likely.join(full("a"), "a").join(full("b"), "b").mapInPandas(by_set, "a long, b long"), "near-links")
 
 
-def components(links: DataFrame, name: str = "near") -> DataFrame:
-    """id, root: the smallest id reachable, for every id of ``links`` (a, b).
-
-    Alternates large and small stars: neighbours above a node, then those below, move to its smallest one.  Only
-    minima are aggregated, no neighbourhood is gathered; rounds grow with the logarithm of the size."""
-    edges, before = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-edges-0"), None
-    for turn in range(1, 100):
-        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        large = materialise(large, f"{name}-large-{turn}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(small, f"{name}-edges-{turn}")
-        told = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if told == before:
-            break
-        before = told
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-
-
 def _block_links(percent: int):
     """Links between a block's probes and its indexed members, as far as they join different components."""
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("id", kind="stable", ignore_index=True)
+        block = block.sort_values("node", kind="stable", ignore_index=True)
         index, probes = block[~block["probe"]], block[block["probe"]]
-        ids, roots, n = index["id"].to_numpy(), index["root"].tolist(), index["n"].to_numpy()
+        ids, roots, n = index["node"].to_numpy(), index["root"].tolist(), index["n"].to_numpy()
         hashes = np.frombuffer(b"".join(index["hashes"]), np.uint64)
         owners = np.repeat(np.arange(len(index)), n)
         order = np.argsort(hashes, kind="stable")
@@ -256,7 +247,7 @@ def _block_links(percent: int):
             return x
 
         found = []
-        for id_, root, size, raw in zip(probes["id"], probes["root"], probes["n"], probes["hashes"], strict=True):
+        for id_, root, size, raw in zip(probes["node"], probes["root"], probes["n"], probes["hashes"], strict=True):
             own = np.frombuffer(raw, np.uint64)
             lo, hi = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
             many = hi - lo
@@ -272,61 +263,74 @@ def _block_links(percent: int):
     return compare
 
 
-def _rest_links(wide: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Step 4, for the members (bkey, id, pivot, root, pivot_root, n) of buckets of three and more; None if all are joined."""
+def _rest_links(wide: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Step 4, for the members (bkey, node, pivot, root, pivot_root, n) of buckets of three and more; None if all are joined."""
     apart = wide.where("root <> pivot_root").select("bkey").distinct()
     open_ = materialise(wide.join(apart, "bkey", "left_semi"), "near-open")
     if open_.isEmpty():
         return None
-    clusters = materialise(components(open_.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "near-cluster"), "near-clusters")
-    nodes = materialise(open_.select("id", "root", "n").distinct().join(clusters.select("id", F.col("root").alias("cluster")), "id"), "near-nodes")
+    clusters = materialise(linked_components(open_.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "near-cluster").withColumnRenamed("id", "node"), "near-clusters")
+    nodes = materialise(open_.select("node", "root", "n").distinct().join(clusters.select("node", F.col("root").alias("cluster")), "node"), "near-nodes")
     counts = nodes.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("members"))
     largest = counts.groupBy("cluster").agg(F.max(F.struct("members", (-F.col("root")).alias("first"))).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1")
     nodes = nodes.join(largest.select("cluster", (-F.col("top.first")).alias("main")), "cluster").withColumn("outside", F.col("root") != F.col("main"))
     block = min(MOST_BLOCK, max(LEAST_BLOCK, (nodes.agg(F.sum("n")).first()[0] or 0) // 64))
     blocks = nodes.groupBy("cluster").agg(F.ceil(F.sum("n") / block).alias("of_index"), F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / block).alias("of_probes"))
-    nodes = materialise(nodes.join(blocks, "cluster").join(_sets(nodes.select("id"), docs, words, "clusters"), "id"), "near-cluster-sets")
-    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    nodes = materialise(nodes.join(blocks, "cluster").join(_sets(nodes.select("node"), classes, docs, words, "clusters"), "node"), "near-cluster-sets")
+    spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["cluster", "id", "root", "n", "hashes"]
+    columns = ["cluster", "node", "root", "n", "hashes"]
     index = nodes.select(*columns, F.lit(False).alias("probe"), spread("of_index").alias("i"), each("of_probes").alias("p"))
     probes = nodes.where("outside").select(*columns, F.lit(True).alias("probe"), each("of_index").alias("i"), spread("of_probes").alias("p"))
     return materialise(index.unionByName(probes).groupBy("cluster", "i", "p").applyInPandas(_block_links(percent), "a long, b long"), "near-more-links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Every row's component: id_col, n_shingles, component_id, kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def placed_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """id, text_hash, n and component of every row of ``docs`` (id, text)."""
     with arrow_batches(docs.sparkSession, TEXT_ROWS):
-        told = materialise(sketches(rows, words), "near-sketches")
+        told = materialise(sketches(docs, words), "near-sketches")
     named = told.where("n > 0 and id is not null")
-    classes = materialise(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.first("regs").alias("regs")), "near-classes")
+    classes = named.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.first("regs").alias("regs"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("regs", b * width + 1, F.lit(width))))
-    bands = classes.select("id", F.explode(keys).alias("bkey"))
+    bands = classes.select("node", F.explode(keys).alias("bkey"))
     shared = materialise(bands.groupBy("bkey").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
     members = materialise(bands.join(small_side(shared, shared.count(), 32), "bkey"), "near-members")
-    mates = members.groupBy("id").agg(F.sum("size").alias("mates"))
-    ranked = members.join(mates, "id").select("bkey", "id", "size", F.struct("mates", (-F.col("id")).alias("first"), F.col("id").alias("pivot")).alias("rank"))
+    mates = members.groupBy("node").agg(F.sum("size").alias("mates"))
+    ranked = members.join(mates, "node").select("bkey", "node", "size", F.struct("mates", (-F.col("node")).alias("first"), F.col("node").alias("pivot")).alias("rank"))
     pivots = materialise(ranked.groupBy("bkey").agg(F.max("rank").alias("top")).select("bkey", F.col("top.pivot").alias("pivot")), "near-pivots")
     starred = materialise(members.join(pivots, "bkey"), "near-starred")
-    pairs = starred.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    links = _confirmed(pairs, classes, rows, words, percent)
-    roots = materialise(components(links, "near-1"), "near-roots-1")
+    pairs = starred.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    links = _confirmed(pairs, classes, docs, words, percent)
+    roots = materialise(linked_components(links, "near-1").withColumnRenamed("id", "node"), "near-roots-1")
     # Buckets of three and more whose members are still apart; those of two were compared.
-    wide = starred.where("size > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    pivot_roots = roots.select(F.col("id").alias("pivot"), F.col("root").alias("pivot_root"))
+    wide = starred.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pivot_roots = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
     wide = wide.join(pivot_roots, "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot"))
-    more = _rest_links(materialise(wide.join(classes.select("id", "n"), "id"), "near-wide"), rows, words, percent)
+    more = _rest_links(materialise(wide.join(classes.select("node", "n"), "node"), "near-wide"), classes, docs, words, percent)
     if more is not None:
-        roots = materialise(components(links.unionAll(more), "near-2"), "near-roots-2")
-    placed = told.join(classes.select("n", "s1", "s2", F.col("id").alias("rep")), ["n", "s1", "s2"], "left")
-    placed = placed.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("id"))
-    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+        roots = materialise(linked_components(links.unionAll(more), "near-2").withColumnRenamed("id", "node"), "near-roots-2")
+    # A component's name is the smallest id of its classes; only classes with a link have a root.
+    linked_classes = roots.join(classes.select("node", "id"), "node")
+    names = linked_classes.groupBy("root").agg(F.min("id").alias("name"))
+    names = roots.join(names, "root").select("node", "name")
+    named_classes = classes.select("n", "s1", "s2", "id", "node").join(names, "node", "left").select("n", "s1", "s2", F.coalesce("name", "id").alias("name"))
+    placed = told.join(named_classes, ["n", "s1", "s2"], "left")
+    component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")))
+    return placed.select("id", "text_hash", "n", component.alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Every row's component: id_col, n_shingles, component_id, kept."""
+    placed = placed_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), words, percent)
+    told = placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return told.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows that have a smaller id in their component; all columns stay as they are."""
-    gone = materialise(near_duplicates(docs, id_col, text_col, words, percent).where("not kept").select(F.col(id_col).alias("gone_id")).distinct(), "near-gone")
-    return docs.join(small_side(gone, gone.count(), 24), docs[id_col] == gone["gone_id"], "left_anti")
+    placed = placed_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), words, percent)
+    gone = materialise(placed.where("component < id").select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "near-gone")
+    same = (docs[id_col].cast("long") == gone["gone_id"]) & (F.xxhash64(docs[text_col]) == gone["gone_hash"])
+    return docs.join(small_side(gone, gone.count(), 32), same, "left_anti")

@@ -74,6 +74,21 @@ def test_empty_repeated_and_null_ids(spark):
     assert N.drop_near_duplicates(df).count() == 3
 
 
+def test_one_id_with_different_texts(spark):
+    a, b = made(9, 1, (0, 0)) + made(10, 1, (0, 0))
+    df = spark.createDataFrame([(3, a), (5, b), (5, a), (9, None), (7, b), (2, "alone")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(df).collect())
+    assert got == [(2, 1, 2, True), (3, 246, 3, True), (5, 246, 3, False), (5, 246, 5, True), (7, 246, 5, False), (9, 0, 9, True)]
+    assert sorted((r.doc_id, r.text) for r in N.drop_near_duplicates(df.where("text is not null")).collect()) == sorted([(2, "alone"), (3, a), (5, b)])
+
+
+def test_repeated_rows_in_clusters(spark):
+    docs = list(enumerate(made(5, 30, (2, 14))))
+    df = spark.createDataFrame(docs * 3, "doc_id long, text string")
+    want = brute(docs, 3, 85)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(df, words=3, percent=85).collect()} == {(i, *v) for i, v in want.items()}
+
+
 def test_extra_columns_survive(spark):
     df = spark.createDataFrame([(1, "a b c", "x", 5)], "doc_id long, text string, id string, n int")
     assert N.drop_near_duplicates(df).columns == df.columns
@@ -93,9 +108,3 @@ def test_sketch_estimates_jaccard():
 def test_registers_are_full(n):
     hashes = np.sort(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
     assert (N.sketch(hashes) > 0).all()
-
-
-def test_components_of_a_long_chain(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200)], "a long, b long")
-    got = {r.id: r.root for r in N.components(links).collect()}
-    assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100}

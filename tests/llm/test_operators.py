@@ -534,22 +534,24 @@ def test_chat_folds_events(spark, seed):
 def drop_lines(rows, min_docs=3):
     lower = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
     key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
-    holders = defaultdict(list)
+    first = lambda d: (d is not None, d or 0)
+    holders = defaultdict(set)
     for d, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
-            holders[k].append(d)
+            holders[k].add(d)
     out = []
     for d, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not (len(key(x)) >= 20 and len(holders[key(x)]) >= min_docs and d != max(holders[key(x)]))]
+        kept = [x for x in lines if not (len(key(x)) >= 20 and len(holders[key(x)]) >= min_docs and d != max(holders[key(x)], key=first))]
         out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
 
 
-@pytest.mark.parametrize("max_bits", [line_dedup.MAX_BITS, 1 << 20])
-def test_lines(spark, empty, max_bits):
+@pytest.mark.parametrize("max_bits, most_keys", [(line_dedup.MAX_BITS, line_dedup.MOST_KEYS), (1 << 20, 0)])
+def test_lines(spark, empty, monkeypatch, max_bits, most_keys):
+    monkeypatch.setattr(line_dedup, "HELD", 50)
     rng = random.Random(11)
-    shared = [prose(rng, 8, 8) for _ in range(12)] + ["Short line", "ÉÀ equal but not in case, é", "éÀ equal but not in case, é"]
+    shared = [prose(rng, 8, 8) for _ in range(12)] + ["Short line", "ÉÀ equal but not in case, é", "éÀ equal but not in case, é", "\u00a0twenty with odd blank\u00a0", "中" * 19, "中" * 20]
     rows = []
     for i in range(80):
         lines = prose(rng, 40, 8).split("\n") + rng.sample(shared, rng.randint(0, 4)) * rng.choice((1, 1, 2))
@@ -557,9 +559,12 @@ def test_lines(spark, empty, max_bits):
         rng.shuffle(lines)
         rows.append((i, "\n".join(lines)))
     rows += [(200, None), (201, ""), (202, "\n\n"), (203, "y" * 200_000), (204, "common line that everyone has"), (205, "common line that everyone has"), (206, "common line that everyone has\nx")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = [tuple(r) for r in line_dedup.drop_shared_lines(df, max_bits=max_bits).collect()]
-    assert sorted(got) == sorted(drop_lines(rows))
+    # Rows of one id, or without one, are one document.
+    rows += [(300, "this line is in two documents only"), (300, "this line is in two documents only"), (301, "this line is in two documents only")]
+    rows += [(None, "common line that everyone has"), (None, "a line of documents without id"), (None, "a line of documents without id"), (None, "a line of documents without id\nand more")]
+    df = spark.createDataFrame([(*r, "own", "gone") for r in rows], "doc_id long, text string, own string, gone string").repartition(4)
+    got = [tuple(r) for r in line_dedup.drop_shared_lines(df, max_bits=max_bits, most_keys=most_keys).collect()]
+    assert sorted(got, key=str) == sorted(drop_lines(rows), key=str)
     assert line_dedup.drop_shared_lines(empty).count() == 0
 
 
