@@ -33,6 +33,12 @@ def drop(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def drop_table(spark: SparkSession, files: list[str]) -> None:
+    """Deletes the folder of a written table that nothing reads any more, given its files."""
+    if files:
+        drop(spark, files[0].rsplit("/", 1)[0])
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Tables written within it go when it ends; for a caller who has written the results elsewhere."""
