@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import drop_scratch, materialise, small_side
+from quillframe.llm.common import drop_table, materialise, scratch_scope, small_side
 from quillframe.llm.exact_dedup import drop_exact_duplicates
 from quillframe.llm.mixing import mix
 from quillframe.llm.near_dedup import drop_near_duplicates
@@ -17,7 +17,9 @@ from quillframe.llm.quality import judge
 
 
 def _key(*columns: str) -> Column:
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+    """128 bits that tell rows apart by these columns, null from any value."""
+    parts = [c for name in columns for c in (F.col(name).isNull().cast("string"), F.coalesce(F.col(name).cast("string"), F.lit("")))]
+    return F.md5(F.concat_ws("\x1f", *parts).cast("binary"))
 
 
 def _unused(docs: DataFrame) -> str:
@@ -28,9 +30,9 @@ def _unused(docs: DataFrame) -> str:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a base rule or lie outside their language's perplexity band go."""
     key = _unused(docs)
-    told = judge(docs.select(_key("doc_id", "lang", "text").alias(key), "lang", "text"), id_col=key)
+    told = judge(docs.select(_key("lang", "text").alias(key), "lang", "text"), id_col=key)
     gone = materialise(told.where("not kept").select(key).distinct(), "rejected")
-    return docs.withColumn(key, _key("doc_id", "lang", "text")).join(small_side(gone, gone.count(), 24), key, "left_anti").select(*docs.columns)
+    return docs.withColumn(key, _key("lang", "text")).join(small_side(gone, gone.count(), 48), key, "left_anti").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +46,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it."""
-    key = _unused(docs)
-    mixed = mix(docs.select(_key("doc_id", "text").alias(key), "source", "text"), id_col=key)
-    # Rows of one key are equal in id and text; they share what was drawn for all of them.
-    share = F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int")
-    copies = materialise(mixed.groupBy(key).agg(F.sequence(F.lit(1), share).alias(f"{key}_n"), share.alias("n")).where("n > 0").drop("n"), "mix-copies")
-    taken = docs.withColumn(key, _key("doc_id", "text")).join(small_side(copies, copies.count(), 64), key)
-    return taken.withColumn(f"{key}_c", F.explode(f"{key}_n")).select(*docs.columns)
+    """Each document stands as often as the mix takes it.
+
+    Rows equal in all columns are interchangeable: one of them stands as often as the mix takes all of them together."""
+    key, names = _unused(docs), docs.columns
+    n, repeated = f"{key}_n", f"{key}_r"
+    mixed = mix(docs.select(_key(*names).alias(key), "source", "text"), id_col=key)
+    taken = mixed.groupBy(key).agg(F.sum("copies").cast("int").alias(n), (F.count(F.lit(1)) > 1).alias(repeated))
+    taken = materialise(taken.where(F.col(n) > 0), "mix-copies")
+    rows = docs.withColumn(key, _key(*names)).join(small_side(taken, taken.count(), 64), key)
+    rows = rows.where(~F.col(repeated)).unionByName(rows.where(repeated).dropDuplicates([key]))
+    return rows.withColumn(repeated, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*names)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,9 +77,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; a stage's own scratch tables go once its rows are written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; a stage's scratch tables go once its rows are written, and those rows once the next stage's are."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-        drop_scratch(spark, keep=("stage-",))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch_scope(spark):
+            docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"), outside=True)
+        written.append(docs.inputFiles())
+        if len(written) > 1:
+            drop_table(spark, written[-2])
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # reads tables of its own only
+    drop_table(spark, written[-1])
+    return packed

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST]", "</s>"
 REPLACING = ("edit", "regenerate")
 LEARNED_ROLE = "assistant"
+DELTA_CHARS = 500
 
 
 def escape(text: Column) -> Column:
@@ -80,11 +81,17 @@ def read_back(formatted: Column) -> Column:
     ))
 
 
-def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as a log: each row opens one message, in the order of turn, role and text."""
+def events_of(conversations: DataFrame, chars: int = DELTA_CHARS) -> DataFrame:
+    """A table of finished turns as a log, in the order of turn, role and text: each row opens a message, and what is
+    longer than ``chars`` code points comes as deltas."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     n = F.row_number().over(order).cast("long")
-    return conversations.select("conv_id", n.alias("seq"), n.alias("msg"), F.lit("message").alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    # As a log holds them: a message opens with the first characters, and the rest streams in.
+    parts = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(rf"(?s).{{1,{chars}}}"), 0)
+    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("")))
+    turns = conversations.select("conv_id", n.alias("msg"), "role", parts.alias("parts")).select("conv_id", "msg", "role", F.posexplode("parts").alias("at", "text"))
+    kind = F.when(F.col("at") == 0, "message").otherwise("delta")
+    return turns.select("conv_id", (F.col("msg") * (1 << 32) + F.col("at")).alias("seq"), "msg", kind.alias("kind"), "role", "text")
 
 
 def planted_conversation(spark: SparkSession) -> DataFrame:

@@ -28,15 +28,18 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> Da
     return norm.select("id", F.length("norm").alias("size"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"), "norm")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """The groups of two and more equal texts: digest, keep_id, group_size.
+def repeated_prefixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """(size, prefix) of two rows and more.
 
-    The first pass keeps 20 bytes a row.  Lengths, then prefixes, are counted with partial sums, so that no
-    group meets in one task; the second pass computes whole digests for rows whose prefix group survived."""
+    The pass keeps 20 bytes a row.  Lengths, then prefixes, are counted with partial sums, so that no group meets in one task."""
     slim = materialise(_keyed(docs, id_col, text_col, prefix_chars).select("id", "size", "prefix"), "exact-slim")
     sizes = materialise(slim.groupBy("size").count().where("count > 1").select("size"), "exact-sizes")
     same_size = slim.join(small_side(sizes, sizes.count(), 8), "size", "left_semi")
-    prefixes = materialise(same_size.groupBy("size", "prefix").count().where("count > 1").select("size", "prefix"), "exact-prefixes")
+    return materialise(same_size.groupBy("size", "prefix").count().where("count > 1").select("size", "prefix"), "exact-prefixes")
+
+
+def duplicate_groups(docs: DataFrame, prefixes: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """The groups of two and more equal texts: digest, keep_id, group_size, from rows whose prefix group survived."""
     left = _keyed(docs, id_col, text_col, prefix_chars).join(small_side(prefixes, prefixes.count(), 24), ["size", "prefix"], "left_semi")
     digests = left.select("id", F.sha2("norm", 256).alias("digest"))
     groups = digests.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -45,7 +48,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """Every row's decision: id_col, keep_id, group_size, kept, text_sha256."""
-    groups = duplicate_groups(docs, id_col, text_col, prefix_chars)
+    groups = duplicate_groups(docs, repeated_prefixes(docs, id_col, text_col, prefix_chars), id_col, text_col, prefix_chars)
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("digest"))
     told = rows.join(small_side(groups, groups.count(), 96), "digest", "left")
     return told.select(
@@ -61,13 +64,19 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` without the rows whose text a row with a smaller id has; all columns stay as they are.
 
     Repeats of one id with one text are one document, of which one row stays."""
-    groups = duplicate_groups(docs, id_col, text_col, prefix_chars)
+    prefixes = repeated_prefixes(docs, id_col, text_col, prefix_chars)
+    groups = duplicate_groups(docs, prefixes, id_col, text_col, prefix_chars)
     names = docs.columns
     # Columns of our own behind a prefix that no column of the table has.
     tag = "_x" * (1 + max([0, *map(len, names)]))
-    groups = groups.select(F.col("digest").alias(f"{tag}digest"), F.col("keep_id").alias(f"{tag}keep"), F.lit(True).alias(f"{tag}group"))
-    # The last pass reads and writes whole rows anyway, so it finds a row's group by its digest.
-    joined = docs.withColumn(f"{tag}digest", F.sha2(normalised(F.col(text_col)), 256)).join(small_side(groups, groups.count(), 96), f"{tag}digest", "left")
-    alone = F.col(f"{tag}group").isNull()
-    keepers = joined.where(~alone & F.col(id_col).eqNullSafe(F.col(f"{tag}keep")))
-    return joined.where(alone).select(*names).unionAll(keepers.dropDuplicates([f"{tag}digest"]).select(*names))
+    size, prefix, digest, keep, group = (tag + c for c in ("size", "prefix", "digest", "keep", "group"))
+    prefixes = prefixes.select(F.col("size").alias(size), F.col("prefix").alias(prefix), F.lit(True).alias(group))
+    norm = normalised(F.col(text_col))
+    rows = docs.withColumns({size: F.length(norm), prefix: F.xxhash64(F.substring(norm, 1, prefix_chars))}).join(small_side(prefixes, prefixes.count(), 24), [size, prefix], "left")
+    # Whole texts are only hashed where another row has the prefix.
+    rows = rows.withColumn(digest, F.when(F.col(group), F.sha2(norm, 256))).select(*names, digest)
+    groups = groups.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.lit(True).alias(group))
+    joined = rows.join(small_side(groups, groups.count(), 96), digest, "left")
+    alone = F.col(group).isNull()
+    keepers = joined.where(~alone & F.col(id_col).eqNullSafe(F.col(keep)))
+    return joined.where(alone).select(*names).unionAll(keepers.dropDuplicates([digest]).select(*names))

@@ -1,18 +1,21 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the DOM.
 
 A page is read into leaf blocks, runs of text without a block-level boundary (or a line break) inside, each with
-its open ancestors.  A block's features are its ancestors' tags, what their classes, ids and roles hint at, and
-counts of its text; the field has a weight for each feature and for each pair of neighbouring labels, is trained on
-labelled pages by gradient ascent on their log likelihood (forward-backward), and decoded by Viterbi.
+its open ancestors.  A block's features are its ancestors' tags, the words of their classes, ids and roles (hashed to
+``TOKENS`` numbers; none is known beforehand), and counts of its text; the field has a weight for each feature and for
+each pair of neighbouring labels, is trained on labelled pages by gradient ascent on their log likelihood
+(forward-backward), and decoded by Viterbi.
 
 ``labelled_pages`` makes labelled pages from a seed, of many layouts; others can be passed to ``train``.  Both the
-number of pages and the features are bounded, so the model is a few kilobytes.
-
-Rules: scripts, styles, templates, comments and the head hold no text.  Character references are decoded, then white
-space in a block becomes one space and is trimmed; empty blocks vanish; kept blocks are joined by one \\n in page
-order; nothing is capped.  Tags that are never closed end with what encloses them; a tag cut off at the end of the page is
-dropped.  A null html is an empty page, and a page without main text has the text "".  Rows that repeat are
-extracted each; an empty table gives an empty result; other columns may have any name.
+number of pages and the features are bounded, so the model is a few hundred kilobytes.
+
+Rules: scripts, styles, templates, titles, drawings, text for browsers without scripts and comments hold no text.  A script,
+style or comment that is never closed reaches to the end of the page; any other such element is passed over.  Character
+references are decoded, then white space in a block (all that Unicode calls so, U+00A0 too) becomes one space and is trimmed;
+empty blocks vanish; kept blocks are joined by one \\n in page order; nothing is capped.  Tags that are never closed end with what
+encloses them; a tag cut off at the end of the page is dropped.  Reading takes time in proportion to the page, however deep
+its elements lie in each other.  A null html is an empty page, and a page without main text has the text "".  Rows that repeat
+are extracted each; an empty table gives an empty result; other columns may have any name, but one named ``text`` goes.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -29,10 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-_TOKEN = re.compile(
-    rf"(?P<text>[^<]++)|<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|noscript|svg|head)\b{_ATTRIBUTES}>(?:.*?</(?P=raw)\s*>|.*\Z)"
-    rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attributes>{_ATTRIBUTES})>|<[!?/a-z][^>]*+(?:>|\Z)|(?P<stray><)", re.S | re.I)
+_TOKEN = re.compile(rf"(?P<text>[^<]++)|(?P<comment><!--)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attributes>{_ATTRIBUTES})>|(?P<cut><[!?/a-z][^>]*+(?:>|\Z))|(?P<stray><)", re.S | re.I)
 _HINTING = re.compile(r"""\b(?:class|id|role|hidden|style)\b\s*=?\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))?""", re.I)
+#: Elements without text of the page; the first ones reach to the end of the page if they are never closed.
+_TO_THE_END = frozenset(("script", "style"))
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in ("script", "style", "template", "title", "noscript", "svg")}
+_NO_HINTS = frozenset(("html", "body"))
+TOKENS = 1 << 12
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Open elements that a start tag of this kind ends.
@@ -41,24 +49,9 @@ _P_ENDING = frozenset("address article aside blockquote details div dl fieldset
 _SCOPES = frozenset("article aside body div footer form header html main nav section table td th ul ol".split())
 _KNOWN_TAGS = frozenset("article aside blockquote body button dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header label li main nav ol option p pre section select table td th tr ul".split())
 
+_MAIN = frozenset(("article", "main"))
 _APART = frozenset("aside button footer form header label nav select".split())
 
-#: What parts of class, id and role names hint at.
-HINTS = {
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs topbar toc pagination pager skip",
-    "head": "header masthead head logo brand tagline",
-    "foot": "footer foot copyright legal imprint colophon contentinfo",
-    "side": "sidebar side aside widget related recommended trending popular more rail complementary",
-    "ad": "ad ads advert adverts advertisement banner sponsor sponsored promo promotion adsense",
-    "notice": "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription alert alertdialog paywall",
-    "comment": "comment comments commentlist reply replies disqus respond discussion",
-    "form": "form search login signup signin contact",
-    "meta": "share social tags byline author meta follow",
-    "main": "article content post entry main story body text maincontent articlebody",
-    "hidden": "hidden none",
-}
-_HINT_OF = {w: k for k, ws in HINTS.items() for w in ws.split()}
-
 Block = tuple[str, list[str]]
 
 
@@ -69,23 +62,34 @@ def _hints(attributes: str) -> tuple[str, ...]:
         value = next((v for v in m.groups() if v), "")
         name = m[0][:5].lower()
         if name == "style":
-            found |= {"h:hidden"} if re.search(r"display\s*:\s*none", value) else set()
+            found |= {"hidden"} if re.search(r"display\s*:\s*none", value) else set()
         elif name == "hidde":
-            found.add("h:hidden")
+            found.add("hidden")
         else:
             words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            found |= {"h:" + _HINT_OF[w] for w in words if w in _HINT_OF}
+            found |= {f"c:{zlib.crc32(w.encode()) % TOKENS}" for w in words if w}
     return tuple(sorted(found))
 
 
-@lru_cache(maxsize=20_000)
-def _ancestor_features(ancestors: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[str, ...]:
-    tags = [t for t, _ in ancestors]
-    out = {"t:" + t for t in tags if t in _KNOWN_TAGS} | {h for _, hs in ancestors for h in hs}
-    block = next((t for t in reversed(tags) if t in _KNOWN_TAGS), "none")
-    main = "article" in tags or "main" in tags or any("h:main" in hs for _, hs in ancestors)
-    apart = any(t in _APART for t in tags) or any(h != "h:main" for _, hs in ancestors for h in hs)
-    return (*sorted(out), "p:" + block, f"main:{main}", f"apart:{apart}", f"main:{main} apart:{apart}")
+class _Open:
+    """An open element: its features and those of all around it."""
+
+    __slots__ = ("tag", "features", "key")
+    known: dict = {}
+
+    def __init__(self, tag: str, hints: tuple[str, ...], around: "_Open | None"):
+        self.tag = tag
+        tags, words, block = around.key if around else (frozenset(), frozenset(), "none")
+        if tag in _KNOWN_TAGS:
+            tags, block = tags | {tag}, tag
+        self.key = (tags, words.union(hints) if hints else words, block)
+        self.features = _Open.known.get(self.key)
+        if self.features is None:
+            if len(_Open.known) > 20_000:
+                _Open.known.clear()
+            main, apart = bool(tags & _MAIN), bool(tags & _APART)
+            self.features = (*sorted("t:" + t for t in tags), *sorted(self.key[1]), "p:" + block, f"main:{main}", f"apart:{apart}", f"main:{main} apart:{apart}")
+            _Open.known[self.key] = self.features
 
 
 def _text_features(text: str, linked: int) -> list[str]:
@@ -98,47 +102,76 @@ def _text_features(text: str, linked: int) -> list[str]:
 
 def leaf_blocks(page: str | None) -> list[Block]:
     """(text, features) of each leaf block."""
+    page = page or ""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    outside = _Open("", (), None)
+    stack: list[_Open] = []
+    opened: Counter = Counter()
+    unclosed: set[str] = set()
     parts: list[str] = []
-    linked = 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                blocks.append((text, [*_text_features(text, linked), *_ancestor_features(tuple(stack))]))
+                blocks.append((text, [*_text_features(text, linked), *(stack[-1] if stack else outside).features]))
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page or ""):
-        kind = m.lastgroup
+    def close(upto: int) -> None:
+        for e in stack[upto:]:
+            opened[e.tag] -= 1
+        del stack[upto:]
+
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at, kind = m.end(), m.lastgroup
         if kind == "text" or kind == "stray":
             parts.append(m[0])
-            if any(t == "a" for t, _ in stack):
+            if opened["a"]:
                 linked += len(m[0].strip())
+        elif kind == "comment":
+            found = page.find("-->", at)
+            at = len(page) if found < 0 else found + 3
         elif kind == "attributes":
             tag = m["tag"].lower()
+            own_end = m["attributes"].rstrip().endswith("/")
+            if tag in _RAW and not m["end"]:
+                if own_end and tag == "svg":
+                    continue
+                found = None if tag in unclosed else _RAW[tag].search(page, at)
+                if found:
+                    at = found.end()
+                elif tag in _TO_THE_END:
+                    at = len(page)
+                else:
+                    unclosed.add(tag)  # looked for only once
+                continue
             if tag not in _INLINE:
                 flush()
             if m["end"]:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if at is not None:
-                    if any(t not in _INLINE for t, _ in stack[at:]):
+                if opened[tag]:
+                    i = len(stack) - 1
+                    while stack[i].tag != tag:
+                        i -= 1
+                    if any(e.tag not in _INLINE for e in stack[i:]):
                         flush()
-                    del stack[at:]
+                    close(i)
             elif tag not in _VOID:
-                ends = _ENDS.get(tag, set()) | ({"p"} if tag in _P_ENDING else set())
-                if ends:
+                ends = _ENDS.get(tag, frozenset()) | ({"p"} if tag in _P_ENDING else frozenset())
+                if any(opened[t] for t in ends):
                     for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] in ends:
-                            del stack[i:]
+                        if stack[i].tag in ends:
+                            close(i)
                             break
-                        if stack[i][0] in _SCOPES:
+                        if stack[i].tag in _SCOPES:
                             break
-                if not m["attributes"].rstrip().endswith("/") or tag not in _INLINE:
-                    stack.append((tag, _hints(m["attributes"]) if m["attributes"] else ()))
+                if not own_end or tag not in _INLINE:
+                    hints = _hints(m["attributes"]) if m["attributes"] and tag not in _NO_HINTS else ()
+                    stack.append(_Open(tag, hints, stack[-1] if stack else outside))
+                    opened[tag] += 1
     flush()
     return blocks
 
@@ -171,7 +204,7 @@ class ChainField:
         return labels[::-1]
 
 
-def train(pages: Iterable[tuple[list[list[str]], list[int]]], rounds: int = 150, rate: float = 0.3, decay: float = 1e-3) -> ChainField:
+def train(pages: Iterable[tuple[list[list[str]], list[int]]], rounds: int = 100, rate: float = 0.3, decay: float = 1e-3) -> ChainField:
     """Adam on the penalised log likelihood, all pages at once."""
     pages = [p for p in pages if p[1]]
     names = sorted({f for fs, _ in pages for b in fs for f in b})
@@ -210,15 +243,33 @@ def train(pages: Iterable[tuple[list[list[str]], list[int]]], rounds: int = 150,
     return ChainField(dict(zip(names, w.tolist(), strict=True)), a)
 
 
+#: What the made pages call their parts.
+NAMES = {
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs topbar toc pagination pager skip",
+    "head": "header masthead head logo brand tagline",
+    "foot": "footer foot copyright legal imprint colophon contentinfo",
+    "side": "sidebar side aside widget related recommended trending popular more rail complementary",
+    "ad": "ad ads advert adverts advertisement banner sponsor sponsored promo promotion adsense",
+    "notice": "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription alert alertdialog paywall",
+    "comment": "comment comments commentlist reply replies disqus respond discussion",
+    "meta": "share social tags byline author meta follow",
+    "main": "article content post entry main story body text maincontent articlebody",
+}
+
+
 def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, list[str]]]:
-    """(html, its main blocks): pages of many layouts with text of random words."""
+    """(html, its main blocks): pages of many layouts with text of random words; a part's name is at times one that tells
+    nothing."""
     rng = random.Random(seed)
     syllables = ["".join(p) for p in zip("bdfghklmnprstvz" * 5, "aeiou" * 15, "nrst lmn rk " * 7, strict=False)]
     word = lambda: "".join(rng.choice(syllables).strip() for _ in range(rng.randint(1, 4)))
     words = lambda lo, hi: " ".join(word() for _ in range(rng.randint(lo, hi))).capitalize()
     sentence = lambda: words(1, 20).replace(" ", ", ", rng.randint(0, 2)) + rng.choice("...?!")
-    prose = lambda: " ".join(sentence() for _ in range(rng.choice((1, 1, 2, 3, 6))))
-    hint = lambda kind: rng.choice(HINTS[kind].split())
+    plain = lambda: " ".join(sentence() for _ in range(rng.choice((1, 1, 2, 3, 6))))
+    # Some text is odd, within the article or without: bars, signs, shouting, no stops.
+    odd = lambda t: rng.choice((t.replace(" ", " | "), t.replace(" ", "### "), "&copy; " + t, t.replace(" ", " &middot; "), t.upper(), t.rstrip(".?!"), t.replace(" ", ", ")))
+    prose = lambda: odd(plain()) if rng.random() < 0.15 else plain()
+    hint = lambda kind: rng.choice(NAMES[kind].split()) if rng.random() < 0.98 else rng.choice(("box", "col", "wrapper", "section", word()))
     links = lambda: "<ul>" + "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(rng.randint(2, 7))) + "</ul>"
 
     def part(kind: str, inside: str, tag: str | None = None) -> str:
@@ -246,22 +297,25 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, list[str
         main: list[str] = []
 
         def kept(text: str, main: list[str] = main) -> str:
-            main.append(text)
+            main.append(html_lib.unescape(text))
             return text
 
         body = [f"<h1>{kept(words(2, 12))}</h1>"] if rng.random() < 0.8 else []
+        body += [clutter("meta")] if rng.random() < 0.25 else []
         for _ in range(rng.choice((1, 1, 2, 4, 8, 15))):
             body.append(rng.choices((
                 lambda: f"<p>{kept(prose())}</p>", lambda: f"<p><b>{kept(prose())}<br>", lambda: f"<h2>{kept(words(1, 6))}</h2>",
                 lambda: "<ul>" + "".join(f"<li>{kept(sentence())}</li>" for _ in range(3)) + "</ul>", lambda: f"<blockquote><p>{kept(prose())}</p></blockquote>",
                 lambda: f"<table><tr><td>{kept(words(1, 3))}</td><td>{kept(words(1, 3))}</td></tr></table>", lambda: f"<pre>{kept(prose())}</pre>",
-            ), (12, 2, 2, 1, 1, 1, 1))[0]())
-            if rng.random() < 0.1:
+                lambda: "<dl>" + "".join(f"<dt>{kept(words(1, 3))}</dt><dd>{kept(words(2, 9))}</dd>" for _ in range(rng.randint(1, 4))) + "</dl>",
+                lambda: f"<figure><img src=x><figcaption>{kept(words(2, 9))}</figcaption></figure>",
+            ), (12, 2, 2, 1, 1, 1, 1, 1, 1))[0]())
+            if rng.random() < 0.2:
                 body.append(clutter(rng.choice(("ad", "side", "meta", "form", "notice"))))
         inner = "".join(body)
         inner = rng.choice((f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f'<div class="{hint("main")}">{inner}</div>', f'<div id="{hint("main")}">{inner}</div>', f"<main><article>{inner}</article></main>", f"<div>{inner}</div>"))
-        before = [clutter(k) for k in rng.sample(("menu", "head", "ad", "notice", "form", "menu", "ad", "side", "hidden"), rng.randint(1, 4))]
-        after = [clutter(k) for k in rng.sample(("foot", "comment", "side", "ad", "notice", "foot", "form", "meta"), rng.randint(1, 4))]
+        before = [clutter(k) for k in rng.sample(("menu", "head", "ad", "notice", "form", "menu", "ad", "side", "hidden"), rng.randint(0, 4))]
+        after = [clutter(k) for k in rng.sample(("foot", "comment", "side", "ad", "notice", "foot", "form", "meta"), rng.randint(0, 4))]
         yield "<html><body>" + "".join(before) + inner + "".join(after) + "</body></html>", main
 
 

@@ -8,9 +8,10 @@ source and hands up one unsettled document; those meet again level by level, a r
 ``fan`` children a node, until one is left a source, which a last draw settles.
 
 Size: words of the text; a null text has none, and a document without words draws alone.  Draws
-are hashes of seed, id and level, so reruns agree.  Sources are taken by code point, null last, with the given
+are hashes of seed, id, text, source, level and a number among equal rows, so reruns agree and equal rows spread over buckets.  Sources are taken by code point, null last, with the given
 weights in turn.  A target above ``most`` times its source's size stops there and the excess is shared again
-by weight.  Repeated rows are documents of their own; an empty table gives an empty result.
+by weight.  Repeated rows, and rows without id, are documents of their own; an empty table gives an empty result.  Other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import materialise, small_side, word_count
+from quillframe.llm.common import materialise, number_repeats, row_part, small_side, word_count
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_COPIES = 3
 LEAST_BUCKET_ROWS = 1_000
 FAN = 64
-_ROUNDED = "id long, src string, no_source boolean, size long, source_size long, target double, whole long, x double, u double, bucket long, settled boolean"
+#: Ids pass Python as strings, as null ones would turn numbers into floats there.
+_ROUNDED = "id string, src string, no_source boolean, size long, source_size long, target double, whole long, x double, u double, salt long, bucket long, settled boolean"
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -75,7 +77,7 @@ def pivot(size: np.ndarray, x: np.ndarray, u: np.ndarray, eps: float = 1e-12) ->
 
 
 def _round_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["u", "id", "size"], kind="stable", ignore_index=True)
+    rows = rows.sort_values(["u", "salt", "size"], kind="stable", ignore_index=True)
     x, held = pivot(rows["size"].to_numpy(float), rows["x"].to_numpy(float), rows["u"].to_numpy(float))
     settled = np.ones(len(rows), bool)
     if held >= 0:
@@ -87,22 +89,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     """Every row with its copies: id_col, source, size, source_size, target, copies, taken."""
 
     def uniform(level: int):
-        return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), F.col("id")), 11)).cast("double") / float(1 << 53)
+        return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), F.col("salt")), 11)).cast("double") / float(1 << 53)
 
     rows = materialise(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"),
+        F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("th"), row_part().alias("part"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"),
         word_count(F.col(text_col)).alias("size"),
     ), "mix-rows")
+    rows = number_repeats(rows, ["id", "th", "src", "no_source"]).withColumn("salt", F.xxhash64(F.lit(seed), "id", "th", "src", "nth"))
     sources = rows.groupBy("no_source", "src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sources = materialise(source_targets(sources, weights, most), "mix-sources")
     n_sources, total, largest = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     bucket_rows = max(LEAST_BUCKET_ROWS, math.isqrt(total))
     p = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    spread = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id"), F.col("size")), F.ceil(F.col("n") / bucket_rows))
+    spread = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("salt")), F.ceil(F.col("n") / bucket_rows))
     rows = rows.join(small_side(sources, n_sources, 96), ["no_source", "src"]).withColumn("p", p)
     rows = rows.select(
         "id", "src", "no_source", "size", "source_size", "target", F.floor("p").cast("long").alias("whole"), (F.col("p") - F.floor("p")).alias("x"),
-        uniform(0).alias("u"), spread.cast("long").alias("bucket"), F.lit(False).alias("settled"),
+        uniform(0).alias("u"), "salt", spread.cast("long").alias("bucket"), F.lit(False).alias("settled"),
     )
     done, level, buckets = [], 0, max(1, -(-largest // bucket_rows))
     while True:
@@ -118,4 +121,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.col("whole") + F.round("x").cast("long")
-    return out.select(F.col("id").alias(id_col), F.when(~F.col("no_source"), F.col("src")).alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.when(~F.col("no_source"), F.col("src")).alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -9,7 +9,7 @@ Each task packs one bucket of pieces.  Its ``carry`` emptiest sequences are open
 packed with those of other buckets, ``fan`` buckets a node, up to one; so sequences left open at the end of a
 task do not add up, and no task holds more than a bucket or ``fan * carry`` sequences' pieces.
 
-A null text is an empty one: just the end token.  Rows that repeat are packed each.  An empty table gives an
+A null text is an empty one: just the end token.  Rows that repeat, or have no id, are packed each.  An empty table gives an
 empty result.  Only the id and the text are looked at.
 """
 
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import TEXT_ROWS, arrow_batches, give_back, kept_in_worker, materialise
+from quillframe.llm.common import TEXT_ROWS, arrow_batches, give_back, kept_in_worker, materialise, number_repeats, row_part
 
 SEQUENCE = 4096
 END_ID = 1
@@ -58,9 +58,17 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._check(path)
         self.known: dict[str, bytes] = {}
         self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",", "!", "?")}
 
+    def _check(self, path: str) -> None:
+        """Words are independent only if the tokenizer drops white space and case, and splits off single marks."""
+        encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        words = ["Plain", "words,", "stra\u00dfe.", "\u00c9t\u00e9!", "x1-y?"]
+        if encode("\t".join(words) + " \n") != sum((encode(w.lower()) for w in words), []) or encode("ab.") != encode("ab") + encode("."):
+            raise ValueError(f"{path}: not a tokenizer of lower-case words apart from white space")
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         for at in range(0, len(texts), 64):
@@ -144,7 +152,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = SEQUENCE) -> tuple[np.nd
 
 def _packer(sequence: int, carry: int, level: int, last: bool):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32", "nth"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
         to, at = sum_of_squares(rows["length"].to_numpy(), sequence)
         fill = np.bincount(to, rows["length"], minlength=1)
         open_again = np.zeros(len(fill), bool)
@@ -160,9 +168,13 @@ def _packer(sequence: int, carry: int, level: int, last: bool):
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, carry: int = CARRY, fan: int = FAN, bucket_rows: int | None = None) -> DataFrame:
     """``pieces`` with sequence_id and offset, so that each sequence's pieces lie end to end from 0."""
     total = pieces.count()
+    kind = pieces.schema["doc_id"].dataType
+    # Ids pass Python as strings, as null ones would turn numbers into floats there; equal rows spread over buckets.
+    pieces = materialise(pieces.select(F.col("doc_id").cast("string").alias("doc_id"), *pieces.columns[1:], row_part().alias("part")), "pack-rows")
+    pieces = number_repeats(pieces, ["doc_id", "piece", "ids_crc32"]).drop("part")
     buckets = max(1, -(-total // (bucket_rows or max(LEAST_BUCKET_ROWS, math.isqrt(total)))))
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    schema = _PIECE + ", bucket long, sequence_id long, offset long, settled boolean"
+    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "nth"), F.lit(buckets)))
+    schema = _PIECE.replace("doc_id long", "doc_id string") + ", nth long, bucket long, sequence_id long, offset long, settled boolean"
     done, level = [], 0
     while True:
         packed = materialise(rows.groupBy("bucket").applyInPandas(_packer(sequence, carry, level, buckets == 1), schema), f"pack-level-{level}")
@@ -174,7 +186,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, carry: int = CARRY, fan: i
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind)).drop("nth")
 
 
 def best_fit_pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:

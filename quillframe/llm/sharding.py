@@ -1,6 +1,6 @@
 """Shards that all have the mixture of the whole, with DataFrame functions only.
 
-Proportional stratified interleaving: within each source rows are ranked by a seeded hash of their id; the
+Proportional stratified interleaving: within each source rows are ranked by a seeded hash of their id and text (and a number among equal rows, which so spread); the
 row of rank r among n gets the fractional rank (r - 1/2) / n; all rows, sorted by it, are cut into shards of
 equal counts (the ``rows`` law: counts differ by one at most).  Every stretch of that order has each
 source in proportion.
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import materialise, small_side
+from quillframe.llm.common import materialise, number_repeats, row_part, small_side
 
 FIXED_BYTES = 8
 LEAST_BUCKET_ROWS = 1_000
@@ -40,8 +40,9 @@ def interleave_shards(docs: DataFrame, shards: int = 24, seed: int = 17, id_col:
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + FIXED_BYTES).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("long").alias("crc"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
+        row_part().alias("part"),
     )
+    rows = number_repeats(materialise(rows, "shard-rows"), ["id", "crc", "size", "src", "no_source"]).withColumn("h", F.xxhash64(F.lit(seed), "id", "crc", "nth"))
     sources = materialise(docs.select(F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src")).groupBy("no_source", "src").agg(F.count(F.lit(1)).alias("of")), "shard-sources")
     n_sources, total = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("of"), F.lit(0))).first()
     bucket_rows = bucket_rows or max(LEAST_BUCKET_ROWS, math.isqrt(total))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -12,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillframe.llm import chat, exact_dedup, html_extract, language_id, line_dedup, mixing, packing, quality, sharding
-from quillframe.llm.common import word_count
+from quillframe.llm.common import materialise, number_repeats, row_part, word_count
+from tests.llm import layouts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"{a}{b}{c}" for a in "bdfgklmnprstvz" for b in "aeiou" for c in ("", "n", "r", "ta", "les")]
@@ -107,6 +109,27 @@ def test_pivot_keeps_marginals():
     assert np.abs(total / 4000 - x).max() < 0.04
 
 
+def test_equal_rows_spread(spark):
+    rows = [(None, "same", "a")] * 3000 + [(7, "same", "a")] * 3000 + [(i, f"text {i}", "b") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    told = number_repeats(materialise(df.withColumn("part", row_part()), "t"), ["doc_id", "text"])
+    got = defaultdict(list)
+    for r in told.collect():
+        got[r.doc_id, r.text].append(r.nth)
+    assert all(sorted(n) == list(range(len(n))) for n in got.values()) and sum(map(len, got.values())) == len(rows)
+    mixed = mixing.mix(df)
+    assert Counter((r.doc_id, r.copies) for r in mixed.collect()) == Counter((r.doc_id, r.copies) for r in mixing.mix(df.repartition(3)).collect())
+    sums = {r.source: r.t for r in mixed.groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    assert abs(sums["a"] - 4000) < 3 and abs(sums["b"] - 3000) < 3
+    assert mixed.where("doc_id is null").select("copies").distinct().count() == 2
+    shards = sharding.interleave_shards(df, bucket_rows=100)
+    counts = [r["count"] for r in shards.groupBy("shard").count().collect()]
+    assert max(counts) - min(counts) <= 1 and shards.where("doc_id is null").count() == 3000
+    big = (1 << 60) + 1
+    packed = packing.best_fit_pack(spark.createDataFrame([(None, "x y")] * 50 + [(big, "x y")] * 50, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in packed) == {None: 50, big: 50}
+
+
 # ---- 2 html
 
 
@@ -135,6 +158,32 @@ def test_field_on_held_out_pages():
     assert wrong < 0.02 * total
 
 
+def test_field_on_pages_labelled_by_hand():
+    field, hit, told, wanted = html_extract.default_field(), 0, 0, 0
+    for marked in layouts.PAGES:
+        page = marked.replace("{{", "").replace("}}", "")
+        main = Counter(t for m in re.findall(r"\{\{(.*?)\}\}", marked, re.S) for t, _ in html_extract.leaf_blocks(m))
+        got = Counter(html_extract.main_text(page, field).split("\n")) - Counter([""])
+        hit, told, wanted = hit + (got & main).total(), told + got.total(), wanted + main.total()
+    assert hit >= 0.95 * told and hit >= 0.95 * wanted, (hit, told, wanted)
+
+
+@pytest.mark.parametrize("before", ["<head><title>t</title>", "<svg a=1 />", "<svg-icon></svg-icon>", "<template-part></template-part>", "<noscript>", "<svg>", "</b></div>"])
+def test_nothing_swallows_the_page(before):
+    field = html_extract.default_field()
+    page = f'<html class="no-js modal-none">{before}<body><article><h1>A title of some words</h1><p>One sentence, and its end.</p></article>'
+    assert html_extract.main_text(page, field) == "A title of some words\nOne sentence, and its end."
+    for raw in ("<script>", "<style>", "<!--"):
+        assert html_extract.main_text(page + raw + "<p>And this is gone, as it should be.", field).count("\n") == 1
+
+
+@pytest.mark.parametrize("unit", ["<div>some words here ", "<b>x", "<div></span>", "<svg>", "<p><b>", "<li>", "<table><p>", "<a href=x><div>"])
+def test_reading_is_linear(unit):
+    began = time.process_time()
+    html_extract.leaf_blocks(unit * 40_000)
+    assert time.process_time() - began < 5
+
+
 def test_viterbi_matches_enumeration():
     rng = random.Random(3)
     field = html_extract.ChainField({f"f{i}": rng.uniform(-2, 2) for i in range(6)}, np.array([[0.4, -1.1], [-0.3, 0.8], [0.2, -0.5]]))
@@ -512,6 +561,13 @@ def fold(events):
     return messages
 
 
+def test_chat_streams_long_turns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "ab\ncd\U0001f600e", 1), (1, 1, "assistant", "", 2)], "conv_id long, turn long, role string, text string, seq int")
+    events = chat.events_of(df, 2)
+    assert [(r.kind, r.text) for r in events.orderBy("seq").collect()] == [("message", "ab"), ("delta", "\nc"), ("delta", "d\U0001f600"), ("delta", "e"), ("message", "")]
+    assert sorted((r.msg, r.text) for r in chat.fold_events(events).collect()) == [(1, "ab\ncd\U0001f600e"), (2, "")]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_chat_folds_events(spark, seed):
     rng, events = random.Random(seed), []
