@@ -247,7 +247,7 @@ def more_like_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = fulltext.postings(table(spark, sf_dir, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn")), "key", {"text": F.col("text"), "role": F.col("role")})
-    return index.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.max("dl").cast("long").alias("longest"))
+    return index.where("term <> ''").groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.max("dl").cast("long").alias("longest"))
 
 
 def count_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
