@@ -12,11 +12,15 @@ from quillframe.scratch import materialise
 
 #: A node with more than this share of all edges is a hub; there are fewer than 2 * HUBS of them, which bounds a broadcast.
 HUBS, ROUNDS = 256, 100
+#: Up to so many edges a hub's fit any task, and a plain join takes fewer stages.
+HUB_EDGES = 100_000
 
 
 def _beside(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
-    """``edges`` (u, v) with the minimum m of u.  Hubs, few by definition, get theirs by a broadcast; so no task holds all
-    edges of a hub."""
+    """``edges`` (u, v) with the minimum m of u.  Hubs, few by definition, get theirs by a broadcast; so no task holds more
+    than HUB_EDGES edges of a hub."""
+    if n_edges <= HUB_EDGES:
+        return edges.join(least.select("u", "m"), "u")
     hubs = least.where(F.col("n") > max(1_000, n_edges // HUBS)).select("u", F.col("m").alias("hub_m"))
     told = edges.join(F.broadcast(hubs), "u", "left")
     rest = told.where("hub_m is null").select("u", "v").join(least.select("u", "m"), "u")

@@ -255,7 +255,9 @@ def test_stream_goes_on_batch_by_batch(spark, tmp_path):
     assert len(numbers) >= 3 and out.agg(F.sum("n")).first()[0] == 12
 
 
-def test_linked_components(spark, monkeypatch):
+@pytest.mark.parametrize("hub_edges", [0, 100_000])
+def test_linked_components(spark, monkeypatch, hub_edges):
+    monkeypatch.setattr(graph, "HUB_EDGES", hub_edges)
     chain = [(i, i + 1) for i in range(60)] + [(100, 200)]
     star = [(1000, 1001 + i) for i in range(3000)] + [(4001 + i, 4000) for i in range(1, 50)] + [(4001, 3999)]
     links = spark.createDataFrame(chain + star, "a long, b long")
