@@ -1,9 +1,13 @@
 """Graphs (GRF): link graphs, components, communities.
 
-Components move minima along edges until nothing changes, each round written to the shared checkpoint folder."""
+Components join what each task holds first, then move minima along edges until nothing changes, each round written to the
+shared checkpoint folder."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,15 +16,48 @@ from quillframe.scratch import materialise
 
 #: A node with more than this share of all edges is a hub; there are fewer than 2 * HUBS of them, which bounds a broadcast.
 HUBS, ROUNDS = 256, 100
-#: Up to so many edges a hub's fit any task, and a plain join takes fewer stages.
-HUB_EDGES = 100_000
+#: Edges a task joins at a time.
+FOREST_EDGES = 500_000
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root): the smallest node that each can reach over these edges, roots left out."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while True:
+        least, new = np.minimum(root[x], root[y]), root.copy()
+        np.minimum.at(new, root[x], least)
+        np.minimum.at(new, root[y], least)
+        while (new[new] < new).any():
+            new = new[new]
+        if (new == root).all():
+            own = np.flatnonzero(root < np.arange(len(root)))
+            return names[own], names[root[own]]
+        root = new
+
+
+def forests(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, with the same components: each task hands on a forest of what it reads, FOREST_EDGES at a time."""
+
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            held.append(frame)
+            if sum(map(len, held)) >= FOREST_EDGES:
+                rows = pd.concat(held)
+                held = [pd.DataFrame(dict(zip("uv", forest(rows["u"].to_numpy(), rows["v"].to_numpy()), strict=True)))]
+                if len(held[0]) >= FOREST_EDGES // 2:
+                    yield held.pop()
+        if held:
+            rows = pd.concat(held)
+            yield pd.DataFrame(dict(zip("uv", forest(rows["u"].to_numpy(), rows["v"].to_numpy()), strict=True)))
+
+    return edges.mapInPandas(join, edges.schema)
 
 
 def _beside(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
     """``edges`` (u, v) with the minimum m of u.  Hubs, few by definition, get theirs by a broadcast; so no task holds more
-    than HUB_EDGES edges of a hub."""
-    if n_edges <= HUB_EDGES:
-        return edges.join(least.select("u", "m"), "u")
+    than a small share of all edges for a hub's sake."""
     hubs = least.where(F.col("n") > max(1_000, n_edges // HUBS)).select("u", F.col("m").alias("hub_m"))
     told = edges.join(F.broadcast(hubs), "u", "left")
     rest = told.where("hub_m is null").select("u", "v").join(least.select("u", "m"), "u")
@@ -32,7 +69,7 @@ def linked_components(links: DataFrame, name: str = "graph") -> DataFrame:
 
     Alternates large and small stars: neighbours above a node, then those below, move to its smallest one.  Only
     minima are aggregated, no neighbourhood is gathered; rounds grow with the logarithm of the size, and too many are an error."""
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-edges")
+    edges = materialise(forests(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")), f"{name}-edges")
     told = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for _ in range(ROUNDS):
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
