@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import chat, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, packing, quality, sharding
+from quillframe.llm import chat, embedding_dedup, exact_dedup, hard_negatives, html_extract, importance, language_id, line_dedup, mixing, near_dedup, packing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,73 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_extract_html, op3_shard, op4_quality, op5_pack, op6_language, op7_near_dedup, op8_chat, op9_line_dedup, op10_exact_dedup)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 50 == 0)
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.importance_draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_extract_html, op3_shard, op4_quality, op5_pack, op6_language, op7_near_dedup, op8_chat, op9_line_dedup, op10_exact_dedup, op11_hard_negatives, op12_embedding_dedup, op13_importance)}
 
 ORACLES: dict[str, str] = {
+    "op11_hard_negatives": r"""
+        WITH e AS (
+          SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+          FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.id AS anchor, b.id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score
+          FROM e a JOIN e b ON a.id % 50 = 0 AND a.id <> b.id),
+        p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+        n AS (
+          SELECT p.anchor, p.id AS positive, p.score AS ps, s.id AS negative, s.score AS ns, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS r
+          FROM p JOIN s ON s.anchor = p.anchor AND NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT anchor AS anchor_id, positive AS positive_id, r::INTEGER AS rank, negative AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 3""",
+    "op12_embedding_dedup": r"""
+        WITH RECURSIVE e AS (
+          SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (
+          SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id
+            AND list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.93),
+        reach AS (SELECT vec_id AS id, vec_id AS other FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN l ON l.a = r.other),
+        c AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+        d AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
+        SELECT c.id AS vec_id, coalesce(d.n, 0) AS n_links, component_id, c.id = component_id AS kept FROM c LEFT JOIN d ON d.id = c.id""",
+    "op13_importance": r"""
+        WITH RECURSIVE bits AS (
+          SELECT range AS i, range::BIGINT AS v, 0 AS k FROM range(256)
+          UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+        tab AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+        w AS (
+          SELECT doc_id AS id, true AS raw, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+          UNION ALL
+          SELECT item_id, false, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+        f AS (
+          SELECT id, raw, unnest(ws) AS g FROM w
+          UNION ALL SELECT id, raw, unnest(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) FROM w),
+        h AS (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM f)),
+        y AS (SELECT g, list_transform(range(0, len(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT) AS bytes FROM h),
+        b AS (SELECT g, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1])), 4294967295) % 10000 AS bucket FROM y, tab),
+        fb AS (SELECT id, raw, bucket FROM f JOIN b ON f.g = b.g),
+        n AS (SELECT bucket, count(*) FILTER (raw) AS s, count(*) FILTER (NOT raw) AS t FROM fb GROUP BY bucket),
+        a AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM n),
+        gain AS (SELECT bucket, floor(1000 * ln(((n.t + 1)::DOUBLE * (a.s + 10000)::DOUBLE) / ((n.s + 1)::DOUBLE * (a.t + 10000)::DOUBLE)))::BIGINT AS g FROM n, a),
+        d AS (SELECT id, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM fb JOIN gain USING (bucket) WHERE raw GROUP BY id),
+        q AS (
+          SELECT w.id AS doc_id, len(ws) AS n, greatest(2 * len(ws) - 1, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.id), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score
+          FROM w LEFT JOIN d ON d.id = w.id WHERE raw),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM q WHERE n >= 20),
+        m AS (SELECT count(*) * 25 // 100 AS most FROM q WHERE n >= 20)
+        SELECT q.doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN rank <= most THEN rank END AS rank FROM q CROSS JOIN m LEFT JOIN r ON r.doc_id = q.doc_id""",
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
