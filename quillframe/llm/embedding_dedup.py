@@ -96,11 +96,11 @@ def described(classes: DataFrame, pivots: int, near: int) -> DataFrame:
 
 def _bits(ranks: pd.Series) -> np.ndarray:
     """One row of 64-bit words a class, with the bits of its pivots set."""
-    words = np.zeros((len(ranks), PIVOTS // 64 + 1 + max(map(max, ranks)) // 64), np.uint64)
-    for i, own in enumerate(ranks):
-        for r in own:
-            words[i, r >> 6] |= np.uint64(1 << (r & 63))
-    return words[:, : 1 + int(np.flatnonzero(words.any(axis=0)).max())]
+    own = np.array(ranks.tolist(), np.int64)
+    words, row = np.zeros((len(own), (int(own.max()) >> 6) + 1), np.uint64), np.arange(len(own))
+    for k in range(own.shape[1]):
+        words[row, own[:, k] >> 6] |= np.uint64(1) << (own[:, k] & 63).astype(np.uint64)
+    return words
 
 
 def _linked(rows: pd.DataFrame, pivot: int, same: bool, shared: int, threshold: float) -> pd.DataFrame:
