@@ -41,9 +41,9 @@ def chunks(rows: DataFrame, key: str, text: str, size: int = 250, overlap: int =
     w = rows.select(key, words.alias("_w"))
     last = F.greatest(F.ceil((F.size("_w") - size) / F.lit(step)), F.lit(0)).cast("int")
     starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
-    every = w.where(F.size("_w") > 0).select(key, "_w", F.posexplode(starts).alias("chunk_id", "_at"))
-    cut = every.withColumn("_c", F.slice("_w", F.col("_at") + 1, size))
-    return cut.where((F.size("_c") >= least) | (F.col("chunk_id") == 0)).select(key, "chunk_id", F.array_join("_c", " ").alias("chunk"), F.size("_c").alias("n_words"))
+    # Only the windows leave the row, not the whole text beside each of them.
+    every = w.where(F.size("_w") > 0).select(key, F.posexplode(F.transform(starts, lambda at: F.slice("_w", at + 1, size))).alias("chunk_id", "_c"))
+    return every.where((F.size("_c") >= least) | (F.col("chunk_id") == 0)).select(key, "chunk_id", F.array_join("_c", " ").alias("chunk"), F.size("_c").alias("n_words"))
 
 
 def allocate(rows: DataFrame, by: list[str], order: str, size: str, budget: int, most: int) -> DataFrame:
