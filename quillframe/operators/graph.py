@@ -39,18 +39,22 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def forests(edges: DataFrame) -> DataFrame:
     """Edges (u, v), u > v, with the same components: each task hands on a forest of what it reads, FOREST_EDGES at a time."""
 
+    most = FOREST_EDGES
+
+    def joined(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held)
+        return pd.DataFrame(dict(zip("uv", forest(rows["u"].to_numpy(), rows["v"].to_numpy()), strict=True)))
+
     def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for frame in frames:
             held.append(frame)
-            if sum(map(len, held)) >= FOREST_EDGES:
-                rows = pd.concat(held)
-                held = [pd.DataFrame(dict(zip("uv", forest(rows["u"].to_numpy(), rows["v"].to_numpy()), strict=True)))]
-                if len(held[0]) >= FOREST_EDGES // 2:
+            if sum(map(len, held)) >= most:
+                held = [joined(held)]
+                if len(held[0]) >= most // 2:
                     yield held.pop()
         if held:
-            rows = pd.concat(held)
-            yield pd.DataFrame(dict(zip("uv", forest(rows["u"].to_numpy(), rows["v"].to_numpy()), strict=True)))
+            yield joined(held)
 
     return edges.mapInPandas(join, edges.schema)
 
@@ -75,7 +79,7 @@ def linked_components(links: DataFrame, name: str = "graph") -> DataFrame:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = _beside(both.where("v > u"), least, 2 * told[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.unionAll(least.where("m < u").select("u", F.col("m").alias("v"))).distinct(), f"{name}-large")
+        large = large.unionAll(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = _beside(large, least, told[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-edges")

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,19 +256,39 @@ def test_stream_goes_on_batch_by_batch(spark, tmp_path):
     assert len(numbers) >= 3 and out.agg(F.sum("n")).first()[0] == 12
 
 
-@pytest.mark.parametrize("hub_edges", [0, 100_000])
-def test_linked_components(spark, monkeypatch, hub_edges):
-    monkeypatch.setattr(graph, "HUB_EDGES", hub_edges)
+@pytest.mark.parametrize("at_a_time", [7, 500_000])
+def test_linked_components(spark, monkeypatch, at_a_time):
+    # The function that tasks run takes its chunk size from the driver's module when it is sent.
+    monkeypatch.setattr(graph, "FOREST_EDGES", at_a_time)
     chain = [(i, i + 1) for i in range(60)] + [(100, 200)]
     star = [(1000, 1001 + i) for i in range(3000)] + [(4001 + i, 4000) for i in range(1, 50)] + [(4001, 3999)]
     links = spark.createDataFrame(chain + star, "a long, b long")
     got = {r.id: r.root for r in graph.linked_components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, **{i: 1000 for i in range(1000, 4051)}}
-    monkeypatch.setattr(graph, "ROUNDS", 1)
+    monkeypatch.setattr(graph, "ROUNDS", 0)
     with pytest.raises(RuntimeError):
         graph.linked_components(links)
 
 
+def test_forest_equals_union_find():
+    rng = random.Random(5)
+    for n in (2, 30, 300):
+        a, b = [np.array([rng.randrange(n) for _ in range(n)]) for _ in range(2)]
+        above = {}
+
+        def top(x, above=above):
+            while x in above:
+                x = above[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = sorted((top(x), top(y)))
+            if x != y:
+                above[y] = x
+        node, root = graph.forest(a, b)
+        assert dict(zip(node.tolist(), root.tolist())) == {x: top(x) for x in {*a.tolist(), *b.tolist()} if top(x) != x}
+
+
 def test_run_available_goes_on(spark, tmp_path):
     row = lambda i: (i, datetime.datetime(2024, 1, 1, 0, i), 1, "view", 1.0, "{}")
     for part in (0, 1):
