@@ -1,7 +1,7 @@
 """Graphs (GRF): link graphs, components, communities.
 
-Components join what each task holds first, then move minima along edges until nothing changes, each round written to the
-shared checkpoint folder."""
+Components are joined in tasks of bounded size, level by level, and beyond that in rounds that move minima along edges; every level and
+round is written to the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from quillframe.scratch import materialise
 
 #: A node with more than this share of all edges is a hub; there are fewer than 2 * HUBS of them, which bounds a broadcast.
 HUBS, ROUNDS = 256, 100
-#: Edges a task joins at a time.
+#: Edges a task joins at a time: some tens of MB.
 FOREST_EDGES = 500_000
 
 
@@ -36,10 +36,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def forests(edges: DataFrame) -> DataFrame:
-    """Edges (u, v), u > v, with the same components: each task hands on a forest of what it reads, FOREST_EDGES at a time."""
-
-    most = FOREST_EDGES
+def forests(edges: DataFrame, most: int) -> DataFrame:
+    """Edges (u, v), u > v, with the same components: each task hands on forests of what it reads, ``most`` edges at a time."""
 
     def joined(held: list[pd.DataFrame]) -> pd.DataFrame:
         rows = pd.concat(held)
@@ -49,9 +47,9 @@ def forests(edges: DataFrame) -> DataFrame:
         held: list[pd.DataFrame] = []
         for frame in frames:
             held.append(frame)
-            if sum(map(len, held)) >= most:
+            if sum(map(len, held)) > most:
                 held = [joined(held)]
-                if len(held[0]) >= most // 2:
+                if len(held[0]) > most // 2:
                     yield held.pop()
         if held:
             yield joined(held)
@@ -68,12 +66,28 @@ def _beside(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
     return rest.unionByName(told.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
 
 
-def linked_components(links: DataFrame, name: str = "graph") -> DataFrame:
+def linked_components(links: DataFrame, name: str = "graph", most: int | None = None) -> DataFrame:
     """(id, root): the smallest id reachable, for every id of ``links`` (a, b) but those linked with themselves only.
 
+    Tasks of at most ``most`` edges (FOREST_EDGES) join what they hold, and their forests meet in fewer tasks, as long as that
+    shrinks them; what fits one such task is settled by it.  A graph whose forest is larger goes on in rounds."""
+    most = most or FOREST_EDGES
+    edges = materialise(forests(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), most), f"{name}-edges")
+    n = edges.count()
+    while n > most:
+        before, edges = n, materialise(forests(edges.repartition(-(-n // most)), most), f"{name}-edges")
+        n = edges.count()
+        if n > 0.8 * before:
+            break
+    edges = materialise(forests(edges.coalesce(1), most), f"{name}-edges") if n <= most else _settled(edges, name)
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+
+
+def _settled(edges: DataFrame, name: str) -> DataFrame:
+    """(u, v): each node with the smallest one it can reach.
+
     Alternates large and small stars: neighbours above a node, then those below, move to its smallest one.  Only
     minima are aggregated, no neighbourhood is gathered; rounds grow with the logarithm of the size, and too many are an error."""
-    edges = materialise(forests(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")), f"{name}-edges")
     told = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for _ in range(ROUNDS):
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -85,7 +99,7 @@ def linked_components(links: DataFrame, name: str = "graph") -> DataFrame:
         edges = materialise(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-edges")
         before, told = told, edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if told == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+            return edges
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 

@@ -256,18 +256,18 @@ def test_stream_goes_on_batch_by_batch(spark, tmp_path):
     assert len(numbers) >= 3 and out.agg(F.sum("n")).first()[0] == 12
 
 
-@pytest.mark.parametrize("at_a_time", [7, 500_000])
-def test_linked_components(spark, monkeypatch, at_a_time):
-    # The function that tasks run takes its chunk size from the driver's module when it is sent.
-    monkeypatch.setattr(graph, "FOREST_EDGES", at_a_time)
+@pytest.mark.parametrize("most", [7, 400, 500_000])
+def test_linked_components(spark, monkeypatch, most):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200)]
     star = [(1000, 1001 + i) for i in range(3000)] + [(4001 + i, 4000) for i in range(1, 50)] + [(4001, 3999)]
     links = spark.createDataFrame(chain + star, "a long, b long")
-    got = {r.id: r.root for r in graph.linked_components(links).collect()}
-    assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, **{i: 1000 for i in range(1000, 4051)}}
-    monkeypatch.setattr(graph, "ROUNDS", 0)
-    with pytest.raises(RuntimeError):
-        graph.linked_components(links)
+    got = [(r.id, r.root) for r in graph.linked_components(links, most=most).collect()]
+    want = {**{i: 0 for i in range(61)}, 100: 100, 200: 100, **{i: 1000 for i in range(1000, 4051)}}
+    assert len(got) == len(want) and dict(got) == want
+    if most == 7:
+        monkeypatch.setattr(graph, "ROUNDS", 0)
+        with pytest.raises(RuntimeError):
+            graph.linked_components(links, most=most)
 
 
 def test_forest_equals_union_find():
