@@ -1,7 +1,7 @@
-"""Dense vectors (VEC, TOP, JOIN): exact neighbours and pairs by blocks.
+"""Dense vectors (VEC, TOP, JOIN): exact neighbours and pairs over a metric index.
 
-Vectors are dealt into blocks; each pair of blocks is one small matrix product in a task, which passes on only what can be
-in the result (pairs above the threshold, or a query's best k in that block).  No product of all rows is ever a row."""
+Blocks of the index that can't hold a result are ruled out by their distances to the pivots; each pair of blocks that is left, or a block
+with the queries that visit it, is one matrix product in a task, which passes on only what can be in the result.  No product of all rows is ever a row."""
 
 from __future__ import annotations
 
@@ -10,54 +10,52 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2_000
+from quillframe.operators.metric import BLOCK_ROWS, Index, matrix, small
+from quillframe.scratch import materialise
 
-
-def _blocks(n: int, block_rows: int) -> int:
-    return max(1, -(-n // block_rows))
+#: Half of the last decimal that cosines are rounded to: what rounds up to a threshold is compared.
+_ROUNDING = 5e-7
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), np.float64)
+    return matrix(column, max(map(len, column), default=0))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, pivots: int | None = None) -> DataFrame:
     """(a, b, cos) for all pairs a < b of (id, vec, grp) with another group and cos >= threshold, rounded to 6."""
-    n = _blocks(vectors.count(), block_rows)
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    v = vectors.withColumn("own", own)
-    # Block i meets each block j: the pair (min, max) holds the rows of both.
-    pairs = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = key
-        left, right = rows[rows["own"] == lo], rows[rows["own"] == hi]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "cos": []})
-        cos = np.round(_matrix(left["vec"]) @ _matrix(right["vec"]).T, 6)
+    index = Index(vectors, block_rows, pivots)
+    pairs = materialise(index.block_pairs(threshold - _ROUNDING), "vector-block-pairs")
+    rows, width = index.rows.select("id", "vec", "grp", "block"), index.space.width
+    # Renamed, so that the two sides of a pair are tables of their own.
+    names = ["left", "right", "id", "vec", "grp"]
+    left = rows.join(small(pairs, 16), F.col("block") == F.col("left")).select(*names).toDF(*names)
+    right = rows.join(small(pairs, 16), F.col("block") == F.col("right")).select(*names).toDF(*names)
+
+    def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        cos = np.round(matrix(left["vec"], width) @ matrix(right["vec"], width).T, 6)
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         ok = (cos >= threshold) & (left["grp"].to_numpy()[:, None] != right["grp"].to_numpy()[None])
-        ok &= a[:, None] < b[None] if lo == hi else a[:, None] != b[None]
+        ok &= a[:, None] < b[None] if key[0] == key[1] else a[:, None] != b[None]
         i, j = np.nonzero(ok)
         return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "cos": cos[i, j]})
 
-    return pairs.groupBy("lo", "hi").applyInPandas(compare, "a long, b long, cos double")
+    return left.groupBy("left", "right").cogroup(right.groupBy("left", "right")).applyInPandas(compare, "a long, b long, cos double")
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, same_group: str = "any", positive: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, same_group: str = "any", positive: bool = True, block_rows: int = BLOCK_ROWS, pivots: int | None = None) -> DataFrame:
     """(qid, id, grp, cos, rank): each query's k nearest of ``vectors`` (id, vec, grp), itself left out.
 
-    ``same_group``: "any", or "other" to leave out the query's own group before k is taken.  Ties go to the smaller id."""
-    n, m = _blocks(vectors.count(), block_rows), _blocks(queries.count(), block_rows)
-    q = queries.select(F.col("id").alias("qid"), "vec", "grp", F.lit(True).alias("q")).withColumn("i", F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    v = vectors.select(F.col("id").alias("qid"), "vec", "grp", F.lit(False).alias("q")).withColumn("j", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    ``same_group``: "any", or "other" to leave out the query's own group before k is taken.  Ties go to the smaller id.
+    Each query looks at the block it would be in first; its k-th best there bounds how far it has to look."""
+    index = Index(vectors, block_rows, pivots)
+    space, top = index.space, index.space.top
 
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["q"]], rows[~rows["q"]].sort_values("qid")
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"qid": [], "id": [], "grp": [], "cos": []})
-        cos = np.round(_matrix(left["vec"]) @ _matrix(right["vec"]).T, 6)
-        ids, grp = right["qid"].to_numpy(), right["grp"].to_numpy()
+        right = right.sort_values("id")
+        cos = np.round(matrix(left["vec"], space.width) @ matrix(right["vec"], space.width).T, 6)
+        ids, grp = right["id"].to_numpy(), right["grp"].to_numpy()
         out = left["qid"].to_numpy()[:, None] == ids[None]
         if same_group == "other":
             out |= left["grp"].to_numpy()[:, None] == grp[None]
@@ -70,9 +68,38 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, same_group: str = "any
         at = order[i, r]
         return pd.DataFrame({"qid": left["qid"].to_numpy()[i], "id": ids[at], "grp": grp[at], "cos": found[i, r]})
 
-    near = q.select("qid", "vec", "grp", "q", "i", "j").unionByName(v.select("qid", "vec", "grp", "q", "i", "j")).groupBy("i", "j").applyInPandas(best, "qid long, id long, grp long, cos double")
+    def compared(asked: DataFrame) -> DataFrame:
+        """Queries (qid, vec, grp, block) beside the vectors of their block, at most so many queries at a time."""
+        parts = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+        parts = materialise(parts, "vector-visits")
+        q = asked.join(small(parts, 16), "block").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int"))
+        v = index.rows.select("id", "vec", "grp", "block").join(small(parts, 16), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        q, v = q.toDF(*q.columns), v.toDF(*v.columns)
+        return q.groupBy("block", "part").cogroup(v.groupBy("block", "part")).applyInPandas(best, "qid long, id long, grp long, cos double")
+
+    q = queries.select(F.col("id").alias("qid"), "vec", "grp")
+
+    def home(frame: pd.DataFrame) -> np.ndarray:
+        return space.queries(matrix(frame["vec"], space.width)).min(axis=1)
+
     r = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "id")).cast("long")
-    return near.withColumn("rank", r).where(F.col("rank") <= k)
+    if index.single:
+        return compared(q.withColumn("block", F.lit(0).cast("long"))).withColumn("rank", r).where(F.col("rank") <= k)
+    near = index.visits(q, home).join(q.select("qid"), "qid")
+    near = near.groupBy("qid").agg(F.min("block").alias("block"))
+    first = materialise(compared(q.join(near, "qid")), "vector-first")
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "id")))
+    least = ranked.where(F.col("r") == k).select("qid", F.col("cos").alias("least"))
+    floor = F.lit(0.0 if positive else float("-inf"))
+    bounded = materialise(q.join(least, "qid", "left").withColumn("least", F.greatest(F.coalesce("least", floor), floor)), "vector-bounds")
+
+    def reach(frame: pd.DataFrame) -> np.ndarray:
+        own = (matrix(frame["vec"], space.width) ** 2).sum(axis=1)
+        return np.sqrt(np.maximum(0, own + top - 2 * (frame["least"].to_numpy() - _ROUNDING)))
+
+    rest = index.visits(bounded, reach).join(near, ["qid", "block"], "left_anti")
+    found = first.unionByName(compared(q.join(rest, "qid")))
+    return found.withColumn("rank", r).where(F.col("rank") <= k)
 
 
 def centroids(vectors: DataFrame) -> DataFrame:

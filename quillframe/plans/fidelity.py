@@ -41,7 +41,7 @@ ORACLES: dict[str, str] = {}
 
 def _rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The SELECT over the tables, which are handed in under other names than the session's."""
-    return spark.sql(sql.replace("FROM documents", "FROM {documents}").replace("FROM benchmark", "FROM {benchmark}").replace("JOIN benchmark", "JOIN {benchmark}"),
+    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}").replace("FROM benchmark", "FROM {benchmark}").replace("JOIN benchmark", "JOIN {benchmark}"),
                      documents=table(spark, sf_dir, "documents"), benchmark=table(spark, sf_dir, "benchmark"))
 
 
