@@ -50,6 +50,13 @@ def kept_in_worker(key: str, make: Callable[[], Any]) -> Any:
     return _kept["value"]
 
 
+def forget_kept() -> None:
+    """For tasks that keep nothing: drops what an earlier operator's tasks left in this worker."""
+    if _kept:
+        _kept.clear()
+        give_back()
+
+
 def give_back() -> None:
     """Returns memory that Python and Arrow no longer use to the system; workers stay idle beside JVM stages."""
     pa.default_memory_pool().release_unused()

@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import TEXT_ROWS, arrow_batches, give_back, materialise, small_side
+from quillframe.llm.common import TEXT_ROWS, arrow_batches, forget_kept, give_back, materialise, small_side
 
 ORDER = 5
 MIN_WORDS = 50
@@ -198,6 +198,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """lang, g, n: the n-grams of ``order`` characters of all documents (lang, text) to learn from."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_kept()
         packer, held = Packer(order), {}
         waiting: dict[str, list[str | None]] = defaultdict(list)
         sizes: dict[str, int] = defaultdict(int)
