@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from quillframe.operators import fulltext
 
-#: Roles that may stand in the event log.
-ROLES = ("author", "grade", "revise", "classify", "select")
+# Roles that may stand in the event log, types that count as papers, what typesetting prints for a venue, and DOIs that are templates.
+ROLES = (
+    "reconcile", "extract", "target_claims", "crosslinks", "author", "grade", "grade_persist", "tournament", "critic", "debug", "short_name",
+    "keywords", "commit", "memory_evolve", "pdf_upgrade", "claim_support",
+)
+PAPER_TYPES = ("paper", "commentary")
 PAGE_TYPE_FOLDERS = ("concept", "synthesis", "digest")
-FURNITURE = ("journal homepage", "available online", "contents lists", "volume", "www.")
+FURNITURE = ("journal of latex class files", "latex class files", "manuscript submitted to", "submitted to", "to appear in", "preprint", "unpublished", "in preparation")
+PLACEHOLDER_DOI = r"(?i)^10\.[0-9]{4,9}/(?:[nx]{4,}(?:[._-][nx]{4,})*|0+(?:[._-]0+)*|(?:doi|todo|tbd|xxx|placeholder))$"
 
 
-def paper_like(kind: Column, folder: Column, is_root: Column, kinds: tuple[str, ...] = ("paper", "review", "dataset")) -> Column:
-    """A page of one of these types (none is a paper), outside the folders of page types, and not a root page."""
-    return F.coalesce(kind, F.lit("paper")).isin(*kinds) & ~F.coalesce(folder, F.lit("")).isin(*PAGE_TYPE_FOLDERS) & ~is_root
+def paper_like(kind: Column, folder: Column, is_root: Column, kinds: tuple[str, ...] = PAPER_TYPES) -> Column:
+    """A page of one of these types (none or an empty one is a paper, quotes around it don't count), outside the folders of page types, and not
+    a root page."""
+    bare = F.regexp_replace(F.trim(F.coalesce(F.nullif(kind, F.lit("")), F.lit("paper"))), "^[\"']+|[\"']+$", "")
+    return bare.isin(*kinds) & ~F.coalesce(folder, F.lit("")).isin(*PAGE_TYPE_FOLDERS) & ~is_root
 
 
 def invalid_categories(pages: DataFrame, folders: DataFrame) -> DataFrame:
@@ -26,12 +33,17 @@ def invalid_categories(pages: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def venue_suspect(venue: Column) -> Column:
-    """What a page's header says instead of a venue: furniture, an address, or nothing but digits."""
+    """What typesetting prints where a venue should stand."""
     v = F.lower(F.trim(venue))
     hit = F.lit(False)
     for f in FURNITURE:
         hit = hit | v.contains(f)
-    return F.coalesce(hit | v.rlike(r"^[0-9 ().,-]+$"), F.lit(False))
+    return F.coalesce(hit, F.lit(False))
+
+
+def placeholder_doi(doi: Column) -> Column:
+    """A DOI whose suffix is a template's: runs of n or x, zeros, or a word for nothing."""
+    return F.coalesce(F.trim(doi).rlike(PLACEHOLDER_DOI), F.lit(False))
 
 
 def resolve_anchors(asked: DataFrame, claims: DataFrame) -> DataFrame:
@@ -40,23 +52,22 @@ def resolve_anchors(asked: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def claim_lookup(claims: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank): claims (id, text, semantic, bm25) by full text, then semantic score, then own BM25, then id."""
+    """(qid, id, score, rank): claims (id, text, semantic, bm25, is_cross_ref) by full text, then semantic score, then own BM25 (both 0 if null), then
+    id; cross references aren't looked up, but count in the statistics."""
     terms = fulltext.query_terms(queries, "qid", "text")
     scores = fulltext.bm25(claims, terms, "id", F.col("text"))
-    joined = scores.join(claims.select("id", "semantic", "bm25"), "id")
-    order = [F.desc("score"), F.col("semantic").desc_nulls_last(), F.col("bm25").desc_nulls_last(), F.col("id")]
+    joined = scores.join(claims.where("not is_cross_ref").select("id", F.coalesce("semantic", F.lit(0.0)).alias("semantic"), F.coalesce("bm25", F.lit(0.0)).alias("bm25")), "id")
+    order = [F.desc("score"), F.desc("semantic"), F.desc("bm25"), F.col("id")]
     return joined.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)).cast("long")).where(F.col("rank") <= k).select("qid", "id", "score", "rank")
 
 
 def resolve_mode(asked: str, has_vectors: bool, has_text_index: bool) -> str:
-    """auto takes both indexes, else the one that is there; an index asked for by name must be there."""
+    """The mode that the indexes at hand allow: both make hybrid, else vectors; full text is what is left."""
     if asked not in ("auto", "hybrid", "semantic", "bm25"):
         raise ValueError(f"unknown mode {asked}")
-    if asked == "auto":
-        asked = "hybrid" if has_vectors and has_text_index else "semantic" if has_vectors else "bm25"
-    if (asked in ("hybrid", "semantic") and not has_vectors) or (asked in ("hybrid", "bm25") and not has_text_index):
-        raise ValueError(f"no index for mode {asked}")
-    return asked
+    if asked == "bm25" or not has_vectors:
+        return "bm25"
+    return "semantic" if asked == "semantic" or not has_text_index else "hybrid"
 
 
 def missed_anchors(anchors: DataFrame, importance: list[str], k: int = 5) -> DataFrame:
@@ -133,13 +144,18 @@ def attempt_trace(log: DataFrame, attempt: str, order: list[str]) -> DataFrame:
 
 
 def draft_grade(claims: DataFrame, by: list[str]) -> DataFrame:
-    """Mean and upper median of the scores, the weakest claim, and how many verdicts of each kind."""
-    scores = F.array_sort(F.collect_list("score"))
+    """Mean and upper median of the scores, the weakest claim, and how many verdicts of each kind.
+
+    The median comes from counts by score, so no group is gathered."""
     out = claims.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), scores.alias("_s"), F.min(F.struct("score", "id")).alias("_w"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.min(F.struct("score", "id")).alias("_w"),
         F.count_if(F.col("verdict") == "match").alias("match"), F.count_if(F.col("verdict") == "miss").alias("miss"),
     )
-    return out.select(*by, "n", "mean", F.element_at("_s", (F.floor(F.size("_s") / 2) + 1).cast("int")).alias("upper_median"), F.col("_w.id").alias("weakest"), "match", "miss")
+    per = claims.where("score is not null").groupBy(*by, "score").agg(F.count(F.lit(1)).alias("_k"))
+    own = Window.partitionBy(*by)
+    per = per.withColumns({"_upto": F.sum("_k").over(own.orderBy("score")), "_of": F.sum("_k").over(own)}).where(F.col("_upto") > F.floor(F.col("_of") / 2))
+    middle = per.groupBy(*by).agg(F.min("score").alias("upper_median"))
+    return out.join(middle, by, "left").select(*by, "n", "mean", "upper_median", F.col("_w.id").alias("weakest"), "match", "miss")
 
 
 def count_map(rows: DataFrame, by: list[str], of: str) -> DataFrame:
@@ -156,11 +172,6 @@ def expanded_number(token: Column) -> Column:
     return F.round(F.nullif(base, F.lit("")).try_cast("double") * factor, 6)
 
 
-def without_dates_and_citations(text: Column) -> Column:
-    """Dates, years in brackets and bracketed citation numbers become blanks, so that their digits aren't claims."""
-    return F.regexp_replace(text, r"[0-9]{4}-[0-9]{2}-[0-9]{2}|\([^()]*(?:19|20)[0-9]{2}[a-z]?\)|\[[0-9]+(?:[,–-][0-9]+)*\]", " ")
-
-
 def comparator_check(text: Column, ratio: Column, expected: Column, others: Column, reach: int = 100) -> Column:
     """match if the expected comparator is the nearest to the ratio among all known within ``reach`` characters, partial if the
     ratio is there without it or another is nearer, else miss."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.functions import text as T
-from quillframe.functions import values
+from quillframe.functions import quantities, values
 from quillframe.operators import claims, concepts, curation, edges, fulltext, grading, joins, lint, lookup, ranking, records, snapshots, vectors
 from quillframe.sources.tables import TABLES, table
 
@@ -45,12 +45,12 @@ ROWS = {
     "recommended": "SELECT p_brand AS category, l_suppkey AS src, 'd' || (l_partkey % 200) AS doi FROM lineitem JOIN part ON l_partkey = p_partkey",
     "ruled": "SELECT doc_id AS key, CASE WHEN doc_id % 5 = 0 THEN 'review' ELSE 'paper' END AS type, CASE WHEN doc_id % 7 = 0 THEN 'concept' ELSE 'paper' END AS folder, lang AS category, CASE doc_id % 4 WHEN 0 THEN 'todo' WHEN 1 THEN NULL ELSE '10.1/' || doc_id END AS doi, CASE WHEN doc_id % 8 = 0 THEN 'thesis' END AS no_doi_reason, CAST(2000 + doc_id % 20 AS INT) AS year, 'smith-' || (2000 + doc_id % 19) || 'b-x' AS stem, split(substr(text, 1, 40), ' ') AS keywords, substr(text, 1, CAST(n_chars % 400 AS INT)) AS hook, source AS venue, '- (none)' || chr(10) || CASE WHEN doc_id % 6 = 0 THEN '- one' ELSE '' END AS body FROM documents",
     "voted": "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE lang END AS model, CAST(doc_id % 100 AS DOUBLE) / 100 AS confidence, lang <> 'fr' AS valid, CASE doc_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN lang END AS near, doc_id % 2 = 0 AS strong FROM documents",
-    "tiered": "SELECT lang, doc_id AS position, CASE doc_id % 4 WHEN 0 THEN 'key' WHEN 1 THEN 'side' WHEN 2 THEN 'other' ELSE 'unknown' END AS tier, substr(text, 1, 12) AS text FROM documents",
+    "tiered": "SELECT lang, doc_id AS position, CASE doc_id % 4 WHEN 0 THEN 'key' WHEN 1 THEN 'side' WHEN 2 THEN 'other' ELSE 'unknown' END AS tier, text FROM documents",
     "doi_page": "SELECT c_custkey AS key, CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE ' 10.1/X' || (c_custkey % 300) END AS doi FROM customer",
     "doi_ref": "SELECT o_custkey AS src, '10.1/x' || (o_orderkey % 400) AS doi FROM orders",
     "titled": "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'A survey of ' WHEN 1 THEN 'Protocol for ' WHEN 2 THEN 'An atlas of ' WHEN 3 THEN 'A new tool, ' ELSE '' END || substr(text, 1, 30) AS title, CASE doc_id % 11 WHEN 0 THEN 'Annual Review of X' ELSE source END AS venue, CASE doc_id % 5 WHEN 0 THEN 'This article has been retracted. ' WHEN 1 THEN 'This is a preprint. ' WHEN 2 THEN 'Accepted Manuscript ' WHEN 3 THEN 'A randomised study. ' ELSE '' END || text AS text, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE '10.1/' || doc_id END AS doi FROM documents",
     "draft": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(doc_id % 100 AS DOUBLE) / 100 END AS fidelity, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(n_chars % 100 AS DOUBLE) / 100 END AS salience, CAST(doc_id % 14 AS INT) AS anchors, CAST(doc_id % 3 AS INT) AS drift FROM documents",
-    "claim": "SELECT doc_id AS id, 'p' || (doc_id % 60) AS stem, 'q' || (doc_id % 500) AS slug, doc_id AS position, text, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(doc_id % 90 AS DOUBLE) / 100 END AS semantic, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(n_chars % 20 AS DOUBLE) END AS bm25, CAST(doc_id % 2 AS INT) AS unmatched, doc_id % 13 = 0 AS negated FROM documents",
+    "claim": "SELECT doc_id AS id, 'p' || (doc_id % 60) AS stem, 'q' || (doc_id % 500) AS slug, doc_id AS position, text, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(doc_id % 90 AS DOUBLE) / 100 END AS semantic, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(n_chars % 20 AS DOUBLE) END AS bm25, CAST(doc_id % 2 AS INT) AS unmatched, doc_id % 13 = 0 AS negated, doc_id % 6 = 0 AS is_cross_ref FROM documents",
     "ranked_term": "SELECT p_name AS key, p_brand AS term, p_size % 3 AS source_rank, p_size AS pages, p_partkey % 5 AS categories FROM part",
     "hashed": "SELECT doc_id, n_chars AS h, lang FROM documents",
     "cached": "SELECT doc_id, n_chars + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS h, 1 AS vec FROM documents WHERE doc_id % 7 <> 0",
@@ -61,7 +61,7 @@ ROWS = {
     "input": "SELECT c_custkey AS stem FROM customer",
     "keyword": "SELECT DISTINCT 'h' || (l_suppkey % 20) AS hub, p_name AS keyword, l_orderkey AS member FROM lineitem JOIN part ON l_partkey = p_partkey",
     "old_event": "SELECT event_id, 'grade' AS role, props AS scores FROM events WHERE event_id % 2 = 0",
-    "new_event": "SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'author' WHEN 3 THEN 'revise' ELSE event_type END AS role, CASE WHEN event_id % 3 = 0 THEN '{ }' ELSE props END AS scores FROM events WHERE event_id % 2 = 1",
+    "new_event": "SELECT event_id, CASE event_id % 7 WHEN 1 THEN 'author' WHEN 3 THEN 'revise' WHEN 4 THEN 'critic' WHEN 5 THEN 'claim_support' WHEN 6 THEN 'reconcile' ELSE event_type END AS role, CASE WHEN event_id % 3 = 0 THEN '{ }' ELSE props END AS scores FROM events WHERE event_id % 2 = 1",
     "db_page": "SELECT doc_id AS stem, 'paper' AS kind FROM documents WHERE doc_id % 5 <> 1",
     "db_claim": "SELECT doc_id AS stem, 1 AS position FROM documents WHERE doc_id % 5 <> 2",
     "disk_page": "SELECT doc_id AS stem, CASE WHEN doc_id % 4 = 0 THEN 'concept' ELSE 'paper' END AS kind FROM documents WHERE doc_id % 3 <> 0",
@@ -71,7 +71,7 @@ ROWS = {
     "missed": "SELECT item_id AS id, 'axis' || (item_id % 3) AS axis, CASE item_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'important' ELSE 'nice' END AS importance, CASE WHEN item_id % 2 = 0 THEN 'miss' ELSE 'match' END AS verdict FROM benchmark",
     "step": "SELECT conv_id, turn, role, length(text) AS chars FROM conversations",
     "number": "SELECT DISTINCT CASE p_size % 6 WHEN 0 THEN p_size || 'K' WHEN 1 THEN p_size || '.5 m' WHEN 2 THEN '1,' || (100 + p_size) WHEN 3 THEN p_size || 'G' WHEN 4 THEN 'x' || p_size ELSE '' || p_size END AS token FROM part",
-    "dated": "SELECT item_id, 'On 2024-01-' || (10 + item_id % 20) || ' (Smith, 2019b) 12 of 30 [3,4] ' || substr(text, 1, 30) AS text FROM benchmark",
+    "dated": "SELECT item_id, 'On 2024-01-' || (10 + item_id % 20) || ' and 2023-11 (Smith, 2019b) [[en/lee-' || (2000 + item_id % 20) || '#kc-01|x]] 12 of 30 [^kim-2020] [3,4] ' || text || ' ' || item_id AS text FROM benchmark",
     "compared": "SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'It is 3.5 times faster than Alpha, and Beta is slow.' WHEN 1 THEN 'Alpha was slow; Beta is 3.5 times faster.' WHEN 2 THEN 'Nothing of the kind.' ELSE '3.5 times, they say.' END AS text FROM benchmark",
     "checked": "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'doi' ELSE '10.1234/' || doc_id END AS given, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '10.1234/other' ELSE '10.1234/' || doc_id END AS resolved, CAST(2000 + doc_id % 4 AS INT) AS year, 2001 AS resolved_year, CAST(doc_id % 10 AS DOUBLE) / 10 AS overlap FROM documents",
     "digest": "SELECT o_orderkey AS id, '10.1/' || (o_orderkey % 300) AS doi, 's' || (o_custkey % 200) AS stem FROM orders",
@@ -79,7 +79,7 @@ ROWS = {
     "digest_stem": "SELECT DISTINCT 's' || (c_custkey % 190) AS stem FROM customer WHERE c_custkey % 3 = 0",
     "fenced": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'see ```json ' || chr(10) || '{\"a\": ' || turn || '} ``` end' WHEN 1 THEN 'x {\"b\": {\"c\": 1}} y' ELSE 'none' END AS text FROM conversations",
     "timed": "SELECT event_id, event_id * 977 AS seconds, CAST(event_id % 200 AS INT) AS corpus, CAST(event_id % 5 AS INT) AS code, CAST(CASE WHEN event_id % 6 = 0 THEN NULL ELSE 2010 + event_id % 15 END AS INT) AS year, CASE event_id % 4 WHEN 0 THEN ' Conflict' WHEN 1 THEN 'refines' WHEN 2 THEN 'DUPLICATE' ELSE 'so' END AS verdict FROM events",
-    "paged": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'paper' WHEN 2 THEN 'review' ELSE 'note' END AS kind, CASE doc_id % 5 WHEN 0 THEN 'concept' ELSE lang END AS folder, doc_id % 17 = 0 AS is_root, CASE doc_id % 6 WHEN 0 THEN 'other' WHEN 1 THEN NULL WHEN 2 THEN 'xx' ELSE lang END AS category, CASE doc_id % 4 WHEN 0 THEN 'Available online 3 May' WHEN 1 THEN '12 (3), 45' ELSE source END AS venue FROM documents",
+    "paged": "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'paper' WHEN 2 THEN 'review' WHEN 3 THEN 'commentary' WHEN 4 THEN ' ' || chr(34) || 'paper' || chr(34) || ' ' WHEN 5 THEN '' ELSE 'note' END AS kind, CASE doc_id % 5 WHEN 0 THEN 'concept' ELSE lang END AS folder, doc_id % 17 = 0 AS is_root, CASE doc_id % 6 WHEN 0 THEN 'other' WHEN 1 THEN NULL WHEN 2 THEN 'xx' ELSE lang END AS category, CASE doc_id % 9 WHEN 0 THEN 'Journal of LaTeX Class Files, vol. 1' WHEN 1 THEN ' Manuscript submitted to X' WHEN 2 THEN 'To appear in ' || source WHEN 3 THEN 'bioRxiv preprint' WHEN 4 THEN 'UNPUBLISHED' WHEN 5 THEN 'in preparation' WHEN 6 THEN NULL WHEN 7 THEN '12 (3), 45' ELSE source END AS venue, CASE doc_id % 6 WHEN 0 THEN '10.1145/nnnnnnn.nnnnnnn' WHEN 1 THEN '10.1000/000.00' WHEN 2 THEN '10.1000/TODO' WHEN 3 THEN '10.1000/xxx1' WHEN 4 THEN NULL ELSE '10.1000/' || doc_id END AS doi FROM documents",
     "folder": "SELECT DISTINCT lang AS folder FROM documents UNION ALL SELECT 'concept'",
     "titled_doc": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ' A title ' WHEN 2 THEN ' ' ELSE substr(text, 1, CAST(n_chars % 500 AS INT)) END AS text, 'A title' AS title FROM documents",
     "changed": "SELECT o_orderkey AS key, o_orderdate AS mtime FROM orders",
@@ -181,12 +181,14 @@ query("sanitized_queries", "dated", r"""SELECT item_id, substr(trim(regexp_repla
 query("claim_refs", "anchor", "SELECT stem, slug, CASE WHEN slug IS NULL THEN '[[' || stem || ']]' ELSE '[[' || stem || '#' || slug || ']]' END AS ref FROM anchor")(
     lambda a: a.select("stem", "slug", values.claim_ref(F.col("stem"), F.col("slug")).alias("ref")))
 # ---- claims, anchors and the event log
-query("paper_like", "paged", "SELECT doc_id FROM paged WHERE coalesce(kind, 'paper') IN ('paper', 'review', 'dataset') AND folder NOT IN ('concept', 'synthesis', 'digest') AND NOT is_root")(
+query("paper_like", "paged", "SELECT doc_id FROM paged WHERE trim(trim(coalesce(nullif(kind, ''), 'paper')), chr(34)) IN ('paper', 'commentary') AND folder NOT IN ('concept', 'synthesis', 'digest') AND NOT is_root")(
     lambda p: p.where(claims.paper_like(F.col("kind"), F.col("folder"), F.col("is_root"))).select("doc_id"))
 query("invalid_categories", "paged folder", "SELECT doc_id, category FROM paged WHERE folder <> 'concept' AND coalesce(category, '') <> 'other' AND NOT EXISTS (SELECT 1 FROM folder f WHERE f.folder = category AND f.folder <> 'concept')")(
     lambda p, f: claims.invalid_categories(p, f).select("doc_id", "category"))
-query("venue_suspects", "paged", "SELECT doc_id, venue FROM paged WHERE contains(lower(venue), 'available online') OR regexp_matches(venue, '^[0-9 ().,-]+$')")(
+query("venue_suspects", "paged", "SELECT doc_id, venue FROM paged WHERE regexp_matches(lower(venue), 'latex class files|submitted to|to appear in|preprint|unpublished|in preparation')")(
     lambda p: p.where(claims.venue_suspect(F.col("venue"))).select("doc_id", "venue"))
+query("placeholder_dois", "paged", r"SELECT doc_id, doi FROM paged WHERE regexp_matches(lower(doi), '^10\.[0-9]{4,9}/([nx]{4,}([._-][nx]{4,})*|0+([._-]0+)*|doi|todo|tbd|xxx|placeholder)$')")(
+    lambda p: p.where(claims.placeholder_doi(F.col("doi"))).select("doc_id", "doi"))
 query("claim_anchors", "anchor claim", "SELECT stem, slug, md5(text) AS hash FROM anchor LEFT JOIN claim USING (stem, slug)")(
     lambda a, c: claims.resolve_anchors(a, c).select("stem", "slug", F.md5(F.col("claim").cast("binary")).alias("hash")))
 query("dangling_anchors", "anchor claim", "SELECT stem, count(*) AS dangling FROM anchor ANTI JOIN claim USING (stem, slug) GROUP BY 1")(
@@ -197,8 +199,8 @@ query("recent_pages", "changed", "SELECT key, mtime FROM changed ORDER BY mtime
 query("pending_inputs", "input run", "SELECT stem FROM input WHERE stem NOT IN (SELECT stem FROM run WHERE exit IN (0, 1, 3))")(lambda i, r: claims.pending(i, r, "stem"))
 query("common_keywords", "keyword", "SELECT *, row_number() OVER (PARTITION BY hub ORDER BY members DESC, keyword) AS place FROM (SELECT hub, keyword, count(DISTINCT member) AS members FROM keyword GROUP BY 1, 2 HAVING members >= 2)")(lambda k: claims.common_keywords(k, "hub"))
 query("set_means", "draft", "SELECT drift, round(avg(fidelity), 6) AS mean_fidelity, round(avg(salience), 6) AS mean_salience, count(*) AS n FROM draft GROUP BY 1")(lambda d: claims.means(d, ["drift"], ["fidelity", "salience"]))
-query("event_append", "old_event new_event", """SELECT role, count(*) AS n, count(scores) AS scored FROM (SELECT * FROM old_event UNION ALL SELECT event_id, role, CASE WHEN regexp_replace(scores, '\\s', '', 'g') <> '{}' THEN scores END FROM new_event WHERE role IN ('author', 'grade', 'revise', 'classify', 'select')) GROUP BY 1
-    UNION ALL SELECT 'refused', count(*), 0 FROM new_event WHERE role NOT IN ('author', 'grade', 'revise', 'classify', 'select')""".replace("\\\\", "\\"))(
+query("event_append", "old_event new_event", """SELECT role, count(*) AS n, count(scores) AS scored FROM (SELECT * FROM old_event UNION ALL SELECT event_id, role, CASE WHEN regexp_replace(scores, '\\s', '', 'g') <> '{}' THEN scores END FROM new_event WHERE role IN ('reconcile', 'extract', 'target_claims', 'crosslinks', 'author', 'grade', 'grade_persist', 'tournament', 'critic', 'debug', 'short_name', 'keywords', 'commit', 'memory_evolve', 'pdf_upgrade', 'claim_support')) GROUP BY 1
+    UNION ALL SELECT 'refused', count(*), 0 FROM new_event WHERE role NOT IN ('reconcile', 'extract', 'target_claims', 'crosslinks', 'author', 'grade', 'grade_persist', 'tournament', 'critic', 'debug', 'short_name', 'keywords', 'commit', 'memory_evolve', 'pdf_upgrade', 'claim_support')""".replace("\\\\", "\\"))(
     lambda o, n: (lambda told: told[0].groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count("scores").alias("scored")).unionAll(told[1].agg(F.lit("refused"), F.count(F.lit(1)), F.lit(0))))(claims.append_events(o, n)))
 query("rebuild", "db_page db_claim disk_page disk_claim", """SELECT 'page' AS what, count(*) AS n FROM disk_page UNION ALL SELECT 'claim', count(*) FROM disk_claim WHERE stem IN (SELECT stem FROM disk_page WHERE kind = 'paper')
     UNION ALL SELECT 'deleted', count(*) FROM (SELECT stem FROM db_page UNION SELECT stem FROM db_claim) WHERE stem NOT IN (SELECT stem FROM disk_page)""")(
@@ -214,8 +216,8 @@ query("draft_grade", "told", "SELECT lang, n, round(s / n, 6) AS mean FROM (SELE
 query("count_maps", "step", "SELECT conv_id, string_agg(role || '=' || n, ',' ORDER BY role || '=' || n) AS counts FROM (SELECT conv_id, role, count(*) AS n FROM step GROUP BY 1, 2) GROUP BY 1")(lambda s: claims.count_map(s, ["conv_id"], "role"))
 query("expanded_numbers", "number", r"""SELECT token, round(TRY_CAST(nullif(regexp_extract(t, '^([0-9]+(?:\.[0-9]+)?)[ ]?([KkMmBbGg]?)$', 1), '') AS DOUBLE) * CASE upper(regexp_extract(t, '^([0-9]+(?:\.[0-9]+)?)[ ]?([KkMmBbGg]?)$', 2)) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 WHEN 'G' THEN 1e9 ELSE 1.0 END, 6) AS value FROM (SELECT token, replace(trim(token), ',', '') AS t FROM number)""")(
     lambda n: n.select("token", claims.expanded_number(F.col("token")).alias("value")))
-query("numbers_without_dates", "dated", r"""SELECT item_id, regexp_replace(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}|\([^()]*(?:19|20)[0-9]{2}[a-z]?\)|\[[0-9]+(?:[,–-][0-9]+)*\]', ' ', 'g') AS text FROM dated""")(
-    lambda t: t.select("item_id", claims.without_dates_and_citations(F.col("text")).alias("text")))
+query("numbers_without_dates", "dated", r"""SELECT item_id, regexp_replace(regexp_replace(regexp_replace(text, '\[\[[^\]]+\]\]', ' ', 'g'), '\[\^[^\]\s]+\]', ' ', 'g'), '\b[0-9]{4}-[0-9]{2}(-[0-9]{2})?\b', ' ', 'g') AS text FROM dated""")(
+    lambda t: t.select("item_id", quantities.without_citations(F.col("text")).alias("text")))
 query("comparators", "compared", "SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'partial' WHEN 2 THEN 'miss' ELSE 'partial' END AS verdict FROM compared")(
     lambda t: t.select("item_id", claims.comparator_check(F.col("text"), F.lit("3.5 times"), F.lit("Alpha"), F.array(F.lit("Alpha"), F.lit("Beta"))).alias("verdict")))
 query("glosses", "glossed", "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text ELSE substr(text, 1, 25) END AS claim, CASE WHEN item_id % 3 <> 0 THEN nullif(substr(text, 30), '') END AS gloss FROM glossed")(
@@ -239,16 +241,16 @@ def _bm25_sql(docs: str, terms: str) -> str:
 
 
 def bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's source, language and first words as a query on all fields, from stored postings."""
+    """A document's source, language and whole text as a query on all fields, from stored postings."""
     d = table(spark, sf_dir, "documents")
     index = fulltext.materialise(fulltext.postings(d, "doc_id", {f: F.col(f) for f in ("text", "source", "lang")}), "postings")
-    seeds = d.where("doc_id % 50 = 0").select("doc_id", F.concat_ws(" ", "source", "lang", F.substring("text", 1, 60)).alias("q"))
+    seeds = d.where("doc_id % 50 = 0").select("doc_id", F.concat_ws(" ", "source", "lang", "text").alias("q"))
     scores = fulltext.bm25_fields(index, fulltext.query_terms(seeds, "doc_id", "q"), "doc_id", {"text": 1.0, "source": 2.0, "lang": 0.5})
     return fulltext.top(scores, ["qid"], "doc_id", 10)
 
 
 def claim_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 80).alias("text"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text"))
     return claims.claim_lookup(rows(spark, sf_dir, "claim"), asked, 5)
 
 
@@ -264,11 +266,11 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {f"q_{f.__name__}": f for f in (bm25_fields, claim_lookup, contradictions)}
 _DOC_FIELDS = " UNION ALL ".join(f"SELECT doc_id AS key, '{f}' AS field, {b}::DOUBLE AS boost, {TOKENS.format(f)} AS ts FROM documents" for f, b in (("text", 1.0), ("source", 2.0), ("lang", 0.5)))
-_SEEDS = f"SELECT doc_id AS qid, unnest(list_distinct({TOKENS.format(chr(39) + chr(39) + ' || source || chr(32) || lang || chr(32) || substr(text, 1, 60)')})) AS term FROM documents WHERE doc_id % 50 = 0"
+_SEEDS = f"SELECT doc_id AS qid, unnest(list_distinct({TOKENS.format(chr(39) + chr(39) + ' || source || chr(32) || lang || chr(32) || coalesce(text, chr(32))')})) AS term FROM documents WHERE doc_id % 50 = 0"
 ORACLES |= {
     "q_bm25_fields": f"WITH {_bm25_sql(_DOC_FIELDS, _SEEDS)} SELECT qid, doc_id, score, rank FROM (SELECT qid, key AS doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM scored) WHERE rank <= 10",
-    "q_claim_lookup": f"""WITH claim AS ({ROWS['claim']}), {_bm25_sql("SELECT id AS key, 'text' AS field, 1::DOUBLE AS boost, " + TOKENS.format('text') + " AS ts FROM claim", "SELECT item_id AS qid, unnest(list_distinct(" + TOKENS.format('substr(text, 1, 80)') + ")) AS term FROM benchmark")}
-        SELECT qid, id, score, rank FROM (SELECT qid, key AS id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, semantic DESC NULLS LAST, bm25 DESC NULLS LAST, key) AS rank FROM scored JOIN claim ON id = key) WHERE rank <= 5""",
+    "q_claim_lookup": f"""WITH claim AS ({ROWS['claim']}), {_bm25_sql("SELECT id AS key, 'text' AS field, 1::DOUBLE AS boost, " + TOKENS.format('text') + " AS ts FROM claim", "SELECT item_id AS qid, unnest(list_distinct(" + TOKENS.format('text') + ")) AS term FROM benchmark")}
+        SELECT qid, id, score, rank FROM (SELECT qid, key AS id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, coalesce(semantic, 0) DESC, coalesce(bm25, 0) DESC, key) AS rank FROM scored JOIN claim ON id = key WHERE NOT is_cross_ref) WHERE rank <= 5""",
     "q_contradictions": """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label AS grp FROM embeddings), p AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id < b.id AND a.grp <> b.grp WHERE round(list_inner_product(a.e, b.e), 6) >= 0.30 AND (a.id + b.id) % 3 = 0)
         SELECT CASE WHEN (a + b) % 2 = 0 THEN 'skipped' ELSE 'inserted' END AS action, count(*) AS n FROM p GROUP BY 1""",
 }
