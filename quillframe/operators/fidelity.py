@@ -20,6 +20,12 @@ BM25_FLOOR, COSINE_FLOOR, EVIDENCE, HITS, CITED_HITS = 1.0, 0.35, 3, 5, 10
 PREVIEW = 500
 
 
+def _mean(score: Column) -> Column:
+    """The mean in millionths, rounded down: the same whatever the order of the sum."""
+    micro = F.round(score * 1_000_000).cast("long")
+    return F.floor(F.sum(micro) / F.count(micro)) / F.lit(1e6)
+
+
 def local_hits(claims: DataFrame, sources: DataFrame, k: int) -> DataFrame:
     """(qid, stem, chunk_id, score, rank, chunk): each claim's best chunks of its source; claims are (qid, stem, text), sources (stem, text).
 
@@ -67,7 +73,7 @@ def page_fidelity(claims: DataFrame, sources: DataFrame, cosines: DataFrame | No
     asked = claims.where("not is_cross_ref").select(key.alias("qid"), "stem", "text")
     hits = local_hits(asked, sources, HITS)
     best = hits.groupBy("qid").agg(
-        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top1_score"), F.round(F.avg(F.when(F.col("rank") <= EVIDENCE, F.col("score"))), 6).alias("top3_mean"),
+        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top1_score"), _mean(F.when(F.col("rank") <= EVIDENCE, F.col("score"))).alias("top3_mean"),
         F.max(F.when(F.col("rank") == 1, F.col("chunk_id"))).alias("top1_chunk_id"), F.max(F.when(F.col("rank") == 1, F.substring("chunk", 1, PREVIEW))).alias("supporting_text"),
     )
     evidence = materialise(_evidence(hits, EVIDENCE), "fidelity-evidence")
@@ -104,7 +110,7 @@ def page_report(graded: DataFrame, order: Column | None = None) -> DataFrame:
     mine = graded.where("graded")
     sums = graded.groupBy("stem").agg(
         F.count(F.lit(1)).alias("n_claims"), F.count_if("graded").alias("n_graded"), F.count_if("is_cross_ref").alias("n_cross_refs"),
-        F.coalesce(F.round(F.avg(F.when(F.col("graded"), F.col("top1_score"))), 6), F.lit(0.0)).alias("mean_top1"),
+        F.coalesce(_mean(F.when(F.col("graded"), F.col("top1_score"))), F.lit(0.0)).alias("mean_top1"),
         F.min(F.when(F.col("graded"), F.struct(F.col("top1_score").alias("score"), place.alias("place"), "text"))).alias("_w"),
         F.count_if(F.col("graded") & (F.size("numeric_unmatched") > 0)).alias("n_with_numeric_drift"), F.count_if("negation_mismatch").alias("n_negation_mismatches"),
         F.round(F.avg(F.when(F.col("graded"), F.col("semantic_score"))), 6).alias("semantic_score"),

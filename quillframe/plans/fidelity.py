@@ -209,7 +209,7 @@ def _hits(claims: str, k: int) -> str:
 
 _PAGE = rf"""
         src AS ({_SOURCE}), cl AS (SELECT *, stem || '|' || section || '|' || position AS qid FROM ({_CLAIM})), asked AS (SELECT qid, stem, text FROM cl WHERE NOT is_cross_ref), {_hits('asked', 5)},
-        ev AS (SELECT qid, string_agg(chunk, ' ' ORDER BY rank) FILTER (rank <= 3) AS e, max(score) FILTER (rank = 1) AS top1, round(avg(score) FILTER (rank <= 3), 6) AS top3, max(c) FILTER (rank = 1) AS c, max(chunk) FILTER (rank = 1) AS best FROM hit GROUP BY qid),
+        ev AS (SELECT qid, string_agg(chunk, ' ' ORDER BY rank) FILTER (rank <= 3) AS e, max(score) FILTER (rank = 1) AS top1, floor(sum(round(score * 1000000)::BIGINT) FILTER (rank <= 3) / count(*) FILTER (rank <= 3)) / 1e6 AS top3, max(c) FILTER (rank = 1) AS c, max(chunk) FILTER (rank = 1) AS best FROM hit GROUP BY qid),
         kn AS (SELECT qid, {_all_forms('e')} AS f FROM ev), sf AS (SELECT stem, {_all_forms('text')} AS f FROM src),
         g AS (SELECT cl.*, NOT is_cross_ref AS graded, coalesce(ev.top1, 0) AS top1, coalesce(ev.top3, 0) AS top3, coalesce(ev.c, -1) AS c, substr(coalesce(best, ''), 1, 500) AS support,
           CASE WHEN ev.qid IS NULL THEN [] ELSE {_numbers(_joined('cl.text'))} END AS nums, kn.f AS near, sf.f AS whole, ev.qid IS NOT NULL AND regexp_matches(cl.text, '{_NEG}') AND NOT regexp_matches(e, '{_NEG}') AS neg
@@ -253,7 +253,7 @@ ORACLES |= {
         SELECT page, annotated, stripped FROM a JOIN s USING (page)""",
     "q_page_fidelity": f"WITH {_PAGE} SELECT stem, section, position, graded, top1 AS top1_score, top3 AS top3_mean, c AS chunk, md5(support) AS evidence, array_to_string(nums, '|') AS numbers, array_to_string(bad, '|') AS unmatched, neg AS negation_mismatch FROM gr",
     "q_page_fidelity_report": f"""WITH {_PAGE}, s AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY top1, section, position) AS r, count(*) OVER (PARTITION BY stem) AS n FROM gr WHERE graded)
-        SELECT gr.stem, count(*) AS n_claims, count(*) FILTER (gr.graded) AS n_graded, count(*) FILTER (gr.is_cross_ref) AS n_cross_refs, coalesce(round(avg(gr.top1) FILTER (gr.graded), 6), 0) AS mean_top1,
+        SELECT gr.stem, count(*) AS n_claims, count(*) FILTER (gr.graded) AS n_graded, count(*) FILTER (gr.is_cross_ref) AS n_cross_refs, coalesce(floor(sum(round(gr.top1 * 1000000)::BIGINT) FILTER (gr.graded) / count(*) FILTER (gr.graded)) / 1e6, 0) AS mean_top1,
           coalesce((SELECT top1 FROM s WHERE s.stem = gr.stem AND r = n // 2 + 1), 0) AS median_top1, md5((SELECT text FROM s WHERE s.stem = gr.stem AND r = 1)) AS weakest, (SELECT top1 FROM s WHERE s.stem = gr.stem AND r = 1) AS weakest_score,
           count(*) FILTER (gr.graded AND len(gr.bad) > 0) AS n_with_numeric_drift, count(*) FILTER (gr.neg) AS n_negation_mismatches FROM gr GROUP BY gr.stem""",
     "q_page_fidelity_persisted": f"""WITH {_PAGE} SELECT stem, section, position, 'kept' AS note, CASE WHEN graded THEN top1 END AS bm25_top1, CASE WHEN graded THEN top3 END AS bm25_top3_mean,
