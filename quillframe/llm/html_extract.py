@@ -9,12 +9,13 @@ each pair of neighbouring labels, is trained on labelled pages by gradient ascen
 ``labelled_pages`` makes labelled pages from a seed, of many layouts; others can be passed to ``train``.  Both the
 number of pages and the features are bounded, so the model is a few hundred kilobytes.
 
-Rules: scripts, styles, templates, titles, drawings, text for browsers without scripts and comments hold no text.  A script,
+Rules: scripts, styles, templates, titles, drawings, fields to type in, text for browsers without scripts and comments hold no text.  A script,
 style or comment that is never closed reaches to the end of the page; any other such element is passed over.  Character
 references are decoded, then white space in a block (all that Unicode calls so, U+00A0 too) becomes one space and is trimmed;
 empty blocks vanish; kept blocks are joined by one \\n in page order; nothing is capped.  Tags that are never closed end with what
-encloses them; a tag cut off at the end of the page is dropped.  Reading takes time in proportion to the page, however deep
-its elements lie in each other.  A null html is an empty page, and a page without main text has the text "".  Rows that repeat
+encloses them; a tag cut off at the end of the page is dropped.  Extraction takes time and memory in proportion to the page, however
+deep its elements lie in each other and however they are called: an element keeps only what it adds to those around it, and the sum
+of all their weights.  A null html is an empty page, and a page without main text has the text "".  Rows that repeat
 are extracted each; an empty table gives an empty result; other columns may have any name, but one named ``text`` goes.
 """
 
@@ -24,7 +25,7 @@ import html as html_lib
 import random
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -38,7 +39,7 @@ _TOKEN = re.compile(rf"(?P<text>[^<]++)|(?P<comment><!--)|<(?P<end>/?)(?P<tag>[a
 _HINTING = re.compile(r"""\b(?:class|id|role|hidden|style)\b\s*=?\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))?""", re.I)
 #: Elements without text of the page; the first ones reach to the end of the page if they are never closed.
 _TO_THE_END = frozenset(("script", "style"))
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in ("script", "style", "template", "title", "noscript", "svg")}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in ("script", "style", "template", "title", "noscript", "svg", "textarea")}
 _NO_HINTS = frozenset(("html", "body"))
 TOKENS = 1 << 12
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -52,7 +53,8 @@ _KNOWN_TAGS = frozenset("article aside blockquote body button dd div dl dt field
 _MAIN = frozenset(("article", "main"))
 _APART = frozenset("aside button footer form header label nav select".split())
 
-Block = tuple[str, list[str]]
+#: Attributes up to this length are remembered from tag to tag.
+REMEMBERED = 200
 
 
 @lru_cache(maxsize=4096)
@@ -72,24 +74,57 @@ def _hints(attributes: str) -> tuple[str, ...]:
 
 
 class _Open:
-    """An open element: its features and those of all around it."""
-
-    __slots__ = ("tag", "features", "key")
-    known: dict = {}
-
-    def __init__(self, tag: str, hints: tuple[str, ...], around: "_Open | None"):
-        self.tag = tag
-        tags, words, block = around.key if around else (frozenset(), frozenset(), "none")
-        if tag in _KNOWN_TAGS:
-            tags, block = tags | {tag}, tag
-        self.key = (tags, words.union(hints) if hints else words, block)
-        self.features = _Open.known.get(self.key)
-        if self.features is None:
-            if len(_Open.known) > 20_000:
-                _Open.known.clear()
-            main, apart = bool(tags & _MAIN), bool(tags & _APART)
-            self.features = (*sorted("t:" + t for t in tags), *sorted(self.key[1]), "p:" + block, f"main:{main}", f"apart:{apart}", f"main:{main} apart:{apart}")
-            _Open.known[self.key] = self.features
+    """An open element: the features that none around it has, and the sums of weights with and without its own place."""
+
+    __slots__ = ("tag", "added", "place", "main", "apart", "inherited", "total")
+
+    def __init__(self, tag: str, added: tuple[str, ...], around: "_Open | None", weights: dict[str, float]):
+        self.tag, self.added = tag, added
+        block, self.main, self.apart, self.inherited = (around.place[0][2:], around.main, around.apart, around.inherited) if around else ("none", False, False, 0.0)
+        block = tag if tag in _KNOWN_TAGS else block
+        self.main, self.apart = self.main or tag in _MAIN, self.apart or tag in _APART
+        self.place = (f"p:{block}", f"main:{self.main}", f"apart:{self.apart}", f"main:{self.main} apart:{self.apart}")
+        self.inherited += sum(weights.get(f, 0.0) for f in added)
+        self.total = self.inherited + sum(weights.get(f, 0.0) for f in self.place)
+
+
+class _Ancestors:
+    """The open elements; where the last of each kind stands is known, so no step walks through all of them."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights, self.outside = weights, _Open("", (), None, weights)
+        self.stack: list[_Open] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.scopes: list[int] = []
+        self.features: dict[str, None] = {}
+
+    @property
+    def last(self) -> _Open:
+        return self.stack[-1] if self.stack else self.outside
+
+    def place(self, tag: str) -> int:
+        """Of the innermost open one, or -1."""
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def open(self, tag: str, hints: tuple[str, ...]) -> None:
+        own = (f"t:{tag}", *hints) if tag in _KNOWN_TAGS else hints
+        added = tuple(f for f in own if f not in self.features)
+        self.features.update(dict.fromkeys(added))
+        self.places[tag].append(len(self.stack))
+        if tag in _SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append(_Open(tag, added, self.last, self.weights))
+
+    def close(self, upto: int) -> None:
+        """Closes all from this place on."""
+        while len(self.stack) > upto:
+            e = self.stack.pop()
+            self.places[e.tag].pop()
+            if e.tag in _SCOPES:
+                self.scopes.pop()
+            for f in e.added:
+                del self.features[f]
 
 
 def _text_features(text: str, linked: int) -> list[str]:
@@ -100,37 +135,35 @@ def _text_features(text: str, linked: int) -> list[str]:
     ]
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """(text, features) of each leaf block."""
+def _read(page: str | None, weights: dict[str, float] | None) -> Iterator[tuple[str, list[str], float]]:
+    """The text of each leaf block, its features, and the sum of their weights.
+
+    Without weights the sum is 0; with weights the features are left out, as a deep block may have as many as the page has
+    words in its attributes."""
     page = page or ""
-    blocks: list[Block] = []
-    outside = _Open("", (), None)
-    stack: list[_Open] = []
-    opened: Counter = Counter()
+    around = _Ancestors(weights or {})
     unclosed: set[str] = set()
     parts: list[str] = []
     linked = at = 0
 
-    def flush() -> None:
+    def told() -> Iterator[tuple[str, list[str], float]]:
         nonlocal linked
-        if parts:
-            text = " ".join(html_lib.unescape("".join(parts)).split())
-            if text:
-                blocks.append((text, [*_text_features(text, linked), *(stack[-1] if stack else outside).features]))
-            parts.clear()
+        text = " ".join(html_lib.unescape("".join(parts)).split()) if parts else ""
+        if text:
+            own = _text_features(text, linked)
+            if weights is None:
+                yield text, [*own, *around.features, *around.last.place], 0.0
+            else:
+                yield text, [], sum(weights.get(f, 0.0) for f in own) + around.last.total
+        parts.clear()
         linked = 0
 
-    def close(upto: int) -> None:
-        for e in stack[upto:]:
-            opened[e.tag] -= 1
-        del stack[upto:]
-
     while at < len(page):
         m = _TOKEN.match(page, at)
         at, kind = m.end(), m.lastgroup
         if kind == "text" or kind == "stray":
             parts.append(m[0])
-            if opened["a"]:
+            if around.place("a") >= 0:
                 linked += len(m[0].strip())
         elif kind == "comment":
             found = page.find("-->", at)
@@ -150,30 +183,27 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     unclosed.add(tag)  # looked for only once
                 continue
             if tag not in _INLINE:
-                flush()
+                yield from told()
             if m["end"]:
-                if opened[tag]:
-                    i = len(stack) - 1
-                    while stack[i].tag != tag:
-                        i -= 1
-                    if any(e.tag not in _INLINE for e in stack[i:]):
-                        flush()
-                    close(i)
+                place = around.place(tag)
+                if place >= 0:
+                    if tag in _INLINE and any(e.tag not in _INLINE for e in around.stack[place:]):
+                        yield from told()
+                    around.close(place)
             elif tag not in _VOID:
                 ends = _ENDS.get(tag, frozenset()) | ({"p"} if tag in _P_ENDING else frozenset())
-                if any(opened[t] for t in ends):
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i].tag in ends:
-                            close(i)
-                            break
-                        if stack[i].tag in _SCOPES:
-                            break
+                ended = max(map(around.place, ends), default=-1)
+                if ended >= 0 and (not around.scopes or ended >= around.scopes[-1]):
+                    around.close(ended)
                 if not own_end or tag not in _INLINE:
-                    hints = _hints(m["attributes"]) if m["attributes"] and tag not in _NO_HINTS else ()
-                    stack.append(_Open(tag, hints, stack[-1] if stack else outside))
-                    opened[tag] += 1
-    flush()
-    return blocks
+                    attributes = m["attributes"] if tag not in _NO_HINTS else ""
+                    around.open(tag, (_hints if len(attributes) <= REMEMBERED else _hints.__wrapped__)(attributes) if attributes else ())
+    yield from told()
+
+
+def leaf_blocks(page: str | None) -> list[tuple[str, list[str]]]:
+    """(text, features) of each leaf block, to learn from."""
+    return [(text, features) for text, features, _ in _read(page, None)]
 
 
 class ChainField:
@@ -183,20 +213,21 @@ class ChainField:
         self.weights, self.pairs = weights, pairs  # pairs[from, to]; row 2 is the start
 
     def decode(self, features: list[list[str]]) -> list[int]:
-        """The most probable labels, by Viterbi."""
-        get, back = self.weights.get, []
+        """The most probable labels."""
+        return self.best([sum(self.weights.get(f, 0.0) for f in fs) for fs in features])
+
+    def best(self, weights: list[float]) -> list[int]:
+        """The most probable labels by Viterbi, from the sum of the weights of each block's features."""
+        back = []
         (a00, a01), (a10, a11), (s0, s1) = self.pairs.tolist()
         v0, v1 = s0, s1
-        for i, fs in enumerate(features):
-            own = 0.0
-            for f in fs:
-                own += get(f, 0.0)
+        for i, own in enumerate(weights):
             if i:
                 from0, from1 = (v0 + a00 < v1 + a10), (v0 + a01 < v1 + a11)
                 v0, v1 = max(v0 + a00, v1 + a10), max(v0 + a01, v1 + a11)
                 back.append((from0, from1))
             v1 += own
-        if not features:
+        if not weights:
             return []
         labels = [int(v1 > v0)]
         for step in reversed(back):
@@ -329,8 +360,8 @@ def default_field() -> ChainField:
 
 
 def main_text(page: str | None, field: ChainField) -> str:
-    blocks = leaf_blocks(page)
-    return "\n".join(t for (t, _), keep in zip(blocks, field.decode([f for _, f in blocks]), strict=True) if keep)
+    blocks = [(text, weight) for text, _, weight in _read(page, field.weights)]
+    return "\n".join(t for (t, _), keep in zip(blocks, field.best([w for _, w in blocks]), strict=True) if keep)
 
 
 def extract(pages: DataFrame, field: ChainField | None = None, html_col: str = "html") -> DataFrame:

@@ -10,10 +10,11 @@ other characters is one gap.  Whole texts are parsed, in segments of ``SEGMENT``
 at which a phrase ends for every language alike, so that many segments step through the automata at once and a
 worker holds no more than a few slices' arrays.
 
-Bounds: at most ``SAMPLE_DOCS`` labelled rows a language, with their whole texts.  They are the distinct ones with
-the least hashes of id, language and text; rows of more than ``LONG_CHARS`` characters are only taken for a language that has no
-other.  An automaton has fewer than twice as many states as its sample has symbols; its table has ``HOT`` columns for
-the language's most frequent symbols, and a sorted list of the transitions by others.
+Bounds: a language is learned from ``SAMPLE_DOCS`` labelled rows at most, whatever their length: the distinct ones with the least hashes
+of id, language and text.  A row of up to ``ROW_CHARS`` characters is learned whole, a longer one by so many characters in pieces
+of ``PIECE``, drawn by hash from all over it.  An automaton has fewer than twice as many states as its sample has symbols; its
+table has ``HOT`` columns for the language's most frequent symbols, and a sorted list of the transitions by others.  Tasks build
+the automata, one a language; the driver passes them on one by one, and a worker keeps ``KEPT`` of them loaded at most.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text if nothing is labelled.  Rows that repeat are
 predicted each, and learned once; a null id is an id.  An empty table gives an empty result.  Labels, ids and sources never
@@ -22,17 +23,20 @@ enter a prediction.  Extra columns may have any name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import materialise, small_side
 
-SAMPLE_DOCS, LONG_CHARS = 30, 20_000
-HOT = 40
+SAMPLE_DOCS, ROW_CHARS, PIECE = 30, 8_000, 1_000
+HOT, KEPT = 40, 8
 SEGMENT, SLICE = 512, 1 << 21
 UNKNOWN = "und"
 GAP = 0
@@ -69,6 +73,15 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+@lru_cache(maxsize=1)
+def _all_letters() -> np.ndarray:
+    return np.array([i for i in range(0x110000) if chr(i).isalpha()])
+
+
+def letters_of(texts: Sequence[str]) -> list[str]:
+    return sorted({c for t in texts for c in set(t.lower()) if c.isalpha()})
+
+
 class Alphabet:
     """From characters to symbols: 0 a gap, then the letters, then one for all other letters, then padding."""
 
@@ -84,7 +97,7 @@ class Alphabet:
         """All texts' symbols, their number and the number of letters in each."""
         if self.table is None:
             self.table = np.full(0x110000, GAP, np.int32)
-            self.table[[i for i in range(0x110000) if chr(i).isalpha()]] = self.other
+            self.table[_all_letters()] = self.other
             for k, c in enumerate(self.letters, 1):
                 self.table[ord(c)] = k
         lowered = [t.lower() for t in texts]
@@ -136,13 +149,30 @@ class Automaton:
         return np.where(self.keys[at] == key, self.to[at] * self.width, anew).astype(np.int32)
 
 
+def automaton(sample: str, alphabet: Alphabet) -> Automaton:
+    return Automaton(alphabet.symbols([sample])[0], alphabet.padding + 1)
+
+
 class CrossParser:
-    """The automata of all languages."""
+    """The automata of all languages, by order of the languages; those that are broadcasts are loaded when asked."""
+
+    def __init__(self, langs: list[str], alphabet: Alphabet, automata: Sequence[Automaton | Broadcast], kept: int | None = None):
+        self.langs, self.alphabet, self.automata, self.kept = langs, alphabet, automata, KEPT if kept is None else kept
+
+    @classmethod
+    def of(cls, samples: dict[str, str]) -> "CrossParser":
+        """From the text of each language, here and now."""
+        langs, alphabet = sorted(samples), Alphabet(letters_of([*samples.values()]))
+        return cls(langs, alphabet, [automaton(samples[k], alphabet) for k in langs])
 
-    def __init__(self, samples: dict[str, str]):
-        self.langs = sorted(samples)
-        self.alphabet = Alphabet(sorted({c for t in samples.values() for c in t.lower() if c.isalpha()}))
-        self.automata = [Automaton(self.alphabet.symbols([samples[k]])[0], self.alphabet.padding + 1) for k in self.langs]
+    def loaded(self) -> Iterator[Automaton]:
+        for k, a in enumerate(self.automata):
+            if isinstance(a, Broadcast):
+                yield a.value
+                if k >= self.kept:
+                    vars(a).pop("_value")  # it stays on the executor's disk
+            else:
+                yield a
 
     def phrases(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """[text, language]: phrases of each text."""
@@ -154,7 +184,7 @@ class CrossParser:
         steps = np.ascontiguousarray(grid.reshape(-1, SEGMENT).T)
         out = np.zeros((len(sizes), len(self.langs)), np.int64)
         some = pieces > 0
-        for k, a in enumerate(self.automata):
+        for k, a in enumerate(self.loaded()):
             at = np.full(steps.shape[1], a.ended * a.width, np.int32)
             ends = np.zeros(steps.shape[1], np.int32)
             columns = a.column[steps]
@@ -198,28 +228,49 @@ def held_out(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> CrossParser:
-    """From (id, lang, text) rows with a language: a sample of at most ``sample_docs`` each."""
-    rows = labelled.where("lang is not null and text is not null").withColumn("long", F.length("text") > LONG_CHARS)
-    counts = rows.groupBy("lang").agg(F.min("long").alias("long"), F.count(F.when(~F.col("long"), 1)).alias("short"), F.count(F.lit(1)).alias("n"))
-    counts = materialise(counts.select("lang", "long", F.when(F.col("long"), F.col("n")).otherwise(F.col("short")).alias("n")), "lang-counts")
+def samples_of(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """lang, rank, text: what is learned, from (id, lang, text) rows with a language."""
+    rows = labelled.where("lang is not null and text is not null")
+    counts = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
     h = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "lang", "text"), F.lit(1 << 40))
     # About twice as many as wanted, without a shuffle by language, as a language may have most rows; then the least of them.
-    likely = rows.withColumn("h", h).join(small_side(counts, counts.count(), 64), ["lang", "long"]).where(F.col("h") * F.col("n") < F.lit(2.0 * sample_docs) * (1 << 40))
-    ranked = likely.dropDuplicates(["lang", "h"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    samples: dict[str, list[str]] = {}
-    for r in ranked.where(F.col("rank") <= sample_docs).orderBy("lang", "rank").select("lang", "text").toLocalIterator():
-        samples.setdefault(r.lang, []).append(r.text)
-    return CrossParser({lang: "\n".join(texts) for lang, texts in samples.items()})
+    likely = rows.withColumn("h", h).join(small_side(counts, counts.count(), 64), "lang").where(F.col("h") * F.col("n") < F.lit(2.0 * sample_docs) * (1 << 40))
+    places = F.sequence(F.lit(0), F.ceil(F.length("text") / PIECE).cast("int") - 1)
+    drawn = F.slice(F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64("h", i).alias("by"), i.alias("i")))), 1, ROW_CHARS // PIECE)
+    pieces = F.array_join(F.transform(drawn, lambda d: F.substr("text", d["i"] * PIECE + 1, F.lit(PIECE))), "\n")
+    text = F.when(F.length("text") <= ROW_CHARS, F.col("text")).otherwise(pieces)
+    ranked = likely.select("lang", "h", text.alias("text")).dropDuplicates(["lang", "h"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    return ranked.where(F.col("rank") <= sample_docs).select("lang", "rank", "text")
+
+
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> CrossParser:
+    """Samples' letters come to the driver (Unicode has a bounded number), and each automaton on its way to a broadcast."""
+    samples = materialise(samples_of(labelled, sample_docs), "lang-samples")
+
+    def lettered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"letter": letters_of(batch["text"].tolist())}, dtype=object)
+
+    letters = samples.select("text").mapInPandas(lettered, "letter string").distinct().collect()
+    alphabet = Alphabet(sorted(r.letter for r in letters))
+
+    def built(rows: pd.DataFrame) -> pd.DataFrame:
+        sample = "\n".join(rows.sort_values("rank")["text"])
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "automaton": [pickle.dumps(automaton(sample, alphabet))]})
+
+    automata = {}
+    for r in samples.groupBy("lang").applyInPandas(built, "lang string, automaton binary").toLocalIterator():
+        automata[r.lang] = labelled.sparkSession.sparkContext.broadcast(pickle.loads(r.automaton))
+    langs = sorted(automata)
+    return CrossParser(langs, alphabet, [automata[k] for k in langs])
 
 
 def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id_col, lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            langs, scores = shared.value.predict(batch["text"].tolist())
+            langs, scores = parser.predict(batch["text"].tolist())
             yield pd.DataFrame({"id": batch["id"], "lang_pred": langs, "score": scores})
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -1,19 +1,21 @@
 """Quality rules: plain counts, and the perplexity of a modified Kneser-Ney n-gram model.
 
 The model predicts the characters of a text from up to ``ORDER - 1`` before them, across word boundaries: every run of
-white space, the end of a text included, is one space, and a text begins behind ``ORDER - 1`` start marks.  There is a model a
-language; a null language is one, too, and the same as the empty one.  It learns from all documents that pass the plain
-rules and hold at most one symbol of ``#*$%&|<>`` in ten words, so that noise doesn't teach it to expect noise; of those every
-word counts.  Tasks sort packed n-grams and send each once with its count; Spark sums the counts, derives the
+white space, the end of a text included, is one space, and a text begins behind ``ORDER - 1`` start marks.  There are two
+models a language (a null language is one, too, and the same as the empty one).  Each learns from half of the texts, by a hash of the
+text, and scores the other half: so no document, nor a copy of it, foresees itself.  All documents that pass the plain rules
+are learned from, with every word.  Tasks sort packed n-grams and send each once with its count; Spark sums the counts, derives the
 continuation counts of lower orders, the three discounts of each order from its counts of counts, and the interpolated
 probabilities.  The result is kept as arrays of sorted 64-bit hashes.
 
-A document's log perplexity is the mean negative log probability of its symbols, words and the spaces behind them.  A
-language's band lies ``WIDTH`` times the distance of its quartiles outside them; documents above are strange to
-their language, those below repeat its commonest parts.  The quartiles are those of all documents
-that pass the plain rules, read from exact counts of values rounded to ``STEP``.  ``WIDTH`` is the least whole number
-at which the bands take less than 0.2 % of the documents that ``labels`` calls good (quality 1) and that pass the plain
-rules; measured at sf 0.1.  A language without a document to learn from has log perplexity 0 everywhere, which its band holds.
+A document's log perplexity is the mean negative log probability of its symbols, words and the spaces behind them.  By mere
+chance it strays from its language's median the less the longer the document is, so what is compared is the distance from the median times
+the square root of the number of symbols.  A language's band lies ``BELOW`` and ``ABOVE`` times the distance of its quartiles outside
+them; documents above are strange to their language, those below repeat its commonest parts.  Median and quartiles, a model's each, are
+those of all different texts that pass the plain rules (copies count once, or a large group of them would leave no room for others),
+read from exact counts of values rounded to ``STEP`` and ``DISTANCE_STEP``.  ``BELOW`` and ``ABOVE`` are the least multiples of a half at
+which a limit takes at most 0.5 % of the documents called good (quality 1) in one half of ``labels``, at sf 0.1; the other half
+tells how well they do.  A document that the other half of its language has nothing to judge by has log perplexity 0 and is kept.
 
 Size: every n-gram keeps its entry.  The sorted hashes are cut by their leading bits into parts of about ``PART_ROWS``
 n-grams; the driver gathers and broadcasts a part at a time, and look-ups go part by part to workers that hold
@@ -35,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import TEXT_ROWS, arrow_batches, forget_kept, give_back, materialise, small_side
@@ -43,16 +45,19 @@ from quillframe.llm.common import TEXT_ROWS, arrow_batches, forget_kept, give_ba
 ORDER = 5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Documents with more symbols than this share of their words don't train the model.
-MAX_SYMBOL_SHARE = 0.1
-WIDTH = 4.0
-STEP = 0.001
+#: Quartile distances between the quartiles and the limits below and above.
+BELOW, ABOVE = 2.0, 6.0
+STEP, DISTANCE_STEP = 0.001, 0.01
+#: Quartiles are taken to lie at least so far apart.
+LEAST_SPREAD = 0.3
 #: N-grams of the model that the driver and a broadcast hold at a time, and the parts a worker keeps loaded.
 PART_ROWS = 1_000_000
 PARTS_KEPT = 12
 #: Characters of a language that a task reads at once, symbols it packs at once, and n-grams it sums up before it sends them.
 READ_CHARS, PACKED, HELD = 1 << 19, 1 << 20, 1_000_000
 START = "\x02"
+#: Stands between a language and the half of its texts that a model has learned.
+MARK = "\x1f"
 #: Packed n-grams give a character so many bits: its number in order of appearance in the task.
 BITS = 12
 _SPACES, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -144,11 +149,6 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
     return (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
 
 
-def teaches(counts: np.ndarray) -> np.ndarray:
-    """Which texts the model learns from."""
-    return ~base_failed(counts) & (counts[:, 2] <= MAX_SYMBOL_SHARE * counts[:, 0])
-
-
 class Packer:
     """N-grams as numbers, BITS bits a character; a span of places with too many characters is halved until it fits."""
 
@@ -212,7 +212,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
         def read(lang: str) -> Iterator[pd.DataFrame]:
             texts = Texts(waiting.pop(lang), order - 1)
             sizes[lang] = 0
-            kept = np.repeat(teaches(texts.counts), texts.sizes)
+            kept = np.repeat(~base_failed(texts.counts), texts.sizes)
             codes, counted = texts.codes[kept], texts.event[kept]
             at = order - 1
             while at < len(codes):
@@ -431,7 +431,7 @@ def log_perplexities(texts: Texts, lang: str, model: SortedModel, packer: Packer
 
 
 def score(docs: DataFrame, model: SortedModel, id_col: str = "doc_id") -> DataFrame:
-    """id, lang, the plain counts and log_ppl of every document."""
+    """id, lang, h (a hash of the text), the plain counts and log_ppl of every document."""
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = Packer(model.order)
@@ -446,31 +446,52 @@ def score(docs: DataFrame, model: SortedModel, id_col: str = "doc_id") -> DataFr
                     counts[some], ppl[some] = texts.counts, log_perplexities(texts, lang, model, packer)
             told = pd.DataFrame(counts, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
             told["log_ppl"] = pd.Series(ppl).astype(object).where(~np.isnan(ppl), None)
-            yield pd.concat([batch[["id", "lang"]].reset_index(drop=True), told], axis=1)
+            yield pd.concat([batch[["id", "lang", "h"]].reset_index(drop=True), told], axis=1)
         give_back()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("h"), "text")
     kind = docs.schema[id_col].dataType.simpleString()
-    scores = rows.mapInPandas(scored, f"id {kind}, lang string, {BASE}, log_ppl double")
+    scores = rows.mapInPandas(scored, f"id {kind}, lang string, h long, {BASE}, log_ppl double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return scores.withColumn("base_failed", failed)
 
 
-def bands(scores: DataFrame, width: float = WIDTH) -> DataFrame:
-    """lang, lower, upper: from the quartiles of log_ppl, exact to STEP, of documents that pass the plain rules."""
-    bins = scores.where("not base_failed and log_ppl is not null").groupBy("lang", F.round(F.col("log_ppl") / STEP).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    q = bins.groupBy("lang").agg(F.percentile("bin", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q")).select("lang", (F.col("q")[0] * STEP).alias("q1"), (F.col("q")[1] * STEP).alias("q3"))
-    spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(10 * STEP))
-    return q.select("lang", (F.col("q1") - width * spread).alias("lower"), (F.col("q3") + width * spread).alias("upper"))
+def _distance() -> Column:
+    return (F.col("log_ppl") - F.col("middle")) * F.sqrt(F.col("n_words") + F.col("word_chars"))
+
+
+def _percentiles(values: DataFrame, value: Column, step: float, at: list[float]) -> DataFrame:
+    """lang, q: exact but for rounding to ``step``."""
+    bins = values.groupBy("lang", F.round(value / step).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return bins.groupBy("lang").agg((F.percentile("bin", F.array(*map(F.lit, at)), F.col("n"))).alias("q")).select("lang", F.transform("q", lambda b: b * step).alias("q"))
+
+
+def bands(scores: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
+    """lang, middle, least, most: the median log_ppl and the limits of the scaled distance from it."""
+    passed = scores.where("not base_failed and log_ppl is not null")
+    texts = materialise(passed.groupBy("lang", "h").agg(*[F.min(c).alias(c) for c in ("log_ppl", "n_words", "word_chars")]), "lm-texts")
+    middle = _percentiles(texts, F.col("log_ppl"), STEP, [0.5]).select("lang", F.col("q")[0].alias("middle"))
+    middle = materialise(middle, "lm-medians")
+    n = middle.count()
+    quartiles = _percentiles(texts.join(small_side(middle, n, 64), "lang"), _distance(), DISTANCE_STEP, [0.25, 0.75])
+    spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))
+    limits = quartiles.select("lang", (F.col("q")[0] - below * spread).alias("least"), (F.col("q")[1] + above * spread).alias("most"))
+    return limits.join(small_side(middle, n, 64), "lang")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, width: float = WIDTH) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """Every document's counts and verdict: id_col, lang, n_words .. n_repeat_words, log_ppl, base_failed, lower, upper, kept."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    model = stored(*kneser_ney(count_grams(rows, order), order), order)
+    half = F.pmod(F.xxhash64(F.coalesce(text_col, F.lit(""))), F.lit(2))
+    named = lambda part: F.concat(F.coalesce(F.col(lang_col).cast("string"), F.lit("")), F.lit(MARK), part.cast("string"))
+    taught = docs.select(named(half).alias("lang"), F.col(text_col).alias("text"))
+    asked = docs.select(F.col(id_col).alias("doc_id"), named(1 - half).alias("lang"), F.col(text_col).alias("text"))
+    model = stored(*kneser_ney(count_grams(taught, order), order), order)
     with arrow_batches(docs.sparkSession, TEXT_ROWS):
-        scores = materialise(score(rows, model), "lm-scores")
-    limits = materialise(bands(scores, width), "lm-bands")
-    told = scores.join(small_side(limits, limits.count(), 64), "lang", "left")
-    inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return told.withColumn("kept", inside & ~F.col("base_failed")).withColumnRenamed("id", id_col)
+        scores = materialise(score(asked, model), "lm-scores")
+    limits = materialise(bands(scores, below, above), "lm-bands")
+    told = scores.join(small_side(limits, limits.count(), 80), "lang", "left").withColumn("lang", F.expr("left(lang, length(lang) - 2)"))
+    scale = F.greatest(F.sqrt(F.col("n_words") + F.col("word_chars")), F.lit(1.0))
+    told = told.withColumns({"lower": F.col("middle") + F.col("least") / scale, "upper": F.col("middle") + F.col("most") / scale})
+    known = F.col("log_ppl").between(F.col("lower"), F.col("upper")) | (F.col("log_ppl") == 0)
+    kept = F.coalesce(known, F.lit(False)) & ~F.col("base_failed")
+    return told.drop("h", "middle", "least", "most").withColumn("kept", kept).withColumnRenamed("id", id_col)
