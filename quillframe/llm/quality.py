@@ -13,7 +13,7 @@ chance it strays from its language's median the less the longer the document is,
 the square root of the number of symbols.  A language's band lies ``BELOW`` and ``ABOVE`` times the distance of its quartiles outside
 them; documents above are strange to their language, those below repeat its commonest parts.  Median and quartiles, a model's each, are
 those of all different texts that pass the plain rules (copies count once, or a large group of them would leave no room for others),
-read from exact counts of values rounded to ``STEP`` and ``DISTANCE_STEP``.  ``BELOW`` and ``ABOVE`` are the least multiples of a half at
+read from exact counts of values rounded to ``STEP`` and ``DISTANCE_STEP``.  ``BELOW`` and ``ABOVE`` are the least whole numbers at
 which a limit takes at most 0.5 % of the documents called good (quality 1) in one half of ``labels``, at sf 0.1; the other half
 tells how well they do.  A document that the other half of its language has nothing to judge by has log perplexity 0 and is kept.
 
