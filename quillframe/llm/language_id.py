@@ -14,7 +14,7 @@ Bounds: a language is learned from ``SAMPLE_DOCS`` labelled rows at most, whatev
 of id, language and text.  A row of up to ``ROW_CHARS`` characters is learned whole, a longer one by so many characters in pieces
 of ``PIECE``, drawn by hash from all over it.  An automaton has fewer than twice as many states as its sample has symbols; its
 table has ``HOT`` columns for the language's most frequent symbols, and a sorted list of the transitions by others.  Tasks build
-the automata, one a language; the driver passes them on one by one, and a worker keeps ``KEPT`` of them loaded at most.
+the automata (small ones may share a task); the driver passes them on one by one, and a worker keeps ``KEPT`` of them loaded at most.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text if nothing is labelled.  Rows that repeat are
 predicted each, and learned once; a null id is an id.  An empty table gives an empty result.  Labels, ids and sources never
