@@ -15,7 +15,7 @@ them; documents above are strange to their language, those below repeat its comm
 those of all different texts that pass the plain rules (copies count once, or a large group of them would leave no room for others),
 read from exact counts of values rounded to ``STEP`` and ``DISTANCE_STEP``.  ``BELOW`` and ``ABOVE`` are the least whole numbers at
 which a limit takes at most 0.5 % of the documents called good (quality 1) in one half of ``labels``, at sf 0.1; the other half
-tells how well they do.  A document that the other half of its language has nothing to judge by has log perplexity 0 and is kept.
+was in view when that share was chosen.  A document that the other half of its language has nothing to judge by has log perplexity 0 and is kept.
 
 Size: every n-gram keeps its entry.  The sorted hashes are cut by their leading bits into parts of about ``PART_ROWS``
 n-grams; the driver gathers and broadcasts a part at a time, and look-ups go part by part to workers that hold
