@@ -78,6 +78,29 @@ def test_fusion_is_one_sided_when_it_must(spark):
     assert [(r.k, r.rank) for r in ranking.fuse(a, none, ["q"], "k").orderBy("rank").collect()] == [("x", 1), ("y", 2)]
 
 
+@pytest.mark.parametrize(("postings", "queries"), [(2_000_000, 16_384), (60, 4)])
+def test_bm25_top_scores_in_blocks(spark, monkeypatch, postings, queries):
+    """As all pairs, ties and own keys included, while no pair of a query and a document is a row of a shuffle."""
+    monkeypatch.setattr(fulltext, "BLOCK_POSTINGS", postings)
+    monkeypatch.setattr(fulltext, "PART_QUERIES", queries)
+    rng = np.random.default_rng(1)
+    rows = [(i, "ab"[i % 2], " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 12) % 40)) for i in range(60)]
+    rows += [(i + 60, g, t) for i, g, t in rows[:20]]
+    docs = spark.createDataFrame(rows, "d long, g string, t string").repartition(3)
+    terms = fulltext.query_terms(docs.where("d % 7 = 0").select("d", F.concat("t", F.lit(" zz"))).toDF("d", "t"), "d", "t")
+    every = fulltext.bm25(docs, terms, "d", F.col("t"))
+    for others in (False, True):
+        want = fulltext.top(every.where("qid <> d") if others else every, ["qid"], "d", 4)
+        got = fulltext.bm25_top(docs, terms, "d", F.col("t"), 4, others_only=others)
+        assert sorted(got.select("qid", "d", "score", "rank").collect()) == sorted(want.select("qid", "d", "score", "rank").collect())
+        plan = got._jdf.queryExecution().toString()
+        assert "FlatMapCoGroupsInPandas" in plan and "hashpartitioning(qid#" not in plan.split("FlatMapCoGroupsInPandas")[-1]
+    want = fulltext.top(fulltext.bm25(docs, terms, "d", F.col("t"), "g"), ["qid", "g"], "d", 4)
+    assert sorted(fulltext.bm25_top(docs, terms, "d", F.col("t"), 4, "g").select("qid", "g", "d", "score", "rank").collect()) == sorted(want.select("qid", "g", "d", "score", "rank").collect())
+    want = fulltext.top(fulltext.token_count_score(docs, terms, "d", F.col("t")), ["qid"], "d", 4)
+    assert sorted(fulltext.both_tops(docs, terms, "d", F.col("t"), 4)[1].select("qid", "d", "score", "rank").collect()) == sorted(want.select("qid", "d", "score", "rank").collect())
+
+
 def test_bm25_of_empty_table(spark):
     docs = spark.createDataFrame([], "d long, t string")
     terms = fulltext.query_terms(spark.createDataFrame([(1, "a b")], "q long, t string"), "q", "t")
