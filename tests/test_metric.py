@@ -69,3 +69,14 @@ def test_empty_sides(spark):
     assert vectors.similar_pairs(none, 0.5).count() == 0
     assert vectors.top_k(none, some, 3).count() == 0 and vectors.top_k(some, none, 3).count() == 0
     assert vectors.top_k(some.withColumn("id", F.col("id") + 1000), some.limit(1), 3).count() == vectors.top_k(some, some.limit(1).withColumn("id", F.lit(-1).cast("long")), 3).count()
+
+
+def test_top_k_rows_travel_by_group(spark, monkeypatch):
+    """A vector goes to each group of queries once, not to every block or query; the result is that of comparing all."""
+    monkeypatch.setattr(vectors, "GROUP_BLOCKS", 3)
+    rows = clustered(n=400, clusters=7, noise=0.4)
+    cos = cosines(rows)
+    found = vectors.top_k(frame(spark, rows), frame(spark, rows), 4, "any", False, 20, 9)
+    want = {(q, i, rows[i][2], float(cos[q, i]), rank + 1) for q in range(len(rows)) for rank, i in enumerate(sorted((x for x in range(len(rows)) if x != q), key=lambda i: (-cos[q, i], i))[:4])}
+    assert {tuple(r) for r in found.select("qid", "id", "grp", "cos", "rank").collect()} == want
+    assert "beside" in found._jdf.queryExecution().toString()
