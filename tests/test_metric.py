@@ -80,3 +80,14 @@ def test_top_k_rows_travel_by_group(spark, monkeypatch):
     want = {(q, i, rows[i][2], float(cos[q, i]), rank + 1) for q in range(len(rows)) for rank, i in enumerate(sorted((x for x in range(len(rows)) if x != q), key=lambda i: (-cos[q, i], i))[:4])}
     assert {tuple(r) for r in found.select("qid", "id", "grp", "cos", "rank").collect()} == want
     assert "beside" in found._jdf.queryExecution().toString()
+
+
+def test_similar_pairs_meet_by_group(spark, monkeypatch):
+    """Rows travel once a group of blocks; pairs of all groups are found once each."""
+    monkeypatch.setattr(vectors, "GROUP_BLOCKS", 2)
+    rows = clustered(n=300, clusters=5, noise=0.3)
+    cos = cosines(rows)
+    want = {(a, b, float(cos[a, b])) for a in range(len(rows)) for b in range(a + 1, len(rows)) if rows[a][2] != rows[b][2] and cos[a, b] >= 0.2}
+    pairs = vectors.similar_pairs(frame(spark, rows), 0.2, 15, 9)
+    found = [tuple(r) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == want and "lg" in pairs._jdf.queryExecution().toString()
