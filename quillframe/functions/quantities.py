@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns that decide what counts as a number, a negation, a date, a citation mark and a comparison.
-NUMBER = r"(?<![\p{L}\p{N}_.])[0-9][0-9,]*(?:\.[0-9]+)?(?:\s?[KkMmBbGg](?![A-Za-z]))?"
+NUMBER = r"(?=[0-9])(?<![\p{L}\p{N}_.])[0-9][0-9,]*(?:\.[0-9]+)?(?:\s?[KkMmBbGg](?![A-Za-z]))?"
 MAGNITUDE = r"([0-9][0-9,]*(?:\.[0-9]+)?)\s?([KkMmBbGg])\b"
 MAGNITUDES = {"k": 1_000, "m": 1_000_000, "b": 1_000_000_000, "g": 1_000_000_000}
 THIN_SPACES = " \u00a0\u2009\u202f"
@@ -24,8 +24,12 @@ COMPARISON = (
     r"|compared\s+to|relative\s+to|whereas|unlike|versus|vs\.?|in\s+contrast|than)\b"
 )
 
-#: A space between three-digit groups: some digits of a group before it, a whole group after it that no separator cuts off.
-_GROUP_SPACE = rf"(?<=(?<![0-9.])[0-9]{{1,3}}(?:[{THIN_SPACES}][0-9]{{3}}){{0,9}})[{THIN_SPACES}](?=[0-9]{{3}}(?:[{THIN_SPACES}][0-9]{{3}})*(?![0-9])(?!,[0-9]))"
+#: A space between three-digit groups: a whole group after it that no separator cuts off, some digits of a group before it.  What stands
+#: behind is looked at first, as looking back is slow and most spaces have no digit behind them.
+_GROUP_SPACE = (
+    rf"[{THIN_SPACES}](?=[0-9]{{3}}(?:[{THIN_SPACES}][0-9]{{3}})*(?![0-9])(?!,[0-9]))"
+    rf"(?<=(?<![0-9.])[0-9]{{1,3}}(?:[{THIN_SPACES}][0-9]{{3}}){{0,9}}[{THIN_SPACES}])"
+)
 
 
 def joined_thousands(text: Column) -> Column:
@@ -49,12 +53,13 @@ def forms(number: Column) -> Column:
     base, letter = F.regexp_extract(number, MAGNITUDE, 1), F.lower(F.regexp_extract(number, MAGNITUDE, 2))
     factor = F.create_map(*[F.lit(x) for pair in MAGNITUDES.items() for x in pair])[letter]
     full = F.replace(base, F.lit(","), F.lit("")).try_cast("decimal(28,9)") * factor.cast("decimal(10,0)")
-    return F.array_compact(F.array(F.nullif(plain, F.lit("")), _trimmed(full.cast("string"))))
+    # Casting what isn't a number is slow, so it is left to numbers that have a letter.
+    return F.array_compact(F.array(F.nullif(plain, F.lit("")), F.when(number.rlike("[KkMmBbGg]"), _trimmed(full.cast("string")))))
 
 
 def all_forms(text: Column) -> Column:
     """The forms of every number of a text, thousands joined."""
-    return F.array_distinct(F.flatten(F.transform(numbers(joined_thousands(text)), forms)))
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(numbers(joined_thousands(text))), forms)))
 
 
 def unmatched(tokens: Column, known: Column) -> Column:

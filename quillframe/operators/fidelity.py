@@ -1,10 +1,12 @@
 """Fidelity of pages to their sources (PIP-1, PIP-2).
 
-A claim is ranked only against the chunks of the sources it stands for, with each source's own statistics.  Postings are met on (source,
-term), chunks on (source, chunk), numbers on (source, number), so that neither a large source nor a product of claims and chunks falls to one task."""
+A claim is ranked only against the chunks of the sources it stands for, with each source's own statistics.  A source meets its claims in
+blocks of about BLOCK, and what is compared stays in that row: no token is shuffled, and no large set of claims falls to one task."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +14,14 @@ from quillframe.functions import quantities as Q
 from quillframe.functions.text import tokens
 from quillframe.operators import units as U
 from quillframe.operators.fulltext import B, K1
-from quillframe.operators.ranking import chunks
+from quillframe.operators.ranking import chunk_texts, words
 from quillframe.scratch import materialise
 
 #: Below these a claim counts as weak; evidence of a claim on its own page, and of a claim that cites several sources.
 BM25_FLOOR, COSINE_FLOOR, EVIDENCE, HITS, CITED_HITS = 1.0, 0.35, 3, 5, 10
 PREVIEW = 500
+#: Claims that meet their source in one row.
+BLOCK = 64
 
 
 def _mean(score: Column) -> Column:
@@ -26,41 +30,60 @@ def _mean(score: Column) -> Column:
     return F.floor(F.sum(micro) / F.count(micro)) / F.lit(1e6)
 
 
-def local_hits(claims: DataFrame, sources: DataFrame, k: int) -> DataFrame:
-    """(qid, stem, chunk_id, score, rank, chunk): each claim's best chunks of its source; claims are (qid, stem, text), sources (stem, text).
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _count(held: Column, value: Column) -> Column:
+    return F.size(held) - F.size(F.array_remove(held, value))
+
 
-    A term that a claim repeats counts as often; chunks without any of its terms aren't hits; equal scores go to the earlier chunk."""
-    asked = claims.select("qid", "stem", F.explode(tokens(F.col("text"))).alias("term")).groupBy("stem", "qid", "term").agg(F.count(F.lit(1)).alias("asked"))
-    cut = chunks(sources.join(claims.select("stem").distinct(), "stem", "left_semi"), "stem", "text").select("stem", "chunk_id", "chunk")
-    terms = cut.select("stem", "chunk_id", tokens(F.col("chunk")).alias("t")).select("stem", "chunk_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
-    wanted = asked.select("stem", "term").distinct()
-    some = terms.where("term <> ''").join(wanted, ["stem", "term"], "left_semi").unionByName(terms.where("term = ''").select("stem", "term", "chunk_id", "dl"))
-    posted = materialise(some.groupBy("stem", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "fidelity-postings")
-    sizes = posted.where("term = ''").groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
-    found = posted.where("term <> ''")
-    rare = found.groupBy("stem", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("asked") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    scored = asked.join(rare, ["stem", "term"]).join(sizes, "stem").join(found, ["stem", "term"]).groupBy("qid", "stem", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid", "stem").orderBy(F.desc("score"), "chunk_id"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
-    return materialise(best.join(cut, ["stem", "chunk_id"]), "fidelity-hits")
+def _met(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """(stem, text, of: some of its claims) of each source (stem, text) that has claims (qid, stem, text, told)."""
+    parts = materialise(claims.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("stem", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "fidelity-parts")
+    parts_ = F.coalesce("parts", F.lit(1))
+    asked = claims.select("stem", "qid", tokens(F.col("text")).alias("terms"), F.array_distinct(Q.numbers(Q.joined_thousands(F.col("told")))).alias("numbers")).join(parts, "stem", "left")
+    of = asked.groupBy("stem", F.pmod(F.xxhash64("qid"), parts_).cast("int").alias("part")).agg(F.collect_list(F.struct("qid", "terms", "numbers")).alias("of"))
+    # Rows of one claim are one claim, whose terms count as often.
+    same = F.transform(F.array_distinct("of.qid"), lambda q: F.struct(q.alias("qid"), F.filter("of", lambda c: c["qid"] == q).alias("c")))
+    of = of.select("stem", "part", F.transform(same, lambda g: F.struct(g["qid"].alias("qid"), F.flatten(g["c"]["terms"]).alias("terms"), F.array_distinct(F.flatten(g["c"]["numbers"])).alias("numbers"))).alias("of"))
+    spread = sources.select("stem", "text").join(parts, "stem", "left").select("stem", "text", F.explode(F.sequence(F.lit(0), parts_ - 1)).alias("part"))
+    return spread.join(of, ["stem", "part"]).drop("part")
 
 
-def _evidence(hits: DataFrame, most: int) -> DataFrame:
-    """(qid, stem, text of the best chunks in order, known: the forms of its numbers)."""
-    held = hits.where(F.col("rank") <= most).groupBy("qid", "stem").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk"))).alias("of"))  # at most ``most`` chunks
-    return held.select("qid", "stem", F.array_join("of.chunk", " ").alias("evidence")).withColumn("known", Q.all_forms(F.col("evidence")))
+def matched(claims: DataFrame, sources: DataFrame, k: int, most: int) -> DataFrame:
+    """(qid, stem, hits, evidence, missing) of claims (qid, stem, text, told) whose source (stem, text) is there; stems of sources are unique.
 
+    hits are the best k chunks (score, chunk_id, chunk) by BM25 within the source: a term that a claim repeats counts as often; chunks without any
+    of its terms aren't hits; equal scores go to the earlier chunk.  evidence is the text of the first ``most``; missing are numbers of ``told`` of
+    which neither the evidence nor the whole source has a form."""
+    cut = _met(claims, sources).select("stem", "of", words(F.col("text")).alias("_w"), Q.all_forms(F.col("text")).alias("_whole"))
+    cut = cut.select("stem", "of", "_whole", chunk_texts(F.col("_w")).alias("_chunks"))
+    cut = cut.select("stem", "of", "_whole", "_chunks", F.transform("_chunks", tokens).alias("_tokens"))
+    total = F.aggregate("_tokens", F.lit(0).cast("long"), lambda n, t: n + F.size(t))
+    one = cut.select("stem", "_whole", "_chunks", "_tokens", (total / F.greatest(F.size("_tokens"), F.lit(1))).alias("_mean"), F.explode("of").alias("of")).select("*", "of.*").drop("of")
+    # Of each chunk the claim's terms that it has; all of them together tell how many chunks have one.
+    one = one.withColumn("_has", F.transform("_tokens", lambda t: F.array_intersect(t, F.col("terms")))).withColumn("_all", F.flatten("_has"))
 
-def numbers_missing(claims: DataFrame, sources: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(qid, stem, token): numbers of a claim (qid, stem, told) of which neither the evidence nor the whole source has a form."""
-    asked = claims.select("qid", "stem", F.explode(F.array_distinct(Q.numbers(Q.joined_thousands(F.col("told"))))).alias("token"))
-    near = asked.join(evidence.select("qid", "stem", "known"), ["qid", "stem"], "left")
-    open_ = near.where(~F.coalesce(F.arrays_overlap(Q.forms(F.col("token")), F.col("known")), F.lit(False))).select("qid", "stem", "token")
-    whole = sources.join(claims.select("stem").distinct(), "stem", "left_semi").select("stem", F.explode(Q.all_forms(F.col("text"))).alias("form"))
-    met = open_.withColumn("form", F.explode(Q.forms(F.col("token")))).join(whole, ["stem", "form"], "left_semi").select("qid", "stem", "token").distinct()
-    return open_.join(met, ["qid", "stem", "token"], "left_anti")
+    def score(t: Column, has: Column) -> Column:
+        def part(w: Column) -> Column:
+            df, tf = _count(F.col("_all"), w), _count(t, w)
+            idf = F.log(1 + (F.size("_tokens") - df + 0.5) / (df + 0.5))
+            return _count(F.col("terms"), w) * idf * _with(tf, lambda f: f * (K1 + 1) / (f + K1 * (1 - B + B * F.size(t) / F.col("_mean"))))
+
+        return F.aggregate(has, F.lit(0.0), lambda s, w: s + part(w))
+
+    ranked = F.transform(F.zip_with("_tokens", "_has", lambda t, h: F.when(F.size(h) > 0, F.round(score(t, h), 6))), lambda s, i: F.struct((-s).alias("s"), i.alias("i")))
+    one = one.withColumn("_best", F.slice(F.sort_array(F.filter(ranked, lambda r: r["s"].isNotNull())), 1, k))
+    hits = F.transform("_best", lambda r: F.struct((-r["s"]).alias("score"), r["i"].alias("chunk_id"), F.get(F.col("_chunks"), r["i"]).alias("chunk")))
+    one = one.select("qid", "stem", "numbers", "_whole", hits.alias("hits"))
+    one = one.select("qid", "stem", "numbers", "_whole", "hits", F.array_join(F.slice("hits.chunk", 1, most), " ").alias("evidence"))
+    lacking = lambda tokens_, have: F.filter(tokens_, lambda t: ~F.arrays_overlap(Q.forms(t), have))
+    # Numbers of the evidence are looked up only for what the source doesn't have as such: words of two chunks may make a number of their own.
+    one = one.select("qid", "stem", "hits", "evidence", lacking("numbers", F.col("_whole")).alias("_open"))
+    missing = F.when(F.size("_open") > 0, _with(Q.all_forms(F.col("evidence")), lambda have: lacking("_open", have))).otherwise(F.col("_open"))
+    return one.select("qid", "stem", "hits", "evidence", missing.alias("missing"))
 
 
 def page_fidelity(claims: DataFrame, sources: DataFrame, cosines: DataFrame | None = None) -> DataFrame:
@@ -70,15 +93,14 @@ def page_fidelity(claims: DataFrame, sources: DataFrame, cosines: DataFrame | No
     neither the best three chunks nor the source hold, whether it negates what they don't, and the greatest of ``cosines`` (stem, section,
     position, cosine) if given.  Cross references aren't graded."""
     key = F.concat_ws("\x1f", "stem", "section", F.col("position").cast("string"))
-    asked = claims.where("not is_cross_ref").select(key.alias("qid"), "stem", "text")
-    hits = local_hits(asked, sources, HITS)
-    best = hits.groupBy("qid").agg(
-        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top1_score"), _mean(F.when(F.col("rank") <= EVIDENCE, F.col("score"))).alias("top3_mean"),
-        F.max(F.when(F.col("rank") == 1, F.col("chunk_id"))).alias("top1_chunk_id"), F.max(F.when(F.col("rank") == 1, F.substring("chunk", 1, PREVIEW))).alias("supporting_text"),
-    )
-    evidence = materialise(_evidence(hits, EVIDENCE), "fidelity-evidence")
-    missing = numbers_missing(asked.withColumnRenamed("text", "told"), sources, evidence).groupBy("qid").agg(F.collect_list("token").alias("_missing"))  # a claim's own numbers
-    out = claims.withColumn("qid", key).join(best, "qid", "left").join(evidence.select("qid", "evidence"), "qid", "left").join(missing, "qid", "left")
+    asked = claims.where("not is_cross_ref").select(key.alias("qid"), "stem", "text", F.col("text").alias("told"))
+    micro = F.transform(F.slice("hits.score", 1, EVIDENCE), lambda s: F.round(s * 1_000_000).cast("long"))
+    mean = F.floor(F.aggregate(micro, F.lit(0).cast("long"), lambda n, x: n + x) / F.greatest(F.size(micro), F.lit(1))) / F.lit(1e6)
+    first = F.get(F.col("hits"), F.lit(0))
+    best = matched(asked, sources, HITS, EVIDENCE).select(
+        "qid", first["score"].alias("top1_score"), F.when(F.size("hits") > 0, mean).alias("top3_mean"), first["chunk_id"].alias("top1_chunk_id"),
+        F.substring(first["chunk"], 1, PREVIEW).alias("supporting_text"), Q.negates(F.col("evidence")).alias("_denied"), F.col("missing").alias("_missing"))
+    out = claims.withColumn("qid", key).join(materialise(best, "fidelity-hits"), "qid", "left")
     hit = F.col("top1_score").isNotNull() & ~F.col("is_cross_ref")
     none = F.array().cast("array<string>")
     tokens_ = Q.numbers(Q.joined_thousands(F.col("text")))
@@ -88,7 +110,7 @@ def page_fidelity(claims: DataFrame, sources: DataFrame, cosines: DataFrame | No
         F.when(hit, F.col("top1_chunk_id")).otherwise(-1).alias("top1_chunk_id"), F.when(hit, F.col("supporting_text")).otherwise("").alias("supporting_text"),
         F.when(hit, tokens_).otherwise(none).alias("numeric_tokens"),
         F.when(hit, F.filter(tokens_, lambda t: F.array_contains(F.coalesce("_missing", none), t))).otherwise(none).alias("numeric_unmatched"),
-        F.when(hit, Q.negation_mismatch(F.col("text"), F.col("evidence"))).otherwise(False).alias("negation_mismatch"),
+        F.when(hit, Q.negates(F.col("text")) & ~F.col("_denied")).otherwise(False).alias("negation_mismatch"),
     )
     if cosines is None:
         return out.withColumn("semantic_score", F.lit(None).cast("double"))
@@ -151,15 +173,15 @@ def synthesis_fidelity(pages: DataFrame, sources: DataFrame, claims: DataFrame |
     cites = cites.join(sources.select("stem").distinct().withColumn("held", F.lit(True)), "stem", "left").withColumn("qid", F.concat_ws("\x1f", F.col("page").cast("string"), F.col("unit").cast("string")))
     cites = materialise(cites, "fidelity-cites")
     asked = cites.where("held").join(found, ["page", "unit"]).select("qid", "page", "unit", "stem", "place", "text", Q.without_citations(F.col("text")).alias("told"))
-    hits = local_hits(asked.select("qid", "stem", "text"), sources, CITED_HITS)
-    evidence = materialise(_evidence(hits, CITED_HITS), "fidelity-evidence")
+    best = matched(asked, sources, CITED_HITS, CITED_HITS).select("qid", "stem", F.get(F.col("hits"), F.lit(0))["score"].alias("score"), Q.negates(F.col("evidence")).alias("_denied"), "missing")
+    best = materialise(best, "fidelity-hits")
     # A number is missing only if it is missing from every cited source.
-    missing = numbers_missing(asked, sources, evidence).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("lacking"))
+    missing = best.select("qid", F.explode("missing").alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("lacking"))
     n_cited = cites.groupBy("page", "unit", "qid").agg(
         F.count_if("held").alias("n_cited"), F.array_sort(F.collect_list(F.when(F.col("held"), F.struct("place", "stem")))).alias("_c"), F.array_sort(F.collect_list(F.when(F.col("held").isNull(), F.struct("place", "stem")))).alias("_u"))
     missing = missing.join(n_cited.select("qid", "n_cited"), "qid").where("lacking = n_cited").groupBy("qid").agg(F.collect_list("token").alias("_missing"))
-    best = hits.where("rank = 1").join(asked.select("qid", "stem", "place"), ["qid", "stem"]).groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("s"), "place", "stem")).alias("b"))
-    negated = evidence.groupBy("qid").agg(F.max(Q.negates(F.col("evidence"))).alias("_denied"))
+    negated = best.groupBy("qid").agg(F.max("_denied").alias("_denied"))
+    best = best.where("score is not null").join(asked.select("qid", "stem", "place"), ["qid", "stem"]).groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("s"), "place", "stem")).alias("b"))
     out = found.join(n_cited, ["page", "unit"], "left").join(missing, "qid", "left").join(best, "qid", "left").join(negated, "qid", "left")
     if cosines is None:
         out = out.withColumn("best_semantic", F.lit(None).cast("double"))

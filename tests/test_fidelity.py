@@ -162,6 +162,27 @@ def test_page_fidelity_ranks_within_the_own_source(spark):
     assert got["q", "a", 1].numeric_tokens == [] and got["q", "b", 0].numeric_unmatched == []
 
 
+def test_page_fidelity_hands_on_a_row_a_claim_and_splits_large_sets(spark, monkeypatch):
+    sizes, kept = {}, fidelity.materialise
+
+    def counted(df, name):
+        out = kept(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(fidelity, "materialise", counted)
+    sources = spark.createDataFrame([("p", " ".join(f"w{i % 97} x{i % 13} {i}" for i in range(2000))), ("q", "w1 x1 7")], "stem string, text string")
+    rows = [("p", "a", i, f"w{i % 97} w{i % 89} {i % 2500}", False) for i in range(500)] + [("q", "a", 0, "w1 12 7", False)] * 2
+    claims = spark.createDataFrame(rows, "stem string, section string, position int, text string, is_cross_ref boolean")
+    got = fidelity.page_fidelity(claims, sources).collect()
+    assert len(got) == 502 and max(sizes.values()) <= 501  # no table of postings, a claim that is there twice is graded once
+    assert all((r.top1_score, r.top1_chunk_id) == ranked(r.text, sources.where("stem = 'p'").first().text)[0][:2] for r in got if r.stem == "p" and r.position % 100 == 0)
+    assert all(r.numeric_unmatched == ["12"] for r in got if r.stem == "q")
+    keyed = claims.select(F.concat_ws("|", "stem", "position").alias("qid"), "stem", "text", F.col("text").alias("told"))
+    held = [len(r.of) for r in fidelity._met(keyed, sources).where("stem = 'p'").collect()]
+    assert sum(held) == 500 and len(held) == 8 and max(held) < 2 * fidelity.BLOCK
+
+
 def test_page_report_and_persisted_scores(spark):
     rows = [("p", "s", i, f"c{i}", i == 3, i != 3, float(x), 0.0, i, "e", ["1"], ["1"] if i == 1 else [], i == 2, None) for i, x in enumerate((3, 1, 2, 0, 1))]
     graded = spark.createDataFrame(rows, "stem string, section string, position int, text string, is_cross_ref boolean, graded boolean, top1_score double, top3_mean double, top1_chunk_id int, supporting_text string, numeric_tokens array<string>, numeric_unmatched array<string>, negation_mismatch boolean, semantic_score double")
