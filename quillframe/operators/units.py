@@ -6,13 +6,14 @@ comments, a closing section on what would update the page) are blanked line by l
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.quantities import FOOTNOTE_REF, WIKILINK
+from quillframe.scratch import materialise
 
 # What is left out, what opens a unit, what excuses a missing citation, and how flagged text is marked.
 REGIONS = (
@@ -33,6 +34,8 @@ DISCLAIMERS = (
     r"(?i)\bi'?d need to check the pdf", r"(?i)\bi (would need|cannot answer|can't answer)",
 )
 CLAIM_WORDS = 8
+#: Pages whose units leave a task together.
+PAGES = 100
 UNGROUNDED, PRIOR = " ⚠ ungrounded", " ⚠ model prior"
 PLACEHOLDER = "*[ungrounded — I'd need to check the PDF for this.]*"
 
@@ -82,23 +85,28 @@ def units(pages: DataFrame, key: str = "page", body: str = "body") -> DataFrame:
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for page, text in zip(frame["page"], frame["body"], strict=True):
-                found = pd.DataFrame([(i, *u) for i, u in enumerate(fold_units(text))], columns=names)
-                found.insert(0, "page", [page] * len(found))
-                yield found
+            for at in range(0, len(frame), PAGES):
+                part = frame.iloc[at : at + PAGES]
+                yield pd.DataFrame([(page, i, *u) for page, text in zip(part["page"], part["body"], strict=True) for i, u in enumerate(fold_units(text))], columns=["page", *names])
 
     kind = pages.schema[key].dataType.simpleString()
     found = pages.select(F.col(key).alias("page"), F.col(body).alias("body")).mapInPandas(cut, f"page {kind}, {_UNIT}")
-    return found.withColumn("claim", is_claim(F.col("kind"), F.col("text")))
+    return found.withColumn("_bare", bare_text(F.col("text"))).withColumn("claim", is_claim(F.col("kind"), F.col("text"), F.col("_bare"))).drop("_bare")
 
 
-def is_claim(kind: Column, text: Column) -> Column:
-    """Prose of eight words or more that is neither heading, footnote definitions, question nor disclaimer; link texts don't count."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+def bare_text(text: Column) -> Column:
+    """A unit's text without marks and links."""
     bare = F.regexp_replace(text, r"[*_`>~]+", "")
     for pattern in (WIKILINK, r"\bclaim_id\s*[:=]\s*\d+", FOOTNOTE_REF):
         bare = F.regexp_replace(bare, pattern, "")
-    bare = F.regexp_replace(bare, r"\A\s+|\s+\z", "")
+    return F.regexp_replace(bare, r"\A\s+|\s+\z", "")
+
+
+def is_claim(kind: Column, text: Column, bare: Column) -> Column:
+    """Prose of eight words or more that is neither heading, footnote definitions, question nor disclaimer; link texts don't count.
+
+    ``bare`` is ``bare_text`` as a plain column, as each test reads it."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     excused = F.lit(False)
     for pattern in DISCLAIMERS:
         excused = excused | bare.rlike(pattern)
@@ -144,40 +152,51 @@ def judged(units_: DataFrame, notes: DataFrame, claims: DataFrame | None = None)
     With ``claims`` (stem, slug) an anchor counts only if the claim is there; without, every anchor counts."""
     links = F.regexp_extract_all("text", F.lit(WIKILINK), F.lit(1))
     plain = F.size(F.filter(links, lambda x: ~x.rlike(CLAIM_ANCHOR)))
-    u = units_.withColumns({"_plain": plain + F.regexp_count("text", F.lit(CLAIM_ID)), "_anchors": F.size(links) - plain})
-    wanted = anchors(units_)
+    # Units are cut once.  Only those whose anchors or footnotes decide meet claims and notes; the others stay where they are.
+    u = units_.withColumns({"_plain": plain + F.regexp_count("text", F.lit(CLAIM_ID)), "_anchors": F.size(links), "_refs": F.regexp_count("text", F.lit(FOOTNOTE_REF))})
+    u = materialise(u.withColumn("_anchors", F.when(F.col("_anchors") > 0, F.size(F.filter(links, lambda x: x.rlike(CLAIM_ANCHOR)))).otherwise(0)), "units")
+    prior = F.when(F.col("open") & F.col("text").rlike(MODEL_PRIOR), "model-prior").when(F.col("_anchors") > 0, "dangling-anchor").otherwise("ungrounded")
+    decided = ~F.col("claim") | (F.col("_plain") > 0) | ((F.col("_anchors") == 0) & (F.col("_refs") == 0))
+    alone = u.where(decided).withColumn("state", F.when(~F.col("claim"), "not-a-claim").when(F.col("_plain") > 0, "grounded").otherwise(prior))
+    rest = u.where(~decided)
+    wanted = anchors(rest.where("_anchors > 0"))
     met = wanted if claims is None else wanted.join(claims.select("stem", "slug").distinct(), ["stem", "slug"], "left_semi")
-    met = met.select("page", "unit").distinct().withColumn("_met", F.lit(True))
-    refs = units_.select("page", "unit", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(FOOTNOTE_REF), F.lit(1)))).alias("note"))
-    noted = refs.join(notes.where("grounds").select("page", "note"), ["page", "note"], "left_semi").select("page", "unit").distinct().withColumn("_noted", F.lit(True))
-    u = u.join(met, ["page", "unit"], "left").join(noted, ["page", "unit"], "left")
-    grounded = (F.col("_plain") > 0) | F.coalesce(F.col("_met"), F.lit(False)) | F.coalesce(F.col("_noted"), F.lit(False))
-    state = (
-        F.when(~F.col("claim"), "not-a-claim").when(grounded, "grounded").when(F.col("open") & F.col("text").rlike(MODEL_PRIOR), "model-prior")
-        .when(F.col("_anchors") > 0, "dangling-anchor").otherwise("ungrounded")
-    )
-    return u.withColumn("state", state).drop("_plain", "_anchors", "_met", "_noted")
+    refs = rest.where("_refs > 0").select("page", "unit", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(FOOTNOTE_REF), F.lit(1)))).alias("note"))
+    noted = refs.join(notes.where("grounds").select("page", "note"), ["page", "note"], "left_semi")
+    grounded = met.select("page", "unit").unionByName(noted.select("page", "unit")).distinct().withColumn("_grounded", F.lit(True))
+    rest = rest.join(grounded, ["page", "unit"], "left").withColumn("state", F.when(F.col("_grounded"), "grounded").otherwise(prior)).drop("_grounded")
+    return alone.unionByName(rest).drop("_plain", "_anchors", "_refs")
 
 
-def _with_marks(pages: DataFrame, marks: DataFrame, key: str, body: str) -> DataFrame:
-    per = marks.groupBy(F.col("page").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("line", "mark"))).alias("_marks"))
-    return pages.join(per, key, "left").withColumn("_lines", F.split(body, "\n"))
+def _by_line(marks: Column, first: str, after: Callable[[Column], Column], told: Callable[[Column], Column]) -> Column:
+    """One value a line, null where none is told, from marks in order of their lines; linear in the lines."""
+    ends = F.slice(F.concat(F.array(F.lit(0)), F.transform(marks, after)), 1, F.size(marks))
+    return F.flatten(F.zip_with(marks, ends, lambda m, e: F.concat(F.array_repeat(F.lit(None).cast("string"), m[first] - e - 1), told(m))))
 
 
-def annotated(pages: DataFrame, judged_: DataFrame, key: str = "page", body: str = "body") -> DataFrame:
-    """``pages`` with a mark behind the last line of each unit that isn't grounded; a mark that is there stays alone."""
+def marked(pages: DataFrame, judged_: DataFrame, key: str = "page", body: str = "body") -> DataFrame:
+    """``pages`` with the texts ``annotated`` and ``stripped``.
+
+    annotated has a mark behind the last line of each unit that isn't grounded; a mark that is there stays alone.  stripped has a placeholder for each
+    such unit, unless a model's own knowledge may stand for a citation; a bullet keeps its mark, what it took in goes."""
     mark = F.when(F.col("state").isin("ungrounded", "dangling-anchor"), UNGROUNDED).when(F.col("state") == "model-prior", PRIOR)
-    out = _with_marks(pages, judged_.select("page", F.col("last").alias("line"), mark.alias("mark")).where("mark is not null"), key, body)
-    told = F.transform("_lines", lambda x, i: F.coalesce(F.when(~F.contains(x, F.col("_marks")[i + 1]), F.concat(F.regexp_replace(x, r"\s+$", ""), F.col("_marks")[i + 1])), x))
-    return out.withColumn(body, F.when(F.col("_marks").isNull(), F.col(body)).otherwise(F.array_join(told, "\n"))).drop("_marks", "_lines")
+    lead = F.when(F.col("kind") == "bullet", F.regexp_extract("text", BULLET, 0)).otherwise("")
+    told = judged_.where(F.col("state").isin("ungrounded", "dangling-anchor", "model-prior")).select(F.col("page").alias(key), F.struct("line", "last", "lines", mark.alias("mark"), lead.alias("lead")).alias("_m"))
+    out = pages.join(told.groupBy(key).agg(F.sort_array(F.collect_list("_m")).alias("_marks")), key, "left")  # a page's marks
+    behind = _by_line(F.col("_marks"), "last", lambda m: m["last"], lambda m: F.array(m["mark"]))
+    instead = _by_line(
+        F.filter("_marks", lambda m: m["mark"] == UNGROUNDED), "line", lambda m: m["line"] + m["lines"] - 1, lambda m: F.concat(F.array(F.concat(m["lead"], F.lit(PLACEHOLDER))), F.array_repeat(F.lit(""), m["lines"] - 1)))
+    out = out.withColumns({"_lines": F.split(body, "\n"), "_behind": behind, "_instead": instead})
+    with_marks = F.transform("_lines", lambda x, i: F.coalesce(F.when(~F.contains(x, F.get(F.col("_behind"), i)), F.concat(F.regexp_replace(x, r"\s+$", ""), F.get(F.col("_behind"), i))), x))
+    left = F.filter(F.zip_with("_lines", "_instead", lambda x, y: F.when(x.isNotNull(), F.coalesce(F.nullif(y, F.lit("")), F.when(y.isNull(), x)))), lambda x: x.isNotNull())
+    none = F.col("_marks").isNull()
+    out = out.withColumns({"annotated": F.when(none, F.col(body)).otherwise(F.array_join(with_marks, "\n")), "stripped": F.when(none, F.col(body)).otherwise(F.array_join(left, "\n"))})
+    return out.drop("_marks", "_lines", "_behind", "_instead")
+
+
+def annotated(pages: DataFrame, judged_: DataFrame, key: str = "page", body: str = "body") -> DataFrame:
+    return marked(pages, judged_, key, body).withColumn(body, F.col("annotated")).drop("annotated", "stripped")
 
 
 def stripped(pages: DataFrame, judged_: DataFrame, key: str = "page", body: str = "body") -> DataFrame:
-    """``pages`` with a placeholder for each unit that isn't grounded; a bullet keeps its mark, what it took in goes."""
-    flagged = judged_.where(F.col("state").isin("ungrounded", "dangling-anchor"))
-    lead = F.when(F.col("kind") == "bullet", F.regexp_extract("text", BULLET, 0)).otherwise("")
-    rest = flagged.where("lines > 1").select("page", F.explode(F.sequence(F.col("line") + 1, F.col("line") + F.col("lines") - 1)).alias("line"), F.lit("").alias("mark"))
-    out = _with_marks(pages, flagged.select("page", "line", F.concat(lead, F.lit(PLACEHOLDER)).alias("mark")).unionByName(rest), key, body)
-    told = F.filter(F.transform("_lines", lambda x, i: F.struct(F.coalesce(F.col("_marks")[i + 1], x).alias("x"), (F.col("_marks")[i + 1] == "").alias("gone"))), lambda s: ~F.coalesce(s["gone"], F.lit(False)))
-    text = F.array_join(F.transform(told, lambda s: s["x"]), "\n")
-    return out.withColumn(body, F.when(F.col("_marks").isNull(), F.col(body)).otherwise(text)).drop("_marks", "_lines")
+    return marked(pages, judged_, key, body).withColumn(body, F.col("stripped")).drop("annotated", "stripped")

@@ -119,6 +119,17 @@ def test_marks_can_be_taken_back_and_grounded_pages_stay(spark):
     assert units.units(empty).count() == 0
 
 
+def test_units_are_cut_once_for_both_texts(spark):
+    texts = [(i, PAGE if i % 3 == 0 else "" if i % 3 == 1 else "# Only a heading\n") for i in range(2 * units.PAGES + 50)]
+    pages = spark.createDataFrame(texts, "page int, body string")
+    told = units.judged(units.units(pages), units.footnotes(pages), spark.createDataFrame([("known", "res-1a")], "stem string, slug string"))
+    assert told.select("page").distinct().count() == sum(bool(t) for _, t in texts)
+    for out in (units.annotated(pages, told), units.stripped(pages, told)):
+        assert "MapInPandas" not in out._jdf.queryExecution().toString()
+        got = {r.page: r.body for r in out.collect()}
+        assert len(got) == len(texts) and all(got[i] == t for i, t in texts if i % 3) and len({got[i] for i, _ in texts if i % 3 == 0}) == 1
+
+
 def test_cited_stems_in_order(spark):
     text = "Says [[b/x|name]] and [^n] and [[x]] then [[y#res-1a]] more\n\n[^n]: see [[old]]\n[^n]: see [[z]] and [[x]]\n"
     pages = spark.createDataFrame([(1, text)], "page int, body string")
