@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillframe.operators import claims as C
 from quillframe.operators import edges as E
 from quillframe.operators import records as R
 
@@ -77,3 +78,22 @@ def test_links_scores_and_backfill(spark):
     assert {(r.page, r.bad, r.good, r.ok) for r in t.collect()} == {("p", 1, 1, False), ("q", 0, 1, True)}
     miss = E.two_way_missing(spark.createDataFrame([("a", 1)], "f string, n int"), spark.createDataFrame([("b", 1)], "f string, n int"), ["f"])
     assert {tuple(r) for r in miss.collect()} == {("a", "missing"), ("b", "unlisted")}
+
+
+def test_listed_anchors_of_one_doi_spread_over_tasks(spark, monkeypatch):
+    for name, most in {"BLOCK_PAGES": 20, "BLOCK_ANCHORS": 10, "TASK_ROWS": 1000}.items():
+        monkeypatch.setattr(C, name, most, raising=False)
+    pages = [(k, "P2: 10.1234/hot. and 10.1234/hot again") for k in range(90)] + [(7, "10.1234/hot"), (1, "10.1234/cold, 10.1234/none"), (2, None), (3, "no DOI"), (None, "10.1234/cold")]
+    anchors = [(k, "10.1234/hot") for k in range(110)] + [(5, "10.1234/hot"), (5, "10.1234/cold"), (None, "10.1234/cold"), (6, None), *[(k, "10.1234/unlisted") for k in range(50)]]
+    told = lambda p, a: C.listed_anchors(spark.createDataFrame(p, "page long, text string"), spark.createDataFrame(a, "anchor long, doi string"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = told(pages, anchors).withColumn("task", F.spark_partition_id()).collect()
+        none = [told(pages, []).count(), told([], anchors).count()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = [(d, p, a) for p, t in pages for d in sorted({w.strip(".,") for w in (t or "").split() if w.startswith("10.")}) for a, known in anchors if known == d]
+    assert sorted(map(str, ((r.doi, r.page, r.anchor) for r in got))) == sorted(map(str, want)) and none == [0, 0]
+    hot = [r.task for r in got if r.doi == "10.1234/hot"]
+    assert len(hot) == 91 * 111 and max(map(hot.count, set(hot))) <= len(hot) / 3
