@@ -322,3 +322,13 @@ def test_run_available_goes_on(spark, tmp_path):
         out = events.run_available(events.read_events(spark, str(tmp_path / "log")).select("event_id"), "append", folder=str(tmp_path / "run"))
         assert sorted(r.event_id for r in out.collect()) == list(range(2 * part + 2))
     assert len(list((tmp_path / "run" / "out").glob("batch=*"))) == 2
+
+
+def test_mentions_shuffle_only_what_is_found(spark):
+    rows = spark.createDataFrame([(1, "Of the Of the of"), (2, "a b c d e"), (3, None), (4, "of, the"), (5, "b c")], "id int, text string")
+    terms = spark.createDataFrame([("of the",), ("OF THE",), ("b c d e",), ("a b c d e",), ("d",), ("",)], "term string")
+    got = concepts.mentions(rows, "id", "text", terms)
+    assert {tuple(r) for r in got.collect()} == {(1, "of the"), (1, "OF THE"), (4, "of the"), (4, "OF THE"), (2, "b c d e"), (2, "d")} and got.count() == 6
+    assert concepts.mentions(rows, "id", "text", terms.limit(0)).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
