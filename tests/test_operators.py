@@ -4,6 +4,7 @@ import datetime
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,3 +333,14 @@ def test_mentions_shuffle_only_what_is_found(spark):
     assert concepts.mentions(rows, "id", "text", terms.limit(0)).count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_settling_holds_edges_in_files_whatever_the_frames(spark):
+    rng = random.Random(3)
+    edges = {(min(a, b), max(a, b)): round(rng.uniform(0.1, 2), 3) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(120)) if a != b}
+    both = pd.DataFrame(sorted([(a, b, w) for (a, b), w in edges.items()] + [(b, a, w) for (a, b), w in edges.items()]), columns=["u", "v", "w"])
+    frames = [both.iloc[i : i + 7] for i in range(0, len(both), 7)]
+    told = pd.concat(graph._settle(iter(frames), sum(edges.values())))
+    plain = louvain_plain(range(40), [(a, b, w) for (a, b), w in edges.items()], 0.0)
+    assert dict(zip(told["id"], told["community"], strict=True)) == {n: plain[n] for n in set(both["u"])}
+    assert list(graph._settle(iter([]), 1.0)) == []

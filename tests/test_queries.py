@@ -63,3 +63,17 @@ def test_whole_queries_take_every_item_and_row(spark, duck):
     near = catalogue.QUERIES["q_knn_text_filter_all"](spark, FOLDER).toPandas()
     assert set(near["qid"]) == ids("SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0")
     assert (near["id"] % 10 == 3).any()
+
+
+def test_louvain_clusters_every_edge(spark):
+    got = {r.id: r.community for r in catalogue.QUERIES["q_louvain"](spark, FOLDER).collect()}
+    edges = catalogue.QUERIES["q_multi_signal_edges"](spark, FOLDER).collect()
+    light = {r.a for r in edges} | {r.b for r in edges}
+    light -= {x for r in edges if r.total > 1 for x in (r.a, r.b)}
+    assert light and any(got[r.a] == got[r.b] for r in edges if r.a in light or r.b in light)
+    m, inside, weight = sum(r.total for r in edges), 0.0, {}
+    for r in edges:
+        inside += r.total * (got[r.a] == got[r.b])
+        for x in (r.a, r.b):
+            weight[got[x]] = weight.get(got[x], 0.0) + r.total
+    assert inside / m - sum((w / (2 * m)) ** 2 for w in weight.values()) > 0.3
