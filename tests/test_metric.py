@@ -91,3 +91,28 @@ def test_similar_pairs_meet_by_group(spark, monkeypatch):
     pairs = vectors.similar_pairs(frame(spark, rows), 0.2, 15, 9)
     found = [tuple(r) for r in pairs.collect()]
     assert len(found) == len(set(found)) and set(found) == want and "lg" in pairs._jdf.queryExecution().toString()
+
+
+def test_pairs_learn_of_groups_and_links_where_they_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "GROUP_BLOCKS", 2)
+    rng = np.random.default_rng(5)
+    own = rng.normal(size=(60, 8))
+    own /= np.linalg.norm(own, axis=1)[:, None]
+    v = spark.createDataFrame([(i * 7 - 100, own[i].tolist(), i % 3) for i in range(60)], "id long, vec array<double>, grp long")
+    ends = {(i * 7 - 100, int(j) * 7 - 100) for i in range(0, 60, 2) for j in rng.choice([x for x in range(60) if x != i], 3, replace=False)}
+    links = spark.createDataFrame(sorted(ends), "src long, tgt long")
+    pairs = vectors.similar_pairs(v, 0.2, block_rows=7, pivots=5, links=links)
+    got = {(r.a, r.b): (r.cos, r.same, r.linked) for r in pairs.collect()}
+    cos = np.round(own @ own.T, 6)
+    near = [(i, j) for i in range(60) for j in range(i + 1, 60) if cos[i, j] >= 0.2]
+    key = lambda i: i * 7 - 100
+    assert got == {(key(i), key(j)): (cos[i, j], i % 3 == j % 3, bool({(key(i), key(j)), (key(j), key(i))} & ends)) for i, j in near}
+    assert any(x[2] for x in got.values()) and pairs.count() == len(near)
+
+
+def test_near_pairs_are_not_shuffled_for_their_signals(spark):
+    from quillframe.plans import text_graph
+
+    plan = text_graph._signals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") == 1
+    assert "Exchange" not in plan.split("FlatMapCoGroupsInPandas")[0]
