@@ -344,3 +344,29 @@ def test_settling_holds_edges_in_files_whatever_the_frames(spark):
     plain = louvain_plain(range(40), [(a, b, w) for (a, b), w in edges.items()], 0.0)
     assert dict(zip(told["id"], told["community"], strict=True)) == {n: plain[n] for n in set(both["u"])}
     assert list(graph._settle(iter([]), 1.0)) == []
+
+
+@pytest.mark.parametrize(("postings", "terms_of_part"), [(2_000_000, 2_000_000), (60, 30)])
+def test_bm25_fields_shuffle_no_posting(spark, monkeypatch, postings, terms_of_part):
+    """As all pairs, ties, own keys, empty texts and queries without a hit included; the asked terms needn't be few."""
+    monkeypatch.setattr(fulltext, "BLOCK_POSTINGS", postings)
+    monkeypatch.setattr(fulltext, "PART_TERMS", terms_of_part)
+    monkeypatch.setattr(fulltext, "TERMS_LIMIT", 0)
+    written, materialise = [], fulltext.materialise
+    monkeypatch.setattr(fulltext, "materialise", lambda df, name: written.append((name, df._jdf.queryExecution().executedPlan().toString())) or materialise(df, name))
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 12) % 40) for _ in range(60)]
+    docs = spark.createDataFrame([(3 * i, t) for i, t in enumerate([*texts, *texts[:20], None, ""])], "d long, t string").repartition(3)
+    terms = fulltext.query_terms(docs.where("d % 7 = 0").select("d", F.concat("t", F.lit(" zz"))).unionAll(spark.createDataFrame([(-1, "nowhere")], "d long, t string")).toDF("d", "t"), "d", "t")
+    every = fulltext.bm25(docs, terms, "d", F.col("t"))
+    for others in (False, True):
+        want = fulltext.top(every.where("qid <> d") if others else every, ["qid"], "d", 4)
+        written.clear()
+        got = fulltext.bm25_fields(docs, terms, "d", {"t": F.col("t")}, {"t": 1.0}, 4, others_only=others)
+        assert [name for name, _ in written].count("bm25-postings") == 1
+        assert all(plan.count("Exchange") <= plan.count("RoundRobin") for name, plan in written if name in ("bm25-postings", "bm25-best"))
+        assert sorted(got.select("qid", "d", "score", "rank").collect()) == sorted(want.select("qid", "d", "score", "rank").collect())
+    twice = fulltext.bm25_fields(docs, terms, "d", {"t": F.col("t"), "u": F.col("t")}, {"t": 1.0, "u": 2.0}, 4)
+    assert all(abs(r.score / 3 - s.score) < 2e-6 for r, s in zip(twice.orderBy("qid", "rank").collect(), fulltext.top(every, ["qid"], "d", 4).orderBy("qid", "rank").collect(), strict=True))
+    assert fulltext.bm25_fields(docs.limit(0), terms, "d", {"t": F.col("t")}, {"t": 1.0}, 4).count() == 0
+    assert fulltext.bm25_fields(docs, terms.limit(0), "d", {"t": F.col("t")}, {"t": 1.0}, 4).count() == 0
